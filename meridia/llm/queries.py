@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_files
+from . import crf, decontaminate, media, mixing, token_files
 
 QUERIES = {
+    "op3_crf_quality": crf.op3_crf_quality,
+    "op5_avi_media": media.op5_avi_media,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op10_token_files": token_files.op10_token_files,
 }
 
