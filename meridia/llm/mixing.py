@@ -107,17 +107,15 @@ def _round(final: bool, schema: pa.Schema):
                     continue
                 a, x, b, y = held[3], held[7], row[3], row[7]
                 up, down = min(a * (1 - x), b * y), min(a * x, b * (1 - y))  # words that can move to, or from, the held row
-                if _uniform(row[8]) * (up + down) < down:
-                    moved, decided = up, a * (1 - x) <= b * y
-                else:
-                    moved, decided = -down, a * x <= b * (1 - y)
+                rise = _uniform(row[8]) * (up + down) < down
+                moved, decided = (up, a * (1 - x) <= b * y) if rise else (-down, a * x <= b * (1 - y))
                 if decided:
-                    decide(held, moved > 0)
+                    decide(held, rise)
                     held = row
-                    held[7] = y - moved / b
+                    held[7] = min(max(y - moved / b, 0.0), 1.0)
                 else:
-                    decide(row, moved < 0)
-                    held[7] = x + moved / a
+                    decide(row, not rise)
+                    held[7] = min(max(x + moved / a, 0.0), 1.0)
             if out:
                 yield flush()
         if held is not None:
