@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 #: Characters that are letter, decimal digit, space or other in both patterns alike.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ʯЀ-ҁҊ-ԯ‐-‧]")
 #: Pieces kept in each of two generations; the older one goes when the newer is full.
-_MAX_PIECES = 400_000
+_MAX_PIECES = 800_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -52,6 +53,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self._code = "HI"[self.width == 4]
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(added)) if added else None
         state = json.loads(self.tokenizer.to_str())
@@ -86,7 +88,7 @@ class Encoder:
             else:
                 unseen.append(p)
         for p, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            ids[p] = np.asarray(e.ids, self.dtype).tobytes()
+            ids[p] = array(self._code, e.ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
