@@ -62,9 +62,28 @@ def block_count(docs: DataFrame, text: str = "text", target: int = 8 << 20) -> i
     return max(1, -(-int(total) // target))
 
 
-def block_of(count: int, key: str = "doc_id"):
-    """Block number of a document, from its id alone."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(count)).cast("int")
+def block_of(count: int, key: str = "doc_id", text: str = "text"):
+    """Block number of a document, from its id and length (so that rows without an id spread too)."""
+    return F.pmod(F.xxhash64(F.col(key), F.octet_length(text)), F.lit(count)).cast("int")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
+    """Consecutive rows of equal key, as one table each; the batches come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(run_starts(keys)).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != value:
+                yield value, pa.Table.from_batches(held)
+                held = []
+            value = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield value, pa.Table.from_batches(held)
 
 
 # ---------------------------------------------------------------- buffers

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import crf, decontaminate, media, mixing, token_files
+from . import brown_lm, crf, decontaminate, media, mixing, ordinal, preferences, token_files
 
 QUERIES = {
     "op3_crf_quality": crf.op3_crf_quality,
+    "op4_brown_lm": brown_lm.op4_brown_lm,
     "op5_avi_media": media.op5_avi_media,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_preference_pairs": preferences.op7_preference_pairs,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
+    "op9_ordinal_toxicity": ordinal.op9_ordinal_toxicity,
     "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL = {
     "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_preference_pairs": preferences.ORACLE_SQL,
 }
