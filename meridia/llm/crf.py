@@ -146,7 +146,9 @@ def train(texts: list[str | None], labels: list[int], steps: int = 200, rate: fl
     """Maximise the conditional likelihood of the line labels (Adam on the exact gradient)."""
     if not texts:
         return {"w": np.zeros((FEATURES, 2)), "start": np.zeros(2), "move": np.zeros((2, 2)), "map": (0.0, 0.0)}
-    x, weight, first = line_features(*blocks.text_buffer(pa.array(texts, pa.string())))
+    parts = [line_features(*blocks.text_buffer(pa.array(texts[i : i + 256], pa.string()))) for i in range(0, len(texts), 256)]
+    x, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     y = np.asarray(labels, np.int64)
     line_y = np.repeat(y, np.diff(first))
     one = np.eye(2)[line_y]
