@@ -1,10 +1,12 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = logistic(threshold_k - w . x): one weight vector shared by all ordered thresholds.  Features
-are log counts of words (A-Z lower-cased; runs of letters, digits and non-ASCII bytes) that set toxic
-training texts apart: a smoothed log-odds of document frequency with a z-score above `Z`.  The labels
-only say toxic or not; the grade of a toxic text grows with how many of those words it holds, so the
-severity grades are 0 (not toxic), 1 (mild), 2 (strong) and 3 (severe).  The output is the expected grade.
+are log counts of words (A-Z lower-cased; runs of letters, digits and non-ASCII bytes) and of their first
+`PREFIXES` bytes, so that compounds of one stem count together.  Only features that set toxic training
+texts apart are kept: the signed root of the likelihood ratio of their document frequency must exceed
+what the largest of as many chance values would reach.  The labels only say toxic or not; the grade of a
+toxic text grows with how many different words hold such a feature, so the severity grades are 0 (not
+toxic), 1 (mild), 2 (strong) and 3 (severe).  The output is the expected grade.
 
 Training takes a bounded sample (`TRAIN_DOCS` labelled rows by a hash of their id, texts of at most
 `crf.TRAIN_BYTES`), never from the held-out fold; scoring reads every whole text.
@@ -28,21 +30,28 @@ from . import blocks, crf
 TRAIN_DOCS = 8000
 GRADES = 4
 STEPS = (1, 2, 4)  # distinct marked words from which a toxic text is mild, strong, severe
-Z = 3.0
-LEAST = 3  # training texts that hold a word
-MOST = 2000  # words
+LEAST = 3  # training texts that hold a feature
+MOST = 2000  # features
+PREFIXES = (4, 5, 6, 7, 8)
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _WORD[0x80:] = True
 
 
-def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 44-bit hash) of every word."""
+def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, 44-bit hash) of every feature; `word` tells the words of the column apart."""
     data, bounds = blocks.text_buffer(column)
     data = blocks.LOWER[data]
     start, end, row = blocks.word_bounds(data, bounds, _WORD)
-    return row, blocks.RollingHash(data).of(start, end) >> np.uint64(20)
+    rolling, index = blocks.RollingHash(data), np.arange(len(start))
+    rows, words, hashes = [row], [index], [rolling.of(start, end) ^ np.uint64(1 << 63)]
+    for k in PREFIXES:
+        long = np.flatnonzero(end - start >= k)
+        rows.append(row[long])
+        words.append(long)
+        hashes.append(rolling.of(start[long], start[long] + k))
+    return np.concatenate(rows), np.concatenate(words), np.concatenate(hashes) >> np.uint64(20)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -59,19 +68,21 @@ def counts(row: np.ndarray, at: np.ndarray, n_rows: int, n_words: int) -> np.nda
     return np.log1p(np.bincount(row * n_words + at, minlength=n_rows * n_words).reshape(n_rows, n_words))
 
 
-def select_words(row: np.ndarray, word: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words that mark toxic texts, sorted.  Takes at most 2**20 rows."""
-    key = np.unique((word << np.uint64(20)) | row.astype(np.uint64))
+def select_words(key: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Features that mark toxic texts, sorted, from distinct (feature << 20 | row) of at most 2**20 rows."""
     words, inverse = np.unique(key >> np.uint64(20), return_inverse=True)
     is_toxic = toxic[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] == 1
     a = np.bincount(inverse[is_toxic], minlength=len(words)).astype(float)
     b = np.bincount(inverse[~is_toxic], minlength=len(words)).astype(float)
     n_a, n_b = max(1, (toxic == 1).sum()), max(1, (toxic == 0).sum())
-    odds = np.log((a + 0.5) / (n_a - a + 0.5)) - np.log((b + 0.5) / (n_b - b + 0.5))
-    error = np.sqrt(1 / (a + 0.5) + 1 / (n_a - a + 0.5) + 1 / (b + 0.5) + 1 / (n_b - b + 0.5))
-    z = np.where(a + b >= LEAST, odds / error, 0.0)
+    share = n_a / (n_a + n_b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.nan_to_num(a * np.log(a / ((a + b) * share))) + np.nan_to_num(b * np.log(b / ((a + b) * (1 - share))))
+    often = a + b >= LEAST
+    z = np.where(often & (a > (a + b) * share), np.sqrt(np.maximum(2 * ratio, 0)), 0.0)
+    bar = max(3.0, np.sqrt(2 * np.log(max(often.sum(), 1))))
     best = np.argsort(-z, kind="stable")[:MOST]
-    return np.sort(words[best[z[best] >= Z]])
+    return np.sort(words[best[z[best] >= bar]])
 
 
 def train(texts: list[str | None], toxic: list[int], steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> dict:
@@ -79,15 +90,29 @@ def train(texts: list[str | None], toxic: list[int], steps: int = 400, rate: flo
     y01 = np.asarray(toxic, np.int64)
     if not len(y01) or y01.min() == y01.max():
         return empty
-    parts = [(i, word_hashes(pa.array(texts[i : i + 256], pa.string()))) for i in range(0, len(texts), 256)]
-    row, word = np.concatenate([i + p[0] for i, p in parts]), np.concatenate([p[1] for _, p in parts])
-    words = select_words(row, word, y01)
+    step = 128
+    chunk = lambda i: features(pa.array(texts[i : i + step], pa.string()))
+    keys = []
+    for i in range(0, len(texts), step):
+        row, _, feature = chunk(i)
+        keys.append(np.unique((feature << np.uint64(20)) | (row + i).astype(np.uint64)))
+    words = select_words(np.sort(np.concatenate(keys)), y01)
     if not len(words):
         return empty
-    at = np.searchsorted(words, word)
-    hit = words[np.minimum(at, len(words) - 1)] == word
-    x = counts(row[hit], at[hit], len(texts), len(words)).astype(np.float64)
-    kinds = (x > 0).sum(1)
+    x = np.zeros((len(texts), len(words)))
+    kinds = np.zeros(len(texts), np.int64)  # different marked words of each text
+    for i in range(0, len(texts), step):
+        row, word, feature = chunk(i)
+        at = np.searchsorted(words, feature)
+        at[at == len(words)] = 0
+        hit = np.flatnonzero(words[at] == feature)
+        n_rows = min(step, len(texts) - i)
+        x[i : i + n_rows] = counts(row[hit], at[hit], n_rows, len(words))
+        # a word counts once, under the smallest of its marked features
+        order = np.lexsort((at[hit], word[hit]))
+        first = hit[order][blocks.run_starts(word[hit][order])]
+        seen = np.unique(row[first] * len(words) + at[first])
+        np.add.at(kinds, i + seen // len(words), 1)
     grade = np.where(y01 == 1, np.searchsorted(STEPS, np.maximum(kinds, 1), "right"), 0)
     n, k = len(texts), GRADES - 1
     # thresholds rise: the first is free, the gaps are exponentials
@@ -116,7 +141,7 @@ def linear_part(model: dict, column) -> np.ndarray:
     words, n = model["words"], len(column)
     if not len(words):
         return np.zeros(n)
-    row, word = word_hashes(column)
+    row, _, word = features(column)
     at = np.searchsorted(words, word)
     at[at == len(words)] = 0
     hit = np.flatnonzero(words[at] == word)
