@@ -138,24 +138,31 @@ def _byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@functools.lru_cache(maxsize=2)
+_powers_held: list[np.ndarray] = []
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(b: np.uint64) -> np.ndarray:
-        x = np.full(size, b, np.uint64)
+    """Powers of the base and of its inverse; one pair of arrays a process, grown when needed."""
+
+    def series(b: np.uint64, n: int) -> np.ndarray:
+        x = np.full(n, b, np.uint64)
         x[0] = 1
         return np.cumprod(x)
 
-    return series(_B), series(_B_INV)
+    if not _powers_held or len(_powers_held[0]) < size:
+        n = (size >> 16) + 1 << 16
+        _powers_held[:] = [series(_B, n), series(_B_INV, n)]
+    return _powers_held[0], _powers_held[1]
 
 
 class RollingHash:
     """Hash of any substring of a buffer in constant time, from one prefix sum modulo 2**64."""
 
     def __init__(self, data: np.ndarray, seed: int = 7):
-        size = 1 << max(16, int(len(data)).bit_length())
-        self._power, self._inverse = _powers(size)
+        power, self._inverse = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values(seed)[data] * self._power[: len(data)], out=self._sums[1:])
+        np.multiply(_byte_values(seed)[data], power[: len(data)], out=self._sums[1:])
+        np.cumsum(self._sums, out=self._sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))

@@ -269,7 +269,7 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 
     asked = given.select("block", (~F.col("held_out")).alias("train"), "text").repartition(min(count, 4 * parts), "block").sortWithinPartitions("block")
     sent = asked.mapInArrow(_requests(buckets), "bucket int, block int, words binary, times binary, groups binary")
-    answers = blocks.materialize(sent.repartition(min(buckets, parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, _TOTALS), "lm-totals")
+    answers = blocks.materialize(sent.repartitionById(min(buckets, parts), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answers, _TOTALS), "lm-totals")
 
     heads = answers.where("singles IS NOT NULL")
     r = heads.agg(F.sum("n_types"), F.sum("n_tokens")).first()
@@ -282,9 +282,9 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
         singles[row[0]] = row[1]
 
     shared = spark.sparkContext.broadcast(top)
-    slices = 16
+    slices = min(parts, UNITS)
     trained = given.where("NOT held_out").select("text")
-    added = trained.mapInArrow(_pairs(shared, slices), "slice int, codes binary, times binary").repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_add_pairs, "slice int, codes binary, times binary")
+    added = trained.mapInArrow(_pairs(shared, slices), "slice int, codes binary, times binary").repartitionById(slices, F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_pairs, "slice int, codes binary, times binary")
     pairs = np.zeros(UNITS * UNITS)
     for row in added.collect():  # at most UNITS ** 2 counts
         pairs[np.frombuffer(row["codes"], "<u4")] = np.frombuffer(row["times"], "<u8")
