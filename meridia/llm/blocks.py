@@ -6,6 +6,7 @@ time, so that a task's memory depends on the chunk size and not on the partition
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -84,6 +85,25 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
             held.append(batch.slice(a, b - a))
     if held:
         yield value, pa.Table.from_batches(held)
+        held = []
+    release()
+
+
+# ---------------------------------------------------------------- memory
+
+
+@functools.cache
+def _allocator():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Give freed pages back: idle Python workers would keep what their last task used."""
+    if trim := _allocator():
+        trim(0)
 
 
 # ---------------------------------------------------------------- buffers
@@ -104,6 +124,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, docs: int = CHUNK_DOCS) -> Iterator[pa.RecordBatch]:
     """Slices of at most `docs` rows and `limit` text bytes; a longer text is a slice of its own."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -116,6 +137,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = min(max(to, at + 1), at + docs, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+            done += 1
+            if done % 8 == 0:
+                release()
+    release()
 
 
 # ---------------------------------------------------------------- hashes

@@ -39,7 +39,8 @@ GRAM = 32
 HOT = 4096  # different units of an anchor from which its windows are split further
 SPLIT = 16  # offsets of a split range
 BATCH = 1 << 20  # bytes of text in one transform
-FLUSH = 400_000  # units held in a task
+FLUSH = 150_000  # units held in a task
+CHUNK = 1 << 20  # text bytes whose windows are hashed at a time
 _NO_ID = -(1 << 63)
 
 # ---------------------------------------------------------------- the transform
@@ -48,67 +49,89 @@ _NO_ID = -(1 << 63)
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Cyclic suffixes in the order of their first `depth` symbols (ties in any order), by prefix doubling."""
     n = len(text)
+    place = np.uint64(max(1, (n - 1).bit_length()))
     wide = text.astype(np.uint64)
+    known = 4 if 36 + int(place) <= 64 else 2
     key = np.zeros(n, np.uint64)
-    for j in range(7):
+    for j in range(known):
         key = (key << np.uint64(9)) | np.roll(wide, -j)
-    known = 7
+    packed = 3 * int(place) + 2 <= 64  # two ranks and a place fit into one word: a plain sort does
+    index = np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
+        if packed or known <= 4:
+            both = np.sort((key << place) | index)
+            order = (both & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+            ordered = both >> place
+        else:
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
         if known >= depth:
             return order
+        border = blocks.run_starts(ordered)
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(blocks.run_starts(key[order])).astype(np.uint64)
-        if int(rank[order[-1]]) == n:
+        rank[order] = np.cumsum(border).astype(np.uint64)
+        if border.all():
             return order
-        key = (rank << np.uint64(32)) | np.roll(rank, -known)
+        key = (rank << (place + np.uint64(1))) | np.roll(rank, -known) if packed else (rank << np.uint64(32)) | np.roll(rank, -known)
         known *= 2
 
 
 def prefix_groups(bwt: np.ndarray, length: int) -> np.ndarray:
     """Group number of each row of the transform: rows of a group share `length` symbols.
 
-    Row q holds the suffix that the transform's symbol at row p = order[q] precedes.  Rows q - 1 and q
-    of one first symbol have a common prefix of 1 + the least common prefix of the rows in (order[q - 1], order[q]].
-    So the rows found at one value decide the rows of the next, breadth first.
+    A border between two rows says that their common prefix is shorter.  Extending backward by symbol c
+    takes the rows of an interval whose transform symbol is c to one interval of rows that begin with c; so a border
+    at row p becomes, for every c on both its sides, a border at the row of the next c at or after p.  Level by
+    level, the borders of common prefix v give those of v + 1 (breadth first) until `length`.
+    Few borders are pushed through each symbol's rows; while there are many, all undivided rows are tested at once.
     """
     n = len(bwt)
-    order = np.argsort(bwt, kind="stable")
+    order = np.argsort(bwt, kind="stable")  # row q of the next level comes from row order[q]
     symbol = bwt[order]
     border = blocks.run_starts(symbol)
     new = np.flatnonzero(border)
-    open_rows = np.flatnonzero(~border)
-    low, high = order[open_rows - 1], order[open_rows]
+    edges = np.append(new, n)
+    rows_of = [order[a:b] for a, b in zip(edges, edges[1:])]
+    open_rows = None
     for _ in range(1, length):
-        if not len(new) or not len(open_rows):
+        if not len(new):
             break
-        if len(new) * 16 < len(open_rows):
-            hit = np.searchsorted(new, high, "right") > np.searchsorted(new, low, "right")
-        else:
+        if len(new) * len(rows_of) * 4 > n:
+            if open_rows is None:
+                open_rows = np.flatnonzero(~border)
+            else:
+                open_rows = open_rows[~border[open_rows]]
             mark = np.zeros(n, np.int32)
             mark[new] = 1
             np.cumsum(mark, out=mark)
-            hit = mark[high] > mark[low]
-        new = open_rows[hit]
+            new = open_rows[mark[order[open_rows]] > mark[order[open_rows - 1]]]
+        else:
+            found = []
+            for first, rows in zip(edges, rows_of):
+                at = np.searchsorted(rows, new)
+                at = at[(at > 0) & (at < len(rows))]
+                if len(at):
+                    found.append(first + at)
+            if not found:
+                break
+            new = np.unique(np.concatenate(found))
+            new = new[~border[new]]
         border[new] = True
-        keep = ~hit
-        open_rows, low, high = open_rows[keep], low[keep], high[keep]
     return np.cumsum(border) - 1
 
 
-def window_groups(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For every text, a number for each of its windows of `length` bytes; equal numbers mean equal windows."""
-    joined = np.zeros(sum(map(len, texts)) + len(texts), np.uint16)
-    at, starts = 0, []
-    for t in texts:
-        starts.append(at)
-        joined[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        joined[at : at + len(t)] += 1
-        at += len(t) + 1
+def joined_windows(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the windows of `length` bytes of texts laid end to end; equal numbers mean equal windows."""
+    at = np.arange(len(data)) + np.repeat(np.arange(len(size)), size)
+    joined = np.zeros(len(data) + len(size), np.uint16)
+    joined[at] = data
+    joined[at] += 1
     order = suffix_order(joined, length)
     group = np.empty(len(joined), np.int64)
     group[order] = prefix_groups(joined[order - 1], length)
-    return [group[s : s + max(0, len(t) - length + 1)] for s, t in zip(starts, texts)]
+    count = np.maximum(size - length + 1, 0)
+    first = np.cumsum(size + 1) - (size + 1)
+    return group[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 # ---------------------------------------------------------------- units
@@ -139,7 +162,8 @@ def units(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple
     n = np.diff(np.append(first, len(anchor)))
     at, mark = start[first], anchor[first]
     own = np.searchsorted(bounds, at, "right") - 1
-    return own, hashes[mark], rolling.of(at, at + n - 1 + length), at - bounds[own], n, mark - at
+    # anchors have small hashes: mixed again, they spread evenly over ranges
+    return own, blocks.mix(hashes[mark] ^ np.uint64(0x6A09E667F3BCC908)), rolling.of(at, at + n - 1 + length), at - bounds[own], n, mark - at
 
 
 _RANGES = np.dtype([("key", "<u8"), ("start", "<u4"), ("size", "<u4")])
@@ -183,7 +207,7 @@ def _send_units(buckets: int, length: int, gram: int):
         out = [[] for _ in range(10)]
         lost = np.flatnonzero(later)
         if len(lost):
-            self_made = _by_block(block[lost], 0, _records(key[lost], start[lost], count[lost] + length - 1))
+            self_made = _by_block(block[lost], 0, _records(key[lost], start[lost], count[lost].astype(np.int64) + length - 1))
             for b, p in zip(self_made.column("block").to_pylist(), self_made.column("payload").to_pylist()):
                 for col, value in zip(out, (int(b) % buckets, None, None, None, None, None, None, None, p, np.array([b], "<i4").tobytes())):
                     col.append(value)
@@ -216,11 +240,11 @@ def _send_units(buckets: int, length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, limit=CHUNK):
             data, bounds = blocks.text_buffer(batch.column("text"))
             row, h, content, start, count, offset = units(data, bounds, length, gram)
             key, doc, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "block"))
-            held.append((h, content, key.view(np.uint64)[row], doc[row], block[row], start, count, offset))
+            held.append((h, content, key.view(np.uint64)[row], doc[row], block[row], start.astype(np.uint32), count.astype(np.uint8), offset.astype(np.uint8)))
             total += len(row)
             if total > FLUSH:
                 yield pack(held)
@@ -318,7 +342,7 @@ def _cut_texts(buckets: int, length: int):
             cut = np.append(np.flatnonzero(blocks.run_starts(to[order])), len(order))
             for a, b in zip(cut, cut[1:]):
                 pick = order[a:b]
-                texts = np.concatenate([data[s : s + n] for s, n in zip(at[pick].tolist(), size[pick].tolist())])
+                texts = data[_gather(at[pick], size[pick])]
                 rec = want[pick].copy()
                 rec["hash"] = route[pick]
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[order[a]])], pa.int32()), pa.array([block], pa.int32()), pa.array([rec.tobytes()], pa.binary()), pa.array([texts.tobytes()], pa.binary())], names=["bucket", "block", "payload", "texts"])
@@ -326,6 +350,11 @@ def _cut_texts(buckets: int, length: int):
     return run
 
 
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of consecutive ranges."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _split_hot(want: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units of hot anchors, cut where the offset passes a multiple of SPLIT."""
     hot = want["hot"] == 1
@@ -351,44 +380,39 @@ def _expand(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "bucket"):
-            home, parts, texts = [], [], []
-            for block, payload, joined in zip(*(table.column(c).to_pylist() for c in ("block", "payload", "texts"))):
-                rec = np.frombuffer(payload, _UNITS)
-                end = np.cumsum(rec["count"].astype(np.int64) + length - 1)
-                texts += [joined[b - n : b] for b, n in zip(end.tolist(), (rec["count"].astype(np.int64) + length - 1).tolist())]
-                parts.append(rec)
-                home.append(np.full(len(rec), block, np.int32))
-            rec, home = np.concatenate(parts), np.concatenate(home)
-            order = np.argsort(rec["hash"], kind="stable")
+            rec = np.concatenate([np.frombuffer(x, _UNITS) for x in table.column("payload").to_pylist()])
+            each = [len(x) // _UNITS.itemsize for x in table.column("payload").to_pylist()]
+            home = np.repeat(table.column("block").to_numpy(), each)
+            data = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("texts").to_pylist()])
+            size = rec["count"].astype(np.int64) + length - 1
+            at = np.cumsum(size) - size
+            order = np.lexsort((rec["start"], rec["doc"], rec["hash"]))
             first = np.append(np.flatnonzero(blocks.run_starts(rec["hash"][order])), len(order))
-            size = np.array([len(t) + 1 for t in texts])
-            batch: list[np.ndarray] = []
-            held = 0
-            for a, b in zip(first, first[1:]):
-                batch.append(order[a:b])
-                held += size[order[a:b]].sum()
-                if held > BATCH or b == len(order):
-                    pick = np.concatenate(batch)
-                    made = _covered(rec[pick], home[pick], [texts[i] for i in pick], length)
-                    if made is not None:
-                        yield made
-                    batch, held = [], 0
+            held = np.concatenate([[0], np.cumsum(size[order] + 1)])[first]
+            lo = 0
+            while lo < len(first) - 1:
+                hi = min(max(int(np.searchsorted(held, held[lo] + BATCH, "right")) - 1, lo + 1), len(first) - 1)
+                pick = order[first[lo] : first[hi]]
+                pick = pick[np.lexsort((rec["start"][pick], rec["doc"][pick]))]
+                made = _covered(rec[pick], home[pick], data[_gather(at[pick], size[pick])], length)
+                if made is not None:
+                    yield made
+                lo = hi
 
     return run
 
 
-def _covered(rec: np.ndarray, home: np.ndarray, texts: list[bytes], length: int) -> pa.RecordBatch | None:
-    group = np.concatenate(window_groups(texts, length))
+def _covered(rec: np.ndarray, home: np.ndarray, data: np.ndarray, length: int) -> pa.RecordBatch | None:
+    """The units come by document and start, so windows do too: the first window of a group is the earliest."""
     count = rec["count"].astype(np.int64)
+    group = joined_windows(data, count + length - 1, length)
     unit = np.repeat(np.arange(len(rec)), count)
-    start = np.repeat(rec["start"].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(unit))
+    start = _gather(rec["start"].astype(np.int64), count)
     doc = rec["doc"][unit]
-    order = np.lexsort((start, doc, group))
-    fresh = blocks.run_starts(group[order])
-    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    later = np.zeros(len(unit), bool)
-    later[order] = (doc[order] != doc[head]) | (start[order] != start[head])
-    at = np.flatnonzero(later)
+    head = np.zeros(group.max() + 1, np.int64)
+    head[group[::-1]] = np.arange(len(group))[::-1]
+    head = head[group]
+    at = np.flatnonzero((doc != doc[head]) | (start != start[head]))
     if not len(at):
         return None
     runs = np.flatnonzero(blocks.run_starts(at - np.arange(len(at)), unit[at]))
@@ -397,7 +421,11 @@ def _covered(rec: np.ndarray, home: np.ndarray, texts: list[bytes], length: int)
     return _by_block(home[which], 0, _records(rec["key"][which], start[at[runs]], n + length - 1))
 
 
-def _apply_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply_ranges(with_text: bool):
+    return lambda batches: _cut_ranges(batches, with_text)
+
+
+def _cut_ranges(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for _, table in blocks.runs(batches, "block"):
         payloads = [x for x in table.column("payload").to_pylist() if x is not None]
         docs = table.slice(len(payloads))
@@ -421,28 +449,30 @@ def _apply_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         edges = bounds[:-1][bounds[:-1] < len(data)]
         begins[edges] = removed[edges]
         spans = np.concatenate([[0], np.cumsum(begins)])
-        kept = []
+        kept, digests = [], []
         for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
             part = data[lo:hi]
-            kept.append(part[~removed[lo:hi]].tobytes() if total[hi] > total[lo] else part.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [docs.column("id").combine_chunks(), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(spans[bounds[1:]] - spans[bounds[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+            left = (part[~removed[lo:hi]] if total[hi] > total[lo] else part).tobytes()
+            digests.append(hashlib.sha256(left).hexdigest())
+            if with_text:
+                kept.append(left)
+        ends, begin = bounds[1:], bounds[:-1]
+        columns = {"doc_id": docs.column("id").combine_chunks(), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(total[ends] - total[begin]), "n_spans": pa.array(spans[ends] - spans[begin]), "kept_sha256": pa.array(digests, pa.string())}
+        yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of documents with doc_id and text."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of documents with doc_id and text."""
     if not gram < length or length - gram >= 255:
         raise ValueError("gram must be shorter than length by less than 255")
     spark = docs.sparkSession
     parts = blocks.partitions(spark)
-    count = blocks.block_count(docs, target=4 << 20)
+    count = blocks.block_count(docs, target=2 << 20)
     given = docs.select(
         blocks.block_of(count).alias("block"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").alias("id"), "text"
     )
     sent = given.select("block", "key", "doc", "text").mapInArrow(_send_units(parts, length, gram), _FIELDS)
-    met = blocks.materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_units(length), _ROWS), "repeat-units")
+    met = blocks.materialize(sent.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meet_units(length), _ROWS), "repeat-units")
 
     def with_docs(records: DataFrame, columns: list[str]) -> DataFrame:
         """Records of a block first, then its documents."""
@@ -452,11 +482,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         return both.repartition(min(count, 4 * parts), "block").sortWithinPartitions("block", F.col("payload").isNull())
 
     texts = with_docs(met.where("kind = 1"), ["key", "text"]).mapInArrow(_cut_texts(parts, length), "bucket int, block int, payload binary, texts binary")
-    found = blocks.materialize(texts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_expand(length), _ROWS), "repeat-ranges")
+    found = blocks.materialize(texts.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_expand(length), _ROWS), "repeat-ranges")
     ranges = met.where("kind = 0").unionByName(found)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_docs(ranges, ["key", "id", "text"]).mapInArrow(_apply_ranges, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return with_docs(ranges, ["key", "id", "text"]).mapInArrow(_apply_ranges(with_text), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_text=False)
