@@ -6,14 +6,19 @@ Sets are put into size bands so that similar sets are in one band or in neighbou
 band and the one below.  In a band, similar sets differ in at most k elements.  The feature domain (the
 shingle hashes) is cut into n1 partitions and each into n2 parts: some partition holds at most k2 of the
 differences, and there some choice of n2 - k2 parts is equal in both sets.  All those choices are enumerated;
-each is a signature, so similar sets share one.  Since n1 has `spare` partitions more than needed, a set may leave
-out choices that are empty in at most `spare` partitions; a set with more keeps all, so no link is lost.
+each is a signature, so similar sets share one.  A choice that holds frequent shingles only (those of passages that
+one in `COMMON` documents has, or nothing) says little.  n1 has `spare` partitions more than needed, so a set
+that has such choices in at most `spare` partitions leaves them out; a set with more keeps all, so no link is lost,
+whatever the frequent shingles are.
 
 Signatures travel packed, to buckets by range.  A bucket gives the lists of documents that share a signature.
-First each list's members are compared with its smallest document only; where a list is not yet one
-component, all its pairs from different components follow (long lists in blocks).  Every true link lies in some list, so
-components are exact, and a group of thousands costs about one comparison a member.  All comparisons are exact,
-on the sets themselves (52-bit shingle hashes).
+First each list's members are compared with its smallest document only.  Where the documents that lists connect (a
+family) are not one component yet, the lists' other pairs from different components follow, inside tasks that
+hold a family's sketches: 4096 parity bits a set, whose differing bits never exceed the differing shingles.  Pairs
+that the sketch cannot rule out are compared; at first only as many as could join the components, then all that
+are left.  Every true link lies in some list and is only skipped within one component, so components are exact,
+and a group of thousands of similar texts costs about one comparison a member.  Comparisons are exact, on the sets
+themselves (52-bit shingle hashes); a family's lists are dealt over tasks by the pairs they hold.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words than
 `words`, the whole sequence is the one shingle; rows that share an id are one node, which links if one of its texts
@@ -37,6 +42,7 @@ WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
 FLUSH = 1 << 20  # signatures held in a task
+COMMON = 2000  # a shingle of one in so many documents is frequent; at most COMMON * (mean set size) shingles are
 _BITS = 52
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -100,8 +106,13 @@ def _salt(*xs) -> np.ndarray:
     return out
 
 
-def signatures(at: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows' sets."""
+def signatures(at: np.ndarray, hashes: np.ndarray, percent: int = PERCENT, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all rows' sets; `frequent` are sorted hashes."""
+    rare = np.ones(len(hashes), bool)
+    if frequent is not None and len(frequent):
+        near = np.searchsorted(frequent, hashes)
+        near[near == len(frequent)] = 0
+        rare = frequent[near] != hashes
     size = np.diff(at)
     own = np.searchsorted(_band_edges(percent), size, "right") - 1
     mixed = blocks.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
@@ -114,7 +125,7 @@ def signatures(at: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> tu
         for few, parts in _SMALL.items():
             pick = np.flatnonzero(k == few)
             if len(pick):
-                total, count = _cells(at, hashes, mixed, pick, np.full(len(pick), parts))
+                total, count = _cells(at, hashes, mixed, pick, np.full(len(pick), parts))[:2]
                 total, count = total.reshape(-1, parts), count.reshape(-1, parts)
                 for j, left_out in enumerate(itertools.combinations(range(parts), few)):
                     keep = [i for i in range(parts) if i not in left_out]
@@ -123,14 +134,13 @@ def signatures(at: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> tu
         pick = np.flatnonzero(k > 3)
         if len(pick):
             need = k[pick] // 2 + 1
-            spare = 1 + need // 20
+            spare = 1 + need // 10
             n1 = need + spare
-            total, count = _cells(at, hashes, mixed, pick, n1 * 3)
-            total, count = total.reshape(-1, 3), count.reshape(-1, 3)
+            total, count, telling = (x.reshape(-1, 3) for x in _cells(at, hashes, mixed, pick, n1 * 3, rare))
             which = np.repeat(np.arange(len(pick)), n1)
             place = np.arange(len(which)) - np.repeat(np.cumsum(n1) - n1, n1)
             left = count.sum(1, keepdims=True) - count
-            weak = left == 0
+            weak = telling.sum(1, keepdims=True) == telling
             thin = np.bincount(which, weak.any(1), minlength=len(pick)) <= spare
             kept = ~(weak & thin[which][:, None])
             whole = total.sum(1, dtype=np.uint64)
@@ -141,8 +151,8 @@ def signatures(at: np.ndarray, hashes: np.ndarray, percent: int = PERCENT) -> tu
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-def _cells(at, hashes, mixed, pick, cells) -> tuple[np.ndarray, np.ndarray]:
-    """Hash sums and counts of the cells of picked rows; a row's sorted hashes fall into cells in order."""
+def _cells(at, hashes, mixed, pick, cells, rare=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash sums, counts and rare counts of the cells of picked rows; a row's sorted hashes fall into cells in order."""
     size = np.diff(at)[pick]
     element = np.repeat(at[:-1][pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     base = np.cumsum(cells) - cells
@@ -151,7 +161,8 @@ def _cells(at, hashes, mixed, pick, cells) -> tuple[np.ndarray, np.ndarray]:
     count = np.bincount(cell, minlength=int(cells.sum()))
     end = np.cumsum(count)
     local = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[element])])
-    return local[end] - local[end - count], count
+    telling = count if rare is None else np.bincount(cell[rare[element]], minlength=len(count))
+    return local[end] - local[end - count], count, telling
 
 
 # ---------------------------------------------------------------- stages
@@ -160,7 +171,58 @@ def _cells(at, hashes, mixed, pick, cells) -> tuple[np.ndarray, np.ndarray]:
 _SIGS = "bucket int, steps binary, ids binary, places binary"
 
 
-def _sign(buckets: int, percent: int, words: int):
+def _count_shingles(buckets: int, words: int):
+    """Counts of shingles that a task sees in two or more documents, packed by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def pack() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            first = np.flatnonzero(blocks.run_starts(h))
+            times = np.diff(np.append(first, len(h)))
+            h, times = h[first[times > 1]], times[times > 1]
+            cut = np.concatenate([[0], np.searchsorted(h, np.array([(i << _BITS) // buckets for i in range(1, buckets)], np.uint64)), [len(h)]])
+            parts = [(i, cut[i], cut[i + 1]) for i in range(buckets) if cut[i] < cut[i + 1]]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([times[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "hashes", "times"])
+
+        for batch in blocks.chunks(batches):
+            _, hashes = shingle_sets(batch.column("text"), words)
+            held.append(hashes)
+            total += len(hashes)
+            if total > 8 * FLUSH:
+                yield pack()
+                held, total = [], 0
+        if total:
+            yield pack()
+
+    return run
+
+
+def _most_shared(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in blocks.runs(batches, "bucket"):
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+            times = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("times").to_pylist()])
+            own, inverse = np.unique(h, return_inverse=True)
+            total = np.bincount(inverse, times)
+            yield pa.RecordBatch.from_arrays([pa.array([own[total >= least].tobytes()], pa.binary())], names=["hashes"])
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the shingles that about one in COMMON documents holds."""
+    spark = docs.sparkSession
+    parts = blocks.partitions(spark)
+    n = docs.count()
+    counted = docs.select("text").mapInArrow(_count_shingles(parts, words), "bucket int, hashes binary, times binary")
+    kept = counted.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_most_shared(max(20, n // COMMON)), "hashes binary")
+    found = [np.frombuffer(r[0], np.uint64) for r in kept.collect()]  # their number is bounded by COMMON * mean set size
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _sign(buckets: int, percent: int, words: int, shared=None):
     """Packed signatures by bucket.  Rows of equal sets in a chunk sign once; the others are sent as (first,
     copy) ids without places, and every chunk's (id, set size) pairs without steps."""
 
@@ -204,7 +266,7 @@ def _sign(buckets: int, percent: int, words: int):
             )
             keep = np.where(copy, 0, size)
             bounds = np.concatenate([[0], np.cumsum(keep)])
-            row, sig = signatures(bounds, hashes[np.repeat(~copy, size)], percent)
+            row, sig = signatures(bounds, hashes[np.repeat(~copy, size)], percent, shared.value if shared is not None else None)
             rows.append(doc[row])
             sigs.append(sig)
             held += len(sig)
@@ -274,12 +336,21 @@ def _list_batch(gids: list, leaders: list, members: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(leaders, pa.int64()), lists], names=["gid", "leader", "members"])
 
 
+SKETCH_BITS = 4096
+PAIRS = 40_000_000  # list pairs from which a family is dealt over one more task
+
+
 def _pack_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks.chunks(batches):
             at, hashes = shingle_sets(batch.column("text"), words)
             packed = pa.array([hashes[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "features"])
+            place = (blocks.mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
+            sketches = []
+            for a, b in zip(at, at[1:]):
+                odd = np.bincount(place[a:b], minlength=SKETCH_BITS) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, pa.array(np.diff(at)), pa.array(sketches, pa.binary())], names=["doc_id", "features", "n", "sketch"])
 
     return run
 
@@ -305,26 +376,105 @@ def _verify(percent: int):
     return run
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from different components of two blocks of one list (or of one block)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            left, right = np.array(row["ids"], np.int64), np.array(row["others"], np.int64)
-            a_root, b_root = np.array(row["roots"], np.int64), np.array(row["other_roots"], np.int64)
-            for lo in range(0, len(left), 256):
-                apart = a_root[lo : lo + 256, None] != b_root[None, :]
-                if row["same"]:
-                    apart &= left[lo : lo + 256, None] < right[None, :]
-                i, j = np.nonzero(apart)
+def _pairs_of(lists: Iterator[np.ndarray], root: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes (smaller place * size + larger place) of the lists' pairs from different components."""
+    n, held, total = len(root), [], 0
+    for idx in lists:
+        own = root[idx]
+        if (own == own[0]).all():
+            continue
+        for lo in range(0, len(idx), 512):
+            i, j = np.nonzero(own[lo : lo + 512, None] != own[None, :])
+            a, b = idx[lo + i], idx[j]
+            code = (a * n + b)[a < b]
+            held.append(code)
+            total += len(code)
+            if total > 1 << 21:
+                yield np.unique(np.concatenate(held))
+                held, total = [], 0
+    if held:
+        yield np.unique(np.concatenate(held))
+
+
+def _candidates(percent: int, forest: bool):
+    """Pairs of a family that the sketches cannot rule out; as a forest, only pairs that would join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in blocks.runs(batches, "task"):
+            kind = table.column("gid").is_null().to_numpy()
+            nodes, lists = table.filter(pa.array(kind)), table.filter(pa.array(~kind))
+            node = nodes.column("node").to_numpy()
+            order = np.argsort(node, kind="stable")
+            first = order[blocks.run_starts(node[order])]  # rows that share an id: see below
+            ids, root = node[first], nodes.column("root").to_numpy()[first]
+            size = nodes.column("n").to_numpy()[first]
+            shared = np.bincount(np.searchsorted(ids, node), minlength=len(ids)) > 1
+            bits = np.frombuffer(b"".join(nodes.column("sketch").take(pa.array(first)).to_pylist()), np.uint64).reshape(len(ids), -1)
+            column = lists.column("members").combine_chunks()
+            values = np.searchsorted(ids, column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()])
+            ends = column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+            starts = np.append(np.flatnonzero(blocks.run_starts(lists.column("gid").to_numpy())), len(column))
+            parent = {}
+
+            def top(x: int) -> int:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            seen = np.zeros(0, np.int64)
+            for codes in _pairs_of((values[ends[a] : ends[b]] for a, b in zip(starts, starts[1:])), root):
+                codes = np.setdiff1d(codes, seen, assume_unique=True)
+                seen = np.union1d(seen, codes) if len(seen) < 1 << 24 else codes
+                keep_a, keep_b = [], []
+                for lo in range(0, len(codes), 1 << 15):
+                    i, j = np.divmod(codes[lo : lo + (1 << 15)], len(ids))
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    near = (apart * (100 + percent) <= (size[i] + size[j]) * (100 - percent)) | shared[i] | shared[j]
+                    keep_a.append(i[near])
+                    keep_b.append(j[near])
+                i, j = np.concatenate(keep_a), np.concatenate(keep_b)
+                if forest:
+                    joins = np.zeros(len(i), bool)
+                    for k, (x, y) in enumerate(zip(root[i].tolist(), root[j].tolist())):
+                        x, y = top(x), top(y)
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            joins[k] = True
+                    i, j = i[joins], j[joins]
                 if len(i):
-                    a, b = left[lo + i], right[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    return run
+
+
+def _near(percent: int):
+    """Pairs whose sketches do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 8192):
+                batch = whole.slice(lo, 8192)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                size = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(apart * (100 + percent) <= size * (100 - percent)))
+
+    return run
+
+
+def _near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m")), "b")
+    both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), "n"), "a")
+    close = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return close.select("a", "b", "x", "y", "n", "m").mapInArrow(_near(percent), "a bigint, b bigint").distinct()
 
 
 def _true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
-    both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint").distinct()
+    """Each side gets its set on its own and the two meet by pair, so few pairs never move the table of sets."""
+    pairs = blocks.materialize(pairs, "jaccard-near")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a")
+    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
+    return left.join(right, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint").distinct()
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -332,8 +482,9 @@ def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     spark = docs.sparkSession
     parts = blocks.partitions(spark)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    signed = given.mapInArrow(_sign(parts, percent, words), _SIGS)
-    made = blocks.materialize(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS), "jaccard-lists")
+    shared = spark.sparkContext.broadcast(frequent_shingles(given, words))
+    signed = given.mapInArrow(_sign(parts, percent, words, shared), _SIGS)
+    made = blocks.materialize(signed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS), "jaccard-lists")
     lists = made.where("gid IS NOT NULL")
     copies = made.where("gid IS NULL AND leader IS NOT NULL").select(F.col("leader").alias("a"), F.explode("members").alias("b"))
     pair = F.transform(F.sequence(F.lit(0), F.size("members") - 2, F.lit(2)), lambda i: F.struct(F.get("members", i).alias("doc_id"), F.get("members", i + 1).alias("n_shingles")))
@@ -341,24 +492,35 @@ def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     tried = blocks.materialize(lists.select(F.col("leader").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
     wanted = tried.select("a").unionByName(tried.select(F.col("b").alias("a"))).select(F.col("a").alias("doc_id")).distinct()
-    sets = blocks.materialize(given.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id bigint, features binary"), "jaccard-sets")
-    links = blocks.materialize(_true_links(tried, sets, percent).unionByName(copies), "jaccard-links")
+    # the ids grow with the documents: they are never broadcast
+    sets = blocks.materialize(given.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id bigint, features binary, n bigint, sketch binary"), "jaccard-sets")
+    links = blocks.materialize(_true_links(_near_pairs(tried, sets, percent), sets, percent).unionByName(copies), "jaccard-links")
     roots = graph.components(links, "a", "b")
 
-    # lists whose members are not one component yet
-    member = lists.withColumn("block", F.monotonically_increasing_id()).select("gid", "block", F.explode("members").alias("node"))
-    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = member.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
-    rows = member.join(mixed, "gid").groupBy("gid", "block").agg(F.collect_list("node").alias("ids"), F.collect_list("root").alias("roots"))
-    rows = blocks.materialize(rows, "jaccard-mixed")
-    other = rows.select("gid", F.col("block").alias("other"), F.col("ids").alias("others"), F.col("roots").alias("other_roots"))
-    cross = rows.join(other, "gid").where("block <= other").withColumn("same", F.expr("block = other"))
-    more = cross.select("ids", "roots", "others", "other_roots", "same").mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
-    more = more.join(tried, ["a", "b"], "left_anti")
-    found = blocks.materialize(_true_links(more, sets, percent), "jaccard-more")
-    if found.isEmpty():
-        return roots, sizes
-    return graph.components(links.unionByName(found), "a", "b"), sizes
+    # families: what the lists connect, whether similar or not
+    family = blocks.materialize(graph.components(tried, "a", "b").withColumnRenamed("root", "family"), "jaccard-families")
+    pairs = lists.join(family, lists["leader"] == family["node"]).groupBy("family").agg(F.sum(F.size("members").cast("bigint") * F.size("members")).alias("work"))
+    pairs = blocks.materialize(pairs.withColumn("tasks", F.ceil(F.col("work") / (2 * PAIRS)).cast("int")), "jaccard-work")
+    known = sets.select(F.col("doc_id").alias("node"), "n", "sketch")
+
+    def candidates(roots: DataFrame, forest: bool) -> DataFrame:
+        own = family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+        split = own.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").join(pairs, "family").select("family", "tasks")
+        nodes = own.join(split, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).join(known, "node")
+        wanted = lists.join(family, lists["leader"] == family["node"]).join(split, "family").withColumn("part", F.pmod("gid", F.col("tasks")).cast("int"))
+        task = F.xxhash64("family", "part").alias("task")
+        left = nodes.select(task, F.lit(None).cast("bigint").alias("gid"), "node", "root", "n", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
+        right = wanted.select(task, "gid", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "bigint"), ("root", "bigint"), ("n", "bigint"), ("sketch", "binary"))], "members")
+        met = left.unionByName(right).repartition(2 * parts, "task").sortWithinPartitions("task", "gid")
+        return met.mapInArrow(_candidates(percent, forest), "a bigint, b bigint").distinct()
+
+    for forest in (True, False):
+        more = _true_links(candidates(roots, forest), sets, percent)
+        found = blocks.materialize(more, "jaccard-more")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = graph.components(links, "a", "b")
+    return roots, sizes
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
