@@ -118,7 +118,7 @@ def hit_rates(df: DataFrame, rank: str, km: str, tops: Sequence[int], radii: Seq
     """Share of the first N within r km, for each N and r; an N beyond the list is left out."""
     cells = F.array(*[F.struct(F.lit(n).alias("top_n"), F.lit(float(r)).alias("radius_km")) for n in tops for r in radii])
     out = df.where(F.col(rank) <= max(tops)).withColumn("c", F.explode(cells)).where(F.col(rank) <= F.col("c.top_n"))
-    out = out.groupBy("c.top_n", "c.radius_km").agg(F.avg((F.col(km) <= F.col("radius_km")).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
+    out = out.groupBy("c.top_n", "c.radius_km").agg(F.avg((F.col(km) <= F.col("c.radius_km")).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
     return out.where("n = top_n").drop("n")
 
 

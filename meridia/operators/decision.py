@@ -92,15 +92,18 @@ def rank(df: DataFrame, by: Sequence[str] = ("scenario_id",), order: Sequence[st
 def rank_large(df: DataFrame, order: Sequence[str] = ("grid_id", "design_id"), value: str = "score", name: str = "rank", parts: int | None = None) -> DataFrame:
     """The rank of one group too large for one task: range partitions, and prefix sums of their sizes.
 
-    Only one count a partition reaches the driver.
+    Only one count a partition reaches the driver.  Range bounds are sampled anew by every run, so the partitions are
+    written first.
     """
+    from .relations import written
+
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = df.where(F.col(value).isNotNull())
     keys = [F.desc(value), *map(F.col, order)]
     dealt = ranked.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     numbered = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = written(numbered.withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
     sizes = {r["__part"]: r["n"] for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     base, at = {}, 0
     for p in sorted(sizes):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -12,40 +11,27 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
+from .relations import written
 
 ROOK = ((0, 1), (1, 0), (0, -1), (-1, 0))
 QUEEN = ROOK + ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, to cut the lineage of an iteration."""
-    import tempfile
-
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="meridia-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, component): the smallest key reachable; nodes without edges are their own.
 
     Minimum labels with pointer jumping: each round takes the least label of the neighbours and then the label of
     that label, so the number of rounds grows with the logarithm of a component's diameter.
     """
-    both = _table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
-    labels = _table(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct(), "labels")
+    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
+    labels = written(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct(), "labels")
     while True:
         near = both.join(labels, both["v"] == labels["n"]).groupBy("u").agg(F.min("l").alias("m"))
         step = labels.join(near, labels["n"] == near["u"], "left").select("n", "l", F.least("l", "m").alias("m"))
         # a label's own label, and hooking: what a node learned is also told to its old label
         told = step.groupBy(F.col("l").alias("o")).agg(F.min("m").alias("t"))
         hooked = step.join(told, step["m"] == told["o"], "left").select("n", F.col("l").alias("old"), F.least("m", "t").alias("l"))
-        new = _table(hooked, "labels")
+        new = written(hooked, "labels")
         changed = new.where("old <> l").limit(1).count()
         labels = new.select("n", "l")
         if not changed:

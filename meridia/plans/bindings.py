@@ -48,7 +48,7 @@ SQL = {
                CAST((s_suppkey * 53) % 380 + 4 AS DOUBLE) AS ymin, CAST((s_suppkey * 53) % 380 + 4 + 12 + s_suppkey % 17 AS DOUBLE) AS ymax FROM {supplier}""",
     "vectors": "SELECT p_partkey AS vec_id, p_brand AS brand, p_retailprice AS a, CAST(p_size AS DOUBLE) AS b, CAST((p_partkey * 31) % 97 AS DOUBLE) AS c FROM {part}",
     "prices": """
-        SELECT c_nationkey AS state, year(o_orderdate) AS yr, month(o_orderdate) AS mon, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS sales, CAST(count(*) AS BIGINT) AS n
+        SELECT c_nationkey AS state, CAST(year(o_orderdate) AS INT) AS yr, CAST(month(o_orderdate) AS INT) AS mon, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS sales, CAST(count(*) AS BIGINT) AS n
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
     "scores": """
         SELECT doc_id, source, lang, CAST(n_chars AS DOUBLE) AS score, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CAST(n_chars % 50 AS DOUBLE) END AS valued, doc_id % 9 = 0 AS positive FROM {documents}""",
@@ -77,10 +77,23 @@ class Domain:
         return self.spark.sql(SQL[name], **{t: self[t] for t in needed(name)})
 
 
+def plain_counts(text: str) -> str:
+    """count_if(x) as count(CASE WHEN x THEN 1 END): the same number, as BIGINT."""
+    out, at = [], 0
+    while (i := text.find("count_if(", at)) >= 0:
+        depth, j = 1, i + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[j], 0)
+            j += 1
+        out += [text[at:i], f"count(CASE WHEN {text[i + 9 : j - 1]} THEN 1 END)"]
+        at = j
+    return "".join(out) + text[at:]
+
+
 def oracle(names: str, text: str) -> str:
     """SQL text with the named domain tables before it."""
     made = [f"{n} AS ({SQL[n].replace('{', '').replace('}', '')})" for n in names.split()]
-    text = text.strip()
+    text = plain_counts(text.strip())
     if text[:5].upper() == "WITH ":
         recursive = text[5:14].upper() == "RECURSIVE"
         return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([*made, text[15 if recursive else 5 :]])
