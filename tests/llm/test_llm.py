@@ -479,3 +479,19 @@ def test_pipeline(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert ids[3] == {r[0] for r in brute_contamination([(r.doc_id, r.text) for r in seen[2].collect()], items) if not r[5]}
     assert corpus_pipeline.STAGES[-1][1](spark, seen[4], sf_dir).count() == seen[4].count()
+
+
+@pytest.mark.parametrize("name", ["op2_partenum_jaccard", "op6_decontaminate", "op7_preference_pairs"])
+def test_oracle_sql(spark, sf_dir, name):
+    import duckdb
+
+    from meridia.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    names = sorted(df.columns)
+    got = [tuple(r) for r in df.select(*names).collect()]
+    want = con.sql(queries.ORACLE_SQL[name]).select(*names).fetchall()
+    assert sorted(got, key=key) == sorted(want, key=key)
