@@ -80,32 +80,40 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_key: str, p
     return p.join(r, ["__tx", "__ty"]).where(in_polygon(F.col("x"), F.col("y"), F.col(ring))).select(point_key, polygon_key)
 
 
-def clipped_area(ring: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
-    """Area of a simple polygon inside an axis-parallel rectangle (clip edge by edge, then the shoelace sum)."""
+def clipped_area(df: DataFrame, ring: Column, xmin: str, xmax: str, ymin: str, ymax: str, name: str = "area") -> DataFrame:
+    """`df` with the area of a simple polygon inside a rectangle: clipped edge by edge, then the shoelace sum.
 
-    def clip(points: Column, inside, cut) -> Column:
-        n = F.size(points)
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, (i + 1) % F.greatest(n, F.lit(1))).alias("b")))
-
-        def step(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(cut(a, b))).when(inside(b), F.array(cut(a, b), b)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-
-        return F.when(n > 0, F.flatten(F.transform(pairs, step))).otherwise(points)
+    Each clip is a column of its own, so that its points are computed once and not in every place that reads them.
+    """
 
-    def at_x(v: Column):
-        return lambda a, b: F.struct(v.alias("x"), (a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])).alias("y"))
+    def at_x(v: str):
+        return lambda a, b: F.struct(F.col(v).alias("x"), (a["y"] + (b["y"] - a["y"]) * (F.col(v) - a["x"]) / (b["x"] - a["x"])).alias("y"))
 
-    def at_y(v: Column):
-        return lambda a, b: F.struct((a["x"] + (b["x"] - a["x"]) * (v - a["y"]) / (b["y"] - a["y"])).alias("x"), v.alias("y"))
+    def at_y(v: str):
+        return lambda a, b: F.struct((a["x"] + (b["x"] - a["x"]) * (F.col(v) - a["y"]) / (b["y"] - a["y"])).alias("x"), F.col(v).alias("y"))
 
-    out = clip(ring, lambda p: p["x"] >= xmin, at_x(xmin))
-    out = clip(out, lambda p: p["x"] <= xmax, at_x(xmax))
-    out = clip(out, lambda p: p["y"] >= ymin, at_y(ymin))
-    out = clip(out, lambda p: p["y"] <= ymax, at_y(ymax))
-    n = F.size(out)
-    terms = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(out, i)["x"] * F.get(out, (i + 1) % n)["y"] - F.get(out, (i + 1) % n)["x"] * F.get(out, i)["y"])
-    return F.when(n >= 3, F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2.0).otherwise(F.lit(0.0))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    sides = [
+        (lambda p: p["x"] >= F.col(xmin), at_x(xmin)), (lambda p: p["x"] <= F.col(xmax), at_x(xmax)),
+        (lambda p: p["y"] >= F.col(ymin), at_y(ymin)), (lambda p: p["y"] <= F.col(ymax), at_y(ymax)),
+    ]
+    def kept(inside, cut):
+        def step(e: Column) -> Column:
+            a, b = e["a"], e["b"]
+            return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(cut(a, b))).when(inside(b), F.array(cut(a, b), b)).otherwise(none)
+
+        return step
+
+    out = df.withColumn("__p", ring)
+    for inside, cut in sides:
+        # edges: each point with the next one, the last with the first
+        turned = F.concat(F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), F.slice("__p", 1, 1))
+        out = out.withColumn("__e", F.arrays_zip(F.col("__p").alias("a"), turned.alias("b")))
+        out = out.withColumn("__p", F.flatten(F.transform("__e", kept(inside, cut))))
+    turned = F.concat(F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), F.slice("__p", 1, 1))
+    out = out.withColumn("__e", F.arrays_zip(F.col("__p").alias("a"), turned.alias("b")))
+    total = F.aggregate("__e", F.lit(0.0), lambda t, e: t + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    return out.withColumn(name, F.when(F.size("__p") >= 3, F.abs(total) / 2.0).otherwise(F.lit(0.0))).drop("__p", "__e")
 
 
 def _tiles(df: DataFrame, lat: str, lon: str, degrees: float, reach: int = 0) -> DataFrame:

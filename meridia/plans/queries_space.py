@@ -65,7 +65,8 @@ def jn16b(d) -> DataFrame:
     x = pairs.join(s, "square_id").join(b.select("box_id", *[F.col(k).alias(f"b_{k}") for k in ("xmin", "xmax", "ymin", "ymax")]), "box_id")
     at = lambda p, q: F.struct(F.col(p).alias("x"), F.col(q).alias("y"))
     ring = F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("xmin", "ymax"))
-    return x.select("square_id", "box_id", F.round(SP.clipped_area(ring, F.col("b_xmin"), F.col("b_xmax"), F.col("b_ymin"), F.col("b_ymax")), 6).alias("area"))
+    out = SP.clipped_area(x, ring, "b_xmin", "b_xmax", "b_ymin", "b_ymax")
+    return out.select("square_id", "box_id", F.round("area", 6).alias("area"))
 
 
 _KM = hav("p.lat", "p.lon", "s.lat", "s.lon")

@@ -100,8 +100,8 @@ def wkb_points(df: DataFrame, wkb: str) -> dict[str, Column]:
         bits = F.hex(F.substring(F.col(wkb), offset, 8))
         swapped = F.concat(*[F.substring(bits, 15 - 2 * i, 2) for i in range(8)])
         word = F.conv(swapped, 16, 10).cast("decimal(20,0)")
-        sign = F.when(word >= F.lit(2**63).cast("decimal(20,0)"), -1.0).otherwise(1.0)
-        rest = (word % F.lit(2**63).cast("decimal(20,0)")).cast("bigint")
+        sign = F.when(word >= F.lit(str(1 << 63)).cast("decimal(20,0)"), -1.0).otherwise(1.0)
+        rest = (word % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
         exponent = F.shiftright(rest, 52).cast("int")
         part = rest.bitwiseAND(F.lit((1 << 52) - 1))
         return F.when(rest == 0, F.lit(0.0)).otherwise(sign * (1 + part / float(1 << 52)) * F.pow(F.lit(2.0), exponent - 1023))

@@ -136,7 +136,7 @@ def test_albers_origin(spark):
 
 
 def test_separated(spark):
-    df = spark.createDataFrame([(i, 0.0, lon) for i, lon in enumerate([0, 0.1, 0.3, 0.4, 1, 1.1])], "i int, lat double, lon double")
+    df = spark.createDataFrame([(i, 0.0, lon) for i, lon in enumerate([0.0, 0.1, 0.3, 0.4, 1.0, 1.1])], "i int, lat double, lon double")
     take = lambda km, n: [r["i"] for r in G.greedy_separated(df, "i", ["i"], km, n, chunk=2).orderBy("place").collect()]
     assert take(25.0, 10) == [0, 2, 4] and take(25.0, 2) == [0, 2] and take(0.0, 3) == [0, 1, 2]
 
