@@ -191,11 +191,11 @@ def agg16(d) -> DataFrame:
 WITH s AS (SELECT c_nationkey AS cand, c_custkey // 25 AS draw, c_acctbal AS v FROM customer WHERE c_custkey // 25 < 5),
 picks AS (SELECT CAST(floor(id / 5e0) AS INTEGER) AS round, CAST(floor(CAST(('0x' || substr(sha256('42:' || id), 1, 8)) AS BIGINT) / 4294967296e0 * 5) AS BIGINT) AS draw FROM range(200) t(id)),
 m AS (SELECT cand, round, avg(v) AS m FROM picks JOIN s USING (draw) GROUP BY 1, 2)
-SELECT cand, round(stddev_samp(m), 6) AS se, round(quantile_cont(m, 25e-3), 6) AS low, round(quantile_cont(m, 975e-3), 6) AS high FROM m GROUP BY 1""")
+SELECT cand, round(stddev_samp(m), 3) AS se, round(quantile_cont(m, 25e-3), 3) AS low, round(quantile_cont(m, 975e-3), 3) AS high FROM m GROUP BY 1""")
 def agg17(d) -> DataFrame:
     s = d["customer"].select(F.col("c_nationkey").alias("cand"), F.floor(F.col("c_custkey") / 25).cast("bigint").alias("draw"), F.col("c_acctbal").alias("v")).where("draw < 5")
     out = A.bootstrap_means(s, ["cand"], "draw", "v", 5, 40, 42)
-    return out.select("cand", *[F.round(c, 6).alias(c) for c in ("se", "low", "high")])
+    return out.select("cand", *[F.round(c, 3).alias(c) for c in ("se", "low", "high")])
 
 
 @query("agg18_agg19_overlap", "vectors", """
