@@ -167,30 +167,35 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each unit; the last unit (the end) keeps class 0 to itself.
 
-    Each unit in turn goes to the class that raises the bigram likelihood most,
-    sum n(c, d) log n(c, d) - sum n(c) log n(c) - sum n(d) log n(d), until nothing moves.
+    The most frequent units open the classes; then each unit in turn, and again until nothing moves, goes to the
+    class that raises the bigram likelihood of the units placed so far most,
+    sum n(c, d) log n(c, d) - sum n(c) log n(c) - sum n(d) log n(d).
     """
     n = len(pairs)
     seen = pairs.sum(0) + pairs.sum(1)
     order = [int(u) for u in np.argsort(-seen, kind="stable") if u != n - 1]
-    label = np.zeros(n, np.int64)
-    for i, u in enumerate(order):
-        label[u] = 1 + i % (classes - 1)
+    label = np.full(n, -1)
+    label[n - 1] = 0
+    for i, u in enumerate(order[: classes - 1]):
+        label[u] = 1 + i
     m = np.zeros((classes, classes))
-    np.add.at(m, (label[:, None], label[None, :]), pairs)
-    for _ in range(rounds):
+    placed = np.flatnonzero(label >= 0)
+    np.add.at(m, (label[placed][:, None], label[placed][None, :]), pairs[np.ix_(placed, placed)])
+    for _ in range(rounds + 1):
         moved = 0
         for u in order:
             if not seen[u]:
+                label[u] = max(label[u], 1)
                 continue
             old, own = label[u], float(pairs[u, u])
-            out = np.bincount(label, pairs[u], minlength=classes)
-            into = np.bincount(label, pairs[:, u], minlength=classes)
-            out[old] -= own
-            into[old] -= own
-            m[old] -= out
-            m[:, old] -= into
-            m[old, old] -= own
+            out = np.bincount(label + 1, pairs[u], minlength=classes + 1)[1:]
+            into = np.bincount(label + 1, pairs[:, u], minlength=classes + 1)[1:]
+            if old >= 0:
+                out[old] -= own
+                into[old] -= own
+                m[old] -= out
+                m[:, old] -= into
+                m[old, old] -= own
             f = _xlogx(m)
             row, column = _xlogx(m + out[None, :]) - f, _xlogx(m + into[:, None]) - f
             d = np.arange(classes)
@@ -199,7 +204,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             gain = row.sum(1) - row[d, d] + column.sum(0) - column[d, d] + inner
             gain -= _xlogx(left + out.sum() + own) - _xlogx(left) + _xlogx(right + into.sum() + own) - _xlogx(right)
             gain[0] = -np.inf
-            new = old if gain[old] >= gain.max() - 1e-9 else int(gain.argmax())
+            new = old if old >= 0 and gain[old] >= gain.max() - 1e-9 else int(gain.argmax())
             label[u] = new
             m[new] += out
             m[:, new] += into
