@@ -41,7 +41,8 @@ from . import blocks, graph
 WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
-FLUSH = 1 << 20  # signatures held in a task
+FLUSH = 1 << 19  # signatures held in a task
+CHUNK = 1 << 20  # text bytes shingled at a time
 COMMON = 2000  # a shingle of one in so many documents is frequent; at most COMMON * (mean set size) shingles are
 _BITS = 52
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -186,11 +187,11 @@ def _count_shingles(buckets: int, words: int):
             parts = [(i, cut[i], cut[i + 1]) for i in range(buckets) if cut[i] < cut[i + 1]]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([times[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "hashes", "times"])
 
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, limit=CHUNK):
             _, hashes = shingle_sets(batch.column("text"), words)
             held.append(hashes)
             total += len(hashes)
-            if total > 8 * FLUSH:
+            if total > 2 * FLUSH:
                 yield pack()
                 held, total = [], 0
         if total:
@@ -246,7 +247,7 @@ def _sign(buckets: int, percent: int, words: int, shared=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sigs, held = [], [], 0
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, limit=CHUNK):
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             at, hashes = shingle_sets(batch.column("text"), words)
             size = np.diff(at)
@@ -342,7 +343,7 @@ PAIRS = 40_000_000  # list pairs from which a family is dealt over one more task
 
 def _pack_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, limit=CHUNK):
             at, hashes = shingle_sets(batch.column("text"), words)
             packed = pa.array([hashes[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
             place = (blocks.mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
@@ -541,7 +542,7 @@ def shingle_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, limit=CHUNK):
             at, _ = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at))], names=["doc_id", "n_shingles"])
 
