@@ -10,7 +10,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,7 @@ def block_of(count: int, key: str = "doc_id", text: str = "text"):
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """Consecutive rows of equal key, as one table each; the batches come sorted by key."""
+    claim(None)
     held: list[pa.RecordBatch] = []
     value = None
     for batch in batches:
@@ -106,6 +107,21 @@ def release() -> None:
         trim(0)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(owner: str, clear: Callable[[], None]) -> None:
+    """Register how to drop what an operator keeps in a Python worker from task to task."""
+    _caches[owner] = clear
+
+
+def claim(owner: str | None) -> None:
+    """A worker that now serves another operator drops the caches of the one before."""
+    for name in [n for n in _caches if n != owner]:
+        _caches.pop(name)()
+        release()
+
+
 # ---------------------------------------------------------------- buffers
 
 
@@ -122,8 +138,9 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, docs: int = CHUNK_DOCS) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, docs: int = CHUNK_DOCS, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of at most `docs` rows and `limit` text bytes; a longer text is a slice of its own."""
+    claim(owner)
     done = 0
     for batch in batches:
         if not batch.num_rows:

@@ -198,7 +198,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, ma
 
 def _scorer(shared, label: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches, "__text"):
+        for batch in blocks.chunks(batches, "__text", limit=1 << 20):
             names = [c for c in batch.schema.names if c != "__text"]
             score = score_texts(shared.value, batch.column("__text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, label])

@@ -86,8 +86,9 @@ def _pass(shared, window: int, first: bool, last: bool):
         if key not in _built:
             _built.clear()
             _built[key] = build_automaton(shared.value[1], window)
+        blocks.cache("decontaminate", _built.clear)
         codes, automaton = _built[key]
-        for batch in blocks.chunks(batches, "__text"):
+        for batch in blocks.chunks(batches, "__text", limit=1 << 20, owner="decontaminate"):
             counts, all_spans, all_names = [], [], []
             old = None if first else (batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
             for i, text in enumerate(batch.column("__text").cast(pa.binary()).to_pylist()):

@@ -113,13 +113,14 @@ def _read_map(uri: str, dtype: str) -> np.ndarray:
 def _writer(out: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        blocks.cache("tokens", _encoders.clear)
         fs, root = _place(out)
         end = np.array([end_id], coder.dtype).tobytes()
         stem, mark = f"{root}/part-{part:06d}", uuid.uuid4().hex[:8]
         sizes: list[int] = []
         ids: list[pa.Array] = []
         sink = None
-        for batch in blocks.chunks(batches):
+        for batch in blocks.chunks(batches, owner="tokens"):
             sink = sink or fs.open_output_stream(f"{stem}.{mark}.tmp")
             ids.append(batch.column("doc_id"))
             pieces = []
