@@ -1,17 +1,20 @@
 """Language-model scoring with Brown class-based bigrams.
 
 P(text) = product of P(class | class before) * P(word | class).  What exchange clustering moves between
-classes are units: the `TOP` most frequent training words, each on its own, and all other words (seen or
-not) grouped by a hash of their last three bytes, so every word has a class.  Transitions back off to class
-frequencies; a class keeps the share of its singletons for words it has not seen.
+classes are units: every word that the training text holds `LEAST` times or more, each on its own, and the
+rarer and unseen words grouped by a hash of their last three bytes, so every word has a class.  Transitions
+back off to class frequencies; a class keeps the share of its singletons for words it has not seen.
 
 All counts are over all training text.  Words travel as 64-bit hashes in packed arrays:
 1. documents are dealt to blocks of some megabytes; a block sends its distinct words with their training
    counts to buckets by hash range;
 2. a bucket adds up and answers every block with the totals of that block's words, in the same order;
-3. unit bigrams are counted in one pass over the text, added up by range, and clustered on the driver (at most
-   (TOP + GROUPS + 1) ** 2 numbers, whatever the input);
-4. a block meets its answers and scores its documents.  No table of all words is held or sent anywhere.
+3. the opening: the `TOP` most frequent words and the suffix groups of all others are clustered on the driver;
+   every unit starts in the class of its word or of its group;
+4. rounds of distributed exchange: a block counts the classes before and after each of its units and sends these
+   sparse counts to the buckets; a bucket adds them up, moves its units and answers every block with the classes
+   of that block's units.  Rounds end when nothing moves, the likelihood stops rising, or after `ROUNDS`;
+5. a block meets its answers and scores its documents.  No table of all words is held or sent anywhere.
 
 Defined results: a null or empty text is the end token alone; rows without an id count as the id's empty text
 for the fold; repeated rows are scored, and counted, one by one; an empty table gives no rows; without training
@@ -34,9 +37,11 @@ CLASSES = 64
 TOP = 1024
 GROUPS = 512
 ROUNDS = 8
+LEAST = 2
 BACK_OFF = 5.0
 BLOCK_BYTES = 4 << 20
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
+_GROUP_IDS = blocks.mix(np.arange(1, GROUPS + 1, dtype=np.uint64))
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,44 +220,261 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return label
 
 
-def build_model(pairs: np.ndarray, singles: np.ndarray, top: np.ndarray) -> dict:
-    """Base-10 log transitions, class totals and unseen shares."""
-    label = exchange(pairs.astype(np.float64))
+def class_counts(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
     m = np.zeros((CLASSES, CLASSES))
     np.add.at(m, (label[:, None], label[None, :]), pairs)
+    return m
+
+
+def rates(m: np.ndarray, group_label: np.ndarray, singles: np.ndarray) -> dict:
+    """Base-10 log transitions, class totals and unseen shares."""
     total = m.sum(0)
     prior = (total + 0.1) / (total.sum() + 0.1 * CLASSES)
     move = (m + BACK_OFF * prior[None, :]) / (m.sum(1, keepdims=True) + BACK_OFF)
-    once = np.bincount(label[TOP:], singles, minlength=CLASSES)
+    once = np.bincount(group_label, singles, minlength=CLASSES)
     unseen = np.minimum((once + 0.5) / (total + 1.0), 0.95)
     unseen[0] = 0.0 if total[0] else 0.5
-    return {"top": top, "label": label, "move": np.log10(move), "total": total, "unseen": unseen}
+    return {"move": np.log10(move), "total": total, "unseen": unseen}
 
 
-def _score_block(model: dict, table: pa.Table, answers: dict[int, bytes], n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
-    rows, hashes, group = tokens(table.column("text"))
-    n = table.num_rows
-    words, inverse = np.unique(hashes, return_inverse=True)
-    c = np.concatenate([np.frombuffer(answers[k], "<u8") for k in sorted(answers)])[inverse].astype(np.float64)
-    base = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-    label = model["label"][_units(hashes, group, model["top"])]
-    before = np.concatenate([[0], label[:-1]])
-    before[blocks.run_starts(rows)] = 0
-    share = model["unseen"][label]
-    emit = np.log10(np.where(c > 0, (1 - share) * c / np.maximum(model["total"][label], 1.0), share))
-    own = model["move"][before, label] + np.minimum(emit, 0.0)
-    add = lambda x: np.bincount(rows, x, minlength=n)
-    return np.bincount(rows, minlength=n), add(c > 0).astype(np.int64), add(base), add(own)
+def build_model(pairs: np.ndarray, singles: np.ndarray, top: np.ndarray) -> dict:
+    """The opening: classes of the frequent words and the suffix groups, and the rates they give."""
+    label = exchange(pairs.astype(np.float64))
+    m = class_counts(pairs, label)
+    return {"top": top, "label": label, "counts": m} | rates(m, label[TOP:], singles)
+
+
+# ---------------------------------------------------------------- distributed exchange
+
+
+def likelihood(m: np.ndarray) -> float:
+    return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum())
+
+
+def gains(m: np.ndarray, at: np.ndarray, code: np.ndarray, times: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """(unit, class): what the likelihood gains by placing the unit there, once it is taken out of its class.
+
+    Sparse counts: unit `at` (ascending) is followed `times` by class `code`, or follows class `code` - classes;
+    `own` counts a unit after itself, which is in no other count.
+    """
+    k, n = len(m), len(own)
+    f = _xlogx
+    sides = np.vstack([m.T, m])
+    flat, few = f(sides), np.arange(1, 9)[:, None, None]
+    small = f(sides[None] + few) - flat
+    rise = np.zeros((n, k))
+    for i in range(0, len(at), 1 << 15):
+        c, t, u = (x[i : i + (1 << 15)] for x in (code, times, at))
+        x = small[np.minimum(t, 8) - 1, c]
+        many = np.flatnonzero(t > 8)
+        x[many] = f(sides[c[many]] + t[many, None]) - flat[c[many]]
+        first = np.flatnonzero(blocks.run_starts(u))
+        rise[u[first]] += np.add.reduceat(x, first)
+    both = np.zeros((n, 2 * k))
+    both[at, code] = times
+    out, into = both[:, :k], both[:, k:]
+    i, d, own = np.arange(n), np.arange(k), own[:, None].astype(np.float64)
+    diagonal, left, right = m[d, d][None], m.sum(1)[None], m.sum(0)[None]
+    flat_d = f(diagonal)
+    # pairs with the class itself, and with the class the unit has left
+    rise += f(diagonal + out + into + own) - f(diagonal + out) - f(diagonal + into) + flat_d
+    for row, mine, other in ((m[:, old].T, out, into), (m[old], into, out)):
+        some = np.flatnonzero(mine[i, old])
+        row, step = row[some], mine[i, old][some, None]
+        less = np.maximum(row - other[some], 0.0)
+        rise[some] += f(less + step) - f(less) - f(row + step) + f(row)
+    s, e = out.sum(1, keepdims=True) + own, into.sum(1, keepdims=True) + own
+    rise -= f(left + s) - f(left) + f(right + e) - f(right)
+    # staying: the same, with the unit's own counts taken out of its class
+    cut = lambda x, y: f(x) - f(np.maximum(x - y, 0.0))
+    rows, columns, o = cut(m[old], out), cut(m[:, old].T, into), old[:, None]
+    pick = lambda x: np.take_along_axis(x, o, 1)
+    stay = rows.sum(1, keepdims=True) - pick(rows) + columns.sum(1, keepdims=True) - pick(columns)
+    stay += cut(m[old, old][:, None], pick(out) + pick(into) + own) - cut(left[0][o], s) - cut(right[0][o], e)
+    np.put_along_axis(rise, o, stay, 1)
+    return rise
+
+
+def move_units(m: np.ndarray, at: np.ndarray, code: np.ndarray, times: np.ndarray, own: np.ndarray, old: np.ndarray, step: int = 2048) -> np.ndarray:
+    """New class of each unit; class 0 is the end's."""
+    new = old.copy()
+    for a in range(0, len(own), step):
+        b = min(a + step, len(own))
+        i, j = np.searchsorted(at, [a, b])
+        gain = gains(m, at[i:j] - a, code[i:j], times[i:j], own[a:b], old[a:b])
+        gain[:, 0] = -np.inf
+        best = gain.argmax(1)
+        n = np.arange(b - a)
+        seen = np.bincount(at[i:j] - a, minlength=b - a) > 0
+        new[a:b] = np.where(seen & (gain[n, best] > gain[n, old[a:b]] + 1e-9), best, old[a:b])
+    return new
+
+
+def _known(table: pa.Table, column: str, dtype: str) -> np.ndarray:
+    """What the buckets answered to a block, in the order of its hashes."""
+    got = {k: x for k, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist()) if x is not None}
+    return np.concatenate([np.frombuffer(got[k], dtype) for k in sorted(got)] or [np.zeros(0, dtype)])
+
+
+def _tell(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(answers, the block's own rows)."""
+    first = int((table.column("bucket").to_numpy() >= 0).sum())
+    return table.slice(0, first), table.slice(first)
+
+
+def _unit_ids(hashes: np.ndarray, group: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    return np.where((totals >= LEAST) | (hashes == _END), hashes, _GROUP_IDS[np.minimum(group, GROUPS - 1)])
+
+
+def _coder(shared):
+    """A block's training text as numbers of its units, and where these units start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, label = shared.value
+        for block, table in blocks.runs(batches, "block"):
+            answers, docs = _tell(table)
+            if not docs.num_rows:
+                continue
+            rows, hashes, group = tokens(docs.column("text"))
+            train = ~docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+            _, inverse = np.unique(hashes, return_inverse=True)
+            ids = _unit_ids(hashes, group, _known(answers, "totals", "<u8")[inverse])
+            units, first, code = np.unique(ids, return_index=True, return_inverse=True)
+            start = label[_units(hashes[first], group[first], top)]
+            rare = ids[first] != hashes[first]
+            start[rare] = label[TOP + group[first][rare]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (units, code[train[rows]].astype("<u4"), start.astype("u1")))],
+                names=["block", "units", "stream", "classes"],
+            )
+
+    return run
+
+
+_SENT = "bucket int, block int, units binary, classes binary, own binary, n binary, codes binary, times binary"
+
+
+def _statistics(count: int):
+    """Classes before and after the units of each block, to the units' buckets; one row a task has the class bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        names = ["bucket", "block", "units", "classes", "own", "n", "codes", "times"]
+        m = np.zeros(CLASSES * CLASSES, "<i8")
+        for block, table in blocks.runs(batches, "block"):
+            answers, mine = _tell(table)
+            if not mine.num_rows:
+                continue
+            units, stream, start = (np.frombuffer(mine.column(c)[0].as_py(), t) for c, t in (("units", "<u8"), ("stream", "<u4"), ("classes", "u1")))
+            label = _known(answers, "classes", "u1") if answers.num_rows else start
+            stream = stream.astype(np.int64)
+            before = np.concatenate([np.searchsorted(units, [_END]), stream[:-1]])[: len(stream)]
+            a, b = label[before].astype(np.int64), label[stream].astype(np.int64)
+            m += np.bincount(a * CLASSES + b, minlength=len(m))
+            other = stream != before
+            own = np.bincount(stream[~other], minlength=len(units))
+            key, times = np.unique(np.concatenate([before[other] * (2 * CLASSES) + b[other], stream[other] * (2 * CLASSES) + CLASSES + a[other]]), return_counts=True)
+            n = np.bincount(key // (2 * CLASSES), minlength=len(units))
+            end = np.concatenate([[0], np.cumsum(n)])
+            cut = _split(units, count)
+            parts = [(i, cut[i], cut[i + 1]) for i in range(count) if cut[i] < cut[i + 1]]
+            code = (key % (2 * CLASSES)).astype("u1")
+            by_unit = [[x[i:j].tobytes() for _, i, j in parts] for x in (units, label, own.astype("<u4"), n.astype("u1"))]
+            by_entry = [[x[end[i] : end[j]].tobytes() for _, i, j in parts] for x in (code, times.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[i for i, _, _ in parts], [block] * len(parts), *by_unit, *by_entry], kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1, -1, None, None, None, None, None, m.tobytes()], kinds)], names=names)
+
+    return run
+
+
+_MOVED = "block int, bucket int, classes binary, moved bigint, unit_count bigint, groups binary"
+
+
+def _mover(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, table in blocks.runs(batches, "bucket"):
+            asked = table.column("block").to_pylist()
+            get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+            parts = get("units", "<u8")
+            units, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+            old = np.concatenate(get("classes", "u1"))[first].astype(np.int64)
+            own = np.bincount(inverse, np.concatenate(get("own", "<u4")), minlength=len(units)).astype(np.int64)
+            key = np.repeat(inverse, np.concatenate(get("n", "u1"))) * (2 * CLASSES) + np.concatenate(get("codes", "u1"))
+            key, where = np.unique(key, return_inverse=True)
+            times = np.bincount(where, np.concatenate(get("times", "<u4")), minlength=len(key)).astype(np.int64)
+            new = move_units(shared.value, key // (2 * CLASSES), key % (2 * CLASSES), times, own, old)
+            new[units == _END] = 0
+            groups = np.full(GROUPS, 255, "u1")
+            at = np.minimum(np.searchsorted(units, _GROUP_IDS), len(units) - 1)
+            here = units[at] == _GROUP_IDS
+            groups[here] = new[at[here]]
+            end, told = np.cumsum([len(p) for p in parts]), new.astype("u1")[inverse]
+            for i in range(0, len(parts), 64):
+                some = range(i, min(i + 64, len(parts)))
+                head = [j == 0 for j in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([asked[j] for j in some], pa.int32()),
+                        pa.array([bucket for _ in some], pa.int32()),
+                        pa.array([told[end[j] - len(parts[j]) : end[j]].tobytes() for j in some], pa.binary()),
+                        pa.array([int((new != old).sum()) if h else 0 for h in head], pa.int64()),
+                        pa.array([len(units) if h else 0 for h in head], pa.int64()),
+                        pa.array([groups.tobytes() if h else None for h in head], pa.binary()),
+                    ],
+                    names=["block", "bucket", "classes", "moved", "unit_count", "groups"],
+                )
+
+    return run
+
+
+def _meet(answers: DataFrame, own: DataFrame, count: int) -> DataFrame:
+    """Each block's answers, then its own rows (bucket -1)."""
+    met = answers.unionByName(own.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
+    return met.repartition(min(count, 4 * blocks.partitions(own.sparkSession)), "block").sortWithinPartitions("block", F.desc("bucket"))
+
+
+def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(class bigrams, classes of the suffix groups, answers to the blocks) of the best round."""
+    spark = coded.sparkSession
+    parts = blocks.partitions(spark)
+    now, best = coded.select("block", F.lit(0).alias("bucket"), "classes"), None
+    for done in range(rounds + 1):
+        met = _meet(now, coded, count) if done else coded.withColumn("bucket", F.lit(-1)).repartition(min(count, 4 * parts), "block").sortWithinPartitions("block")
+        sent = blocks.materialize(met.mapInArrow(_statistics(buckets), _SENT), "lm-sent")
+        m = np.zeros(CLASSES * CLASSES, np.int64)
+        for row in sent.where("bucket < 0").select("times").toLocalIterator():
+            m += np.frombuffer(row[0], "<i8")
+        m = m.reshape(CLASSES, CLASSES).astype(np.float64)
+        rise = likelihood(m) - (likelihood(best[0]) if best else -np.inf)
+        if rise <= 0:
+            blocks.drop_table(sent)
+            blocks.drop_table(now)
+            break
+        if best and done > 1:
+            blocks.drop_table(best[2])
+        best = m, group_label, now
+        if done < rounds:
+            shared = spark.sparkContext.broadcast(m)
+            given = sent.where("bucket >= 0").repartitionById(min(buckets, parts), F.col("bucket") % min(buckets, parts)).sortWithinPartitions("bucket")
+            now = blocks.materialize(given.mapInArrow(_mover(shared), _MOVED), "lm-classes")
+            heads = now.where("groups IS NOT NULL").select("groups", "moved", "unit_count").collect()
+            group_label = group_label.copy()
+            for row in heads:
+                found = np.frombuffer(row["groups"], "u1")
+                group_label[found < 255] = found[found < 255]
+            moved = sum(r["moved"] for r in heads)
+        blocks.drop_table(sent)
+        spark._jvm.System.gc()  # shuffles of rounds that are over
+        if done < rounds and not moved:
+            blocks.drop_table(now)
+            break
+    return best
 
 
 def _scorer(shared, n_tokens: int, n_types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "block"):
-            kind = table.column("bucket").to_numpy()
-            first = int((kind >= 0).sum())
-            got = table.slice(0, first)
-            answers = dict(zip(got.column("bucket").to_pylist(), got.column("totals").to_pylist()))
-            docs = table.slice(first)
+            answers, docs = _tell(table)
             if not docs.num_rows:
                 continue
             n, known, base, own = _score_block(shared.value, docs, answers, n_tokens, n_types)
@@ -264,6 +486,24 @@ def _scorer(shared, n_tokens: int, n_types: int):
     return run
 
 
+def _score_block(model: dict, table: pa.Table, answers: pa.Table, n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
+    rows, hashes, group = tokens(table.column("text"))
+    n = table.num_rows
+    _, inverse = np.unique(hashes, return_inverse=True)
+    totals = _known(answers, "totals", "<u8")[inverse]
+    c = totals.astype(np.float64)
+    base = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+    _, code = np.unique(_unit_ids(hashes, group, totals), return_inverse=True)
+    label = _known(answers, "classes", "u1")[code].astype(np.int64)
+    before = np.concatenate([[0], label[:-1]])
+    before[blocks.run_starts(rows)] = 0
+    share = model["unseen"][label]
+    emit = np.log10(np.where(c > 0, (1 - share) * c / np.maximum(model["total"][label], 1.0), share))
+    own = model["move"][before, label] + np.minimum(emit, 0.0)
+    add = lambda x: np.bincount(rows, x, minlength=n)
+    return np.bincount(rows, minlength=n), add(c > 0).astype(np.int64), add(base), add(own)
+
+
 def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Scores of documents with doc_id and text; the fold whose crc32 remainder is 0 does not train."""
     spark = docs.sparkSession
@@ -293,14 +533,18 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     pairs = np.zeros(UNITS * UNITS)
     for row in added.collect():  # at most UNITS ** 2 counts
         pairs[np.frombuffer(row["codes"], "<u4")] = np.frombuffer(row["times"], "<u8")
-    model = spark.sparkContext.broadcast(build_model(pairs.reshape(UNITS, UNITS), singles, top))
+    opening = build_model(pairs.reshape(UNITS, UNITS), singles, top)
+
+    replies = answers.select("block", "bucket", "totals")
+    start = spark.sparkContext.broadcast((top, opening["label"]))
+    coded = _meet(replies, given.select("block", "held_out", "text"), count).mapInArrow(_coder(start), "block int, units binary, stream binary, classes binary")
+    coded = blocks.materialize(coded, "lm-coded")
+    m, group_label, classes = exchange_all(coded, opening["label"][TOP : TOP + GROUPS], count, buckets)
+    model = spark.sparkContext.broadcast(rates(m, np.append(group_label, 0), singles))
 
-    empty = {"doc_id": docs.schema["doc_id"].dataType, "held_out": "boolean", "text": "string"}
-    replies = answers.select("block", "bucket", "totals", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    asking = given.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "doc_id", "held_out", "text")
-    met = replies.unionByName(asking).repartition(min(count, 4 * parts), "block").sortWithinPartitions("block", F.desc("bucket"))
+    told = replies.unionByName(classes.select("block", "bucket", "classes"), allowMissingColumns=True)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return met.mapInArrow(_scorer(model, n_tokens, n_types), schema)
+    return _meet(told, given, count).mapInArrow(_scorer(model, n_tokens, n_types), schema)
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,45 @@ def test_transitions_add_up():
     assert (10 ** model["move"]).sum(1) == pytest.approx(1)
 
 
+def test_words_beyond_the_opening_have_their_own_class(spark):
+    """Words that all end alike, none among the `TOP` most frequent, stand where one or another kind of frequent word stands."""
+    rng = random.Random(11)
+    kinds = [["%s%03dxyz" % (k, i) for i in range(150)] for k in "pq"]
+    text = lambda p, q: " ".join(f"le {a} ba la {b} bo" for a, b in zip(p, q))
+    fill = ["f%d" % i for i in range(brown_lm.TOP + 50)]
+    texts = [" ".join(rng.sample(fill, len(fill))) for _ in range(40)]
+    texts += [text(*([rng.choice([rng.choice(k), "%s%d" % (k[0][0], rng.randrange(5))]) for _ in range(10)] for k in kinds)) for _ in range(250)]
+    ids = [i for i in range(10000, 20000) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(10000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    p, q = (k[:10] for k in kinds)
+    rows = [*zip(ids, texts), (held[0], text(p, q)), (held[1], text(q, p))]
+    got = {r.doc_id: r for r in brown_lm.score_corpus(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[held[0]].held_out and got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 5
+
+
+def test_gains_of_moves():
+    rng, n, k = np.random.default_rng(5), 40, 6
+    pairs = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.3)
+    pairs[3, 7] = 30
+    label = rng.integers(0, k, n)
+
+    def counts(of):
+        m = np.zeros((k, k))
+        np.add.at(m, (of[:, None], of[None, :]), pairs)
+        return m
+
+    others = pairs * (1 - np.eye(n, dtype=int))
+    sparse = np.hstack([others @ np.eye(k, dtype=int)[label], others.T @ np.eye(k, dtype=int)[label]])
+    at, code = np.nonzero(sparse)
+    gain = brown_lm.gains(counts(label), at, code, sparse[at, code], np.diag(pairs), label)
+    for u in range(n):
+        for c in range(k):
+            moved = label.copy()
+            moved[u] = c
+            assert gain[u, c] - gain[u, label[u]] == pytest.approx(brown_lm.likelihood(counts(moved)) - brown_lm.likelihood(counts(label)), abs=1e-8)
+
+
 # ---------------------------------------------------------------- 5
 
 
