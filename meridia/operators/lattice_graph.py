@@ -168,22 +168,31 @@ def tie_shuffled(points: DataFrame, key: str, score: str, km: float, limit: int,
 def random_controls(points: DataFrame, key: str, weight: str, km: float, limit: int, draws: int, seed: int) -> DataFrame:
     """Weighted random separated selections: (draw, key, place).
 
-    Exponential keys (-log u / weight) give weighted sampling without replacement; each draw keeps the smallest
-    `40 * limit`, enough for the separated choice, by a per-draw top-k that is pre-aggregated in its partitions.
+    Exponential keys (-log u / weight) give weighted sampling without replacement.  A draw takes the smallest
+    `40 * limit` keys; draws that find fewer than `limit` separated points take twice as many, and again, until
+    they have them or have seen every point of positive weight.
     """
     kind = points.schema[key].dataType.simpleString()
     from ..functions.scalar import hashed_uniform
-
-    p = points.where(F.col(weight) > 0).select(key, weight, "lat", "lon").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    p = p.withColumn("__e", -F.log(hashed_uniform(F.lit(seed), "draw", key) + 2.0**-33) / F.col(weight))
     from pyspark.sql import Window as W
 
-    p = p.withColumn("__rn", F.row_number().over(W.partitionBy("draw").orderBy("__e", key))).where(F.col("__rn") <= 40 * limit)
+    spark, pool = points.sparkSession, points.where(F.col(weight) > 0).select(key, weight, "lat", "lon")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _separated(pdf.sort_values("__rn"), key, km, limit).assign(draw=pdf["draw"].iloc[0])[["draw", key, "place"]]
 
-    return p.groupBy("draw").applyInPandas(run, f"draw int, `{key}` {kind}, place int")
+    size = pool.count()
+    taken, open_draws, bound = [], list(range(draws)), 40 * limit
+    while open_draws:
+        p = pool.withColumn("draw", F.explode(F.array(*[F.lit(i) for i in open_draws])))
+        p = p.withColumn("__e", -F.log(hashed_uniform(F.lit(seed), "draw", key) + 2.0**-33) / F.col(weight))
+        p = p.withColumn("__rn", F.row_number().over(W.partitionBy("draw").orderBy("__e", key))).where(F.col("__rn") <= bound)
+        rows = p.groupBy("draw").applyInPandas(run, f"draw int, `{key}` {kind}, place int").collect()
+        filled = {r["draw"] for r in rows if r["place"] == limit} if bound < size else set(open_draws)
+        taken += [tuple(r) for r in rows if r["draw"] in filled]
+        open_draws = [i for i in open_draws if i not in filled]
+        bound *= 2
+    return spark.createDataFrame(taken, f"draw int, `{key}` {kind}, place int")
 
 
 def region_summary(members: DataFrame, by: Sequence[str], size_km: float) -> DataFrame:

@@ -135,6 +135,34 @@ def test_albers_origin(spark):
     assert abs(out["x"]) < 1e-6 and abs(out["y"]) < 1e-6
 
 
+def clustered(spark):
+    """400 heavy points in one place, and 12 light ones far from it and from each other."""
+    rows = [(i, 1e6, 40.0 + i * 1e-4, -100.0) for i in range(400)] + [(400 + i, 1e-3, 30.0 + 4.0 * (i % 3), -120.0 + 10.0 * (i // 3)) for i in range(12)]
+    return rows, spark.createDataFrame(rows, "i bigint, w double, lat double, lon double")
+
+
+def walk(rows, km, limit):
+    kept = []
+    for r in rows:
+        v = [np.array([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)]) for a, b in [np.radians(q[2:4]) for q in (*kept, r)]]
+        if all(2 * 6371.0088 * np.arcsin(min(1.0, np.linalg.norm(v[-1] - q) / 2)) >= km for q in v[:-1]) and len(kept) < limit:
+            kept.append(r)
+    return [(r[0], n + 1) for n, r in enumerate(kept)]
+
+
+def test_random_controls_of_clustered_points(spark):
+    from meridia.functions.scalar import hashed_uniform
+
+    rows, df = clustered(spark)
+    for limit in (4, 30):  # 30: more than there are
+        got = G.random_controls(df, "i", "w", 200.0, limit, 2, 9).collect()
+        for draw in range(2):
+            keys = {r.i: r.e for r in df.select("i", (-F.log(hashed_uniform(F.lit(9), F.lit(draw), "i") + 2.0**-33) / F.col("w")).alias("e")).collect()}
+            want = walk(sorted(rows, key=lambda r: (keys[r[0]], r[0])), 200.0, limit)
+            assert sorted((r.i, r.place) for r in got if r.draw == draw) == sorted(want)
+            assert len(want) == min(limit, 13)
+
+
 def test_separated(spark):
     df = spark.createDataFrame([(i, 0.0, lon) for i, lon in enumerate([0.0, 0.1, 0.3, 0.4, 1.0, 1.1])], "i int, lat double, lon double")
     take = lambda km, n: [r["i"] for r in G.greedy_separated(df, "i", ["i"], km, n, chunk=2).orderBy("place").collect()]
