@@ -147,22 +147,36 @@ def greedy_separated(points: DataFrame, key: str, order: Sequence, km: float, li
     return spark.createDataFrame(taken, f"`{key}` {kind}, place int")
 
 
-def tie_shuffled(points: DataFrame, key: str, score: str, km: float, limit: int, permutations: int, seed: int, head: int) -> DataFrame:
+def tie_shuffled(points: DataFrame, key: str, score: str, km: float, limit: int, permutations: int, seed: int) -> DataFrame:
     """The separated selection under seeded shuffles of tied scores: (permutation, key, place).
 
-    Only rows that can be reached matter: the first `head` and all that tie with the last of them.
+    All walk the prefix that the unshuffled selection needs, to the end of its last tie block.  Permutations that find
+    fewer than `limit` points there take the prefix of twice the length, to the end of a tie block, and again, until
+    they have them or have seen every scored point.
     """
-    last = points.orderBy(F.desc(score)).limit(head).agg(F.min(score)).first()[0]
-    top = points.where(F.col(score) >= last).select(key, score, "lat", "lon")
-    kind = points.schema[key].dataType.simpleString()
-    copies = top.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    copies = copies.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "permutation", F.col(key).cast("string")), 256))
+    spark, kind = points.sparkSession, points.schema[key].dataType.simpleString()
+    scored = points.where(F.col(score).isNotNull() & ~F.isnan(score)).select(key, score, "lat", "lon")
+    size = scored.count()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values([score, "__h"], ascending=[False, True], kind="stable")
         return _separated(ordered, key, km, limit).assign(permutation=pdf["permutation"].iloc[0])[["permutation", key, "place"]]
 
-    return copies.groupBy("permutation").applyInPandas(run, f"permutation int, `{key}` {kind}, place int")
+    base = greedy_separated(scored, key, [F.desc(score), key], km, limit)
+    last = scored.join(base.where(F.col("place") == limit), key).agg(F.min(score)).first()[0]
+    taken, short = [], list(range(permutations)) if size else []
+    while short:
+        top = scored if last is None else scored.where(F.col(score) >= last)
+        length = top.count()
+        copies = top.withColumn("permutation", F.explode(F.array(*[F.lit(i) for i in short])))
+        copies = copies.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "permutation", F.col(key).cast("string")), 256))
+        rows = copies.groupBy("permutation").applyInPandas(run, f"permutation int, `{key}` {kind}, place int").collect()
+        full = {r["permutation"] for r in rows if r["place"] == limit} if length < size else set(short)
+        taken += [tuple(r) for r in rows if r["permutation"] in full]
+        short = [i for i in short if i not in full]
+        if short:
+            last = scored.orderBy(F.desc(score)).limit(2 * length + 1).agg(F.min(score)).first()[0]
+    return spark.createDataFrame(taken, f"permutation int, `{key}` {kind}, place int")
 
 
 def random_controls(points: DataFrame, key: str, weight: str, km: float, limit: int, draws: int, seed: int) -> DataFrame:

@@ -192,7 +192,7 @@ def grf03(d) -> DataFrame:
 @query("grf04_tie_shuffles")
 def grf04(d) -> DataFrame:
     s = d["sites"].withColumn("score", F.floor(F.col("balance") / 2000).cast("double"))
-    return G.tie_shuffled(s, "site_id", "score", 200.0, 10, 20, 20261005, 60)
+    return G.tie_shuffled(s, "site_id", "score", 200.0, 10, 20, 20261005)
 
 
 @query("grf05_random_controls")

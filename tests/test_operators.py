@@ -1,5 +1,6 @@
 """Small literal tables with known results."""
 
+import hashlib
 import json
 import math
 
@@ -163,6 +164,20 @@ def test_random_controls_of_clustered_points(spark):
             assert len(want) == min(limit, 13)
 
 
+def test_tie_shuffles_of_clustered_points(spark):
+    near, far = clustered(spark)[0][:400], clustered(spark)[0][400:]
+    # the cluster has the best scores, by fives; of three tied points in a row a shuffle keeps two or one; then the others
+    rows = [(i, 1000.0 - i // 5, lat, lon) for i, _, lat, lon in near] + [(500 + j, 10.0, 35.0, -80.0 + 1.5 * j) for j in range(3)]
+    rows += [(i, (500.0 - i) / 100, lat, lon) for i, _, lat, lon in far]
+    df = spark.createDataFrame(rows, "i bigint, s double, lat double, lon double")
+    for limit in (3, 30):
+        got = G.tie_shuffled(df, "i", "s", 200.0, limit, 6, 5).collect()
+        for p in range(6):
+            want = walk(sorted(rows, key=lambda r: (-r[1], hashlib.sha256(f"5:{p}:{r[0]}".encode()).hexdigest())), 200.0, limit)
+            assert sorted((r.i, r.place) for r in got if r.permutation == p) == sorted(want)
+            assert limit == 30 or len(want) == 3
+
+
 def test_separated(spark):
     df = spark.createDataFrame([(i, 0.0, lon) for i, lon in enumerate([0.0, 0.1, 0.3, 0.4, 1.0, 1.1])], "i int, lat double, lon double")
     take = lambda km, n: [r["i"] for r in G.greedy_separated(df, "i", ["i"], km, n, chunk=2).orderBy("place").collect()]
