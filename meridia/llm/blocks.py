@@ -160,6 +160,21 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     release()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, docs: int = 1 << 16, owner: str | None = None) -> Iterator[pa.Table]:
+    """Consecutive rows of about `limit` text bytes, across batches; a longer text is a table of its own."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for part in chunks(batches, text, limit, docs, owner):
+        n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+        if held and (size + n > limit or rows + part.num_rows > docs):
+            yield pa.Table.from_batches(held)
+            held, size, rows = [], 0, 0
+        held.append(part)
+        size, rows = size + n, rows + part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ---------------------------------------------------------------- hashes
 
 _B = np.uint64(0x9E3779B97F4A7C15)

@@ -5,9 +5,9 @@ classes are units: every word that the training text holds `LEAST` times or more
 rarer and unseen words grouped by a hash of their last three bytes, so every word has a class.  Transitions
 back off to class frequencies; a class keeps the share of its singletons for words it has not seen.
 
-All counts are over all training text.  Words travel as 64-bit hashes in packed arrays:
-1. documents are dealt to blocks of some megabytes; a block sends its distinct words with their training
-   counts to buckets by hash range;
+All counts are over all training text.  A text is cut into words once; from there on words are numbers:
+1. runs of documents of some megabytes make blocks, where they lie; a block is stored as its distinct words (64-bit
+   hashes), their training counts and the sequence of word numbers.  Its words and counts go to buckets by hash range;
 2. a bucket adds up and answers every block with the totals of that block's words, in the same order;
 3. the opening: the `TOP` most frequent words and the suffix groups of all others are clustered on the driver;
    every unit starts in the class of its word or of its group;
@@ -16,9 +16,13 @@ All counts are over all training text.  Words travel as 64-bit hashes in packed
    of that block's units.  Rounds end when nothing moves, the likelihood stops rising, or after `ROUNDS`;
 5. a block meets its answers and scores its documents.  No table of all words is held or sent anywhere.
 
+The number of buckets follows the words that blocks send (`BUCKET_BYTES`), so a task's memory does not grow with the
+corpus.  A text is held whole with about ten bytes a byte of text in its task.
+
 Defined results: a null or empty text is the end token alone; rows without an id count as the id's empty text
 for the fold; repeated rows are scored, and counted, one by one; an empty table gives no rows; without training
-text all counts are 0.
+text all counts are 0.  Only `doc_id` and `text` are read, so other columns may have any names; `perplexity` is 10 to
+the power of minus `score` a token.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,9 @@ ROUNDS = 8
 LEAST = 2
 BACK_OFF = 5.0
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20  # of words and counts in a bucket
+RANGE = 1 << 15  # units whose classes are counted at a time
+PIECE = 1 << 20  # text bytes hashed at a time
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _GROUP_IDS = blocks.mix(np.arange(1, GROUPS + 1, dtype=np.uint64))
 
@@ -47,17 +55,20 @@ _GROUP_IDS = blocks.mix(np.arange(1, GROUPS + 1, dtype=np.uint64))
 def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, suffix group) of the words of each row and its end token, in order."""
     data, bounds = blocks.text_buffer(column)
-    data = blocks.LOWER[data]
     start, end, row = blocks.word_bounds(data, bounds)
-    rolling = blocks.RollingHash(data)
-    n = len(bounds) - 1
+    n, total = len(bounds) - 1, len(row) + len(bounds) - 1
     at = np.arange(len(row)) + row
     ends = np.cumsum(np.bincount(row, minlength=n)) + np.arange(n)
-    hashes, group, rows = np.empty(len(row) + n, np.uint64), np.empty(len(row) + n, np.int64), np.empty(len(row) + n, np.int64)
-    hashes[at], hashes[ends] = rolling.of(start, end), _END
-    group[at] = (rolling.of(np.maximum(start, end - 3), end) % np.uint64(GROUPS)).astype(np.int64)
-    group[ends] = GROUPS
+    hashes, group, rows = np.full(total, _END), np.full(total, GROUPS, np.uint16), np.empty(total, np.int32)
     rows[at], rows[ends] = row, np.arange(n)
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        a, b = start[i:j] - start[i], end[i:j] - start[i]
+        rolling = blocks.RollingHash(blocks.LOWER[data[start[i] : end[j - 1]]])
+        hashes[at[i:j]] = rolling.of(a, b)
+        group[at[i:j]] = rolling.of(np.maximum(a, b - 3), b) % np.uint64(GROUPS)
+        i = j
     return rows, hashes, group
 
 
@@ -70,29 +81,62 @@ def _split(hashes: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, _bucket_edges(count), "left"), [len(hashes)]])
 
 
-def _block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, training count, suffix group) of a block."""
-    rows, hashes, group = tokens(table.column("text"))
-    trains = table.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)
-    words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return words, np.bincount(inverse, trains[rows], minlength=len(words)).astype(np.uint32), group[first].astype(np.uint16)
+def _pack(x: np.ndarray, size: int) -> bytes:
+    """Numbers below `size`, two bytes each if they fit."""
+    return x.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
+
+
+def _unpack(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4")
+
+
+def _coded_schema(key: str) -> str:
+    return f"block bigint, ids array<{key}>, held binary, counts binary, n_words bigint, words binary, groups binary, times binary, stream binary"
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its documents, its distinct words in order of their hashes, and all tokens as places among them."""
+    block = TaskContext.get().partitionId() << 32
+    for table in blocks.gathered(batches, limit=BLOCK_BYTES):
+        rows, hashes, group = tokens(table.column("text"))
+        held = table.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        words, stream = np.unique(hashes, return_inverse=True)
+        groups = np.empty(len(words), "<u2")
+        groups[stream] = group
+        times = np.bincount(stream[~held[rows]], minlength=len(words)).astype("<u4")
+        counts = np.bincount(rows, minlength=table.num_rows).astype("<u4")
+        ids = table.column("doc_id").combine_chunks()
+        packed = [held.tobytes(), counts.tobytes(), len(words), words.tobytes(), groups.tobytes(), times.tobytes(), _pack(stream, len(words))]
+        names = ["block", "ids", "held", "counts", "n_words", "words", "groups", "times", "stream"]
+        columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+        columns += [pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in packed]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+        block += 1
+
+
+def _trained(row: dict, unit: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit before, unit) of a block's training tokens; every text begins after an end."""
+    train = np.repeat(~np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], "<u4"))
+    now = unit[_unpack(row["stream"], len(unit))[train]]
+    return np.concatenate([[end], now[:-1]])[: len(now)], now
 
 
 def _requests(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in blocks.runs(batches, "block"):
-            words, times, group = _block_words(table)
-            cut = _split(words, count)
-            parts = [(i, cut[i], cut[i + 1]) for i in range(count) if cut[i] < cut[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (words, times, group))],
-                names=["bucket", "block", "words", "times", "groups"],
-            )
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, times, group = (np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("times", "<u4"), ("groups", "<u2")))
+                cut = _split(words, count)
+                parts = [(i, cut[i], cut[i + 1]) for i in range(count) if cut[i] < cut[i + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (words, times, group))],
+                    names=["bucket", "block", "words", "times", "groups"],
+                )
 
     return run
 
 
-_TOTALS = "block int, bucket int, totals binary, n_types bigint, n_tokens bigint, singles binary, top array<struct<word:bigint,times:bigint>>"
+_TOTALS = "block bigint, bucket int, totals binary, n_types bigint, n_tokens bigint, singles binary, top array<struct<word:bigint,times:bigint>>"
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +157,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = [j == 0 for j in some]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([asked[j] for j in some], pa.int32()),
+                    pa.array([asked[j] for j in some], pa.int64()),
                     pa.array([bucket for _ in some], pa.int32()),
                     pa.array([answers[end[j] - len(parts[j]) : end[j]].tobytes() for j in some], pa.binary()),
                     pa.array([int((total > 0).sum()) if h else 0 for h in head], pa.int64()),
@@ -127,7 +171,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(hashes: np.ndarray, group: np.ndarray, top: np.ndarray) -> np.ndarray:
     """0..len(top)-1: a frequent word; TOP + g: a suffix group; TOP + GROUPS: the end."""
-    unit = group + TOP
+    unit = group.astype(np.int64) + TOP
     if len(top):
         at = np.searchsorted(top, hashes)
         at[at == len(top)] = 0
@@ -141,12 +185,11 @@ UNITS = TOP + GROUPS + 1
 def _pairs(shared, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(UNITS * UNITS, np.int64)
-        for batch in blocks.chunks(batches):
-            rows, hashes, group = tokens(batch.column("text"))
-            unit = _units(hashes, group, shared.value)
-            before = np.concatenate([[UNITS - 1], unit[:-1]])
-            before[blocks.run_starts(rows)] = UNITS - 1
-            counts += np.bincount(before * UNITS + unit, minlength=len(counts))
+        for batch in batches:
+            for row in batch.to_pylist():
+                unit = _units(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2"), shared.value)
+                before, now = _trained(row, unit, UNITS - 1)
+                counts += np.bincount(before * UNITS + now, minlength=len(counts))
         code = np.flatnonzero(counts)
         if len(code):
             cut = np.searchsorted(code, np.linspace(0, len(counts), slices + 1))
@@ -332,48 +375,61 @@ def _coder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, label = shared.value
         for block, table in blocks.runs(batches, "block"):
-            answers, docs = _tell(table)
-            if not docs.num_rows:
-                continue
-            rows, hashes, group = tokens(docs.column("text"))
-            train = ~docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-            _, inverse = np.unique(hashes, return_inverse=True)
-            ids = _unit_ids(hashes, group, _known(answers, "totals", "<u8")[inverse])
-            units, first, code = np.unique(ids, return_index=True, return_inverse=True)
-            start = label[_units(hashes[first], group[first], top)]
-            rare = ids[first] != hashes[first]
-            start[rare] = label[TOP + group[first][rare]]
+            answers, mine = _tell(table)
+            row = {c: mine.column(c)[0].as_py() for c in ("words", "groups", "held", "counts", "stream")}
+            words, group = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2")
+            ids = _unit_ids(words, group, _known(answers, "totals", "<u8"))
+            units, unit = np.unique(ids, return_inverse=True)
+            first = label[_units(words, group, top)]
+            rare = ids != words
+            first[rare] = label[TOP + group[rare].astype(np.int64)]
+            start = np.empty(len(units), "u1")
+            start[unit] = first
+            _, now = _trained(row, unit, 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (units, code[train[rows]].astype("<u4"), start.astype("u1")))],
+                [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (units.tobytes(), _pack(now, len(units)), start.tobytes()))],
                 names=["block", "units", "stream", "classes"],
             )
 
     return run
 
 
-_SENT = "bucket int, block int, units binary, classes binary, own binary, n binary, codes binary, times binary"
+def _distinct(key: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, times) of keys below `width` * `size`; counted in slices of `RANGE` units where these are few."""
+    if size > 8 * RANGE:
+        return np.unique(key, return_counts=True)
+    found = []
+    for lo in range(0, max(size, 1), RANGE):
+        some = key if size <= RANGE else key[(key >= lo * width) & (key < (lo + RANGE) * width)]
+        times = np.bincount(some - lo * width, minlength=1)
+        at = np.flatnonzero(times)
+        found.append((at + lo * width, times[at]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+_SENT = "bucket int, block bigint, units binary, classes binary, own binary, n binary, codes binary, times binary"
 
 
 def _statistics(count: int):
     """Classes before and after the units of each block, to the units' buckets; one row a task has the class bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         names = ["bucket", "block", "units", "classes", "own", "n", "codes", "times"]
         m = np.zeros(CLASSES * CLASSES, "<i8")
         for block, table in blocks.runs(batches, "block"):
             answers, mine = _tell(table)
             if not mine.num_rows:
                 continue
-            units, stream, start = (np.frombuffer(mine.column(c)[0].as_py(), t) for c, t in (("units", "<u8"), ("stream", "<u4"), ("classes", "u1")))
+            units, start = (np.frombuffer(mine.column(c)[0].as_py(), t) for c, t in (("units", "<u8"), ("classes", "u1")))
             label = _known(answers, "classes", "u1") if answers.num_rows else start
-            stream = stream.astype(np.int64)
+            stream = _unpack(mine.column("stream")[0].as_py(), len(units)).astype(np.int64)
             before = np.concatenate([np.searchsorted(units, [_END]), stream[:-1]])[: len(stream)]
             a, b = label[before].astype(np.int64), label[stream].astype(np.int64)
             m += np.bincount(a * CLASSES + b, minlength=len(m))
             other = stream != before
             own = np.bincount(stream[~other], minlength=len(units))
-            key, times = np.unique(np.concatenate([before[other] * (2 * CLASSES) + b[other], stream[other] * (2 * CLASSES) + CLASSES + a[other]]), return_counts=True)
+            key, times = _distinct(np.concatenate([before[other] * (2 * CLASSES) + b[other], stream[other] * (2 * CLASSES) + CLASSES + a[other]]), 2 * CLASSES, len(units))
             n = np.bincount(key // (2 * CLASSES), minlength=len(units))
             end = np.concatenate([[0], np.cumsum(n)])
             cut = _split(units, count)
@@ -387,7 +443,7 @@ def _statistics(count: int):
     return run
 
 
-_MOVED = "block int, bucket int, classes binary, moved bigint, unit_count bigint, groups binary"
+_MOVED = "block bigint, bucket int, classes binary, moved bigint, unit_count bigint, groups binary"
 
 
 def _mover(shared):
@@ -414,7 +470,7 @@ def _mover(shared):
                 head = [j == 0 for j in some]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([asked[j] for j in some], pa.int32()),
+                        pa.array([asked[j] for j in some], pa.int64()),
                         pa.array([bucket for _ in some], pa.int32()),
                         pa.array([told[end[j] - len(parts[j]) : end[j]].tobytes() for j in some], pa.binary()),
                         pa.array([int((new != old).sum()) if h else 0 for h in head], pa.int64()),
@@ -427,19 +483,23 @@ def _mover(shared):
     return run
 
 
+def _spread(count: int, spark: SparkSession) -> int:
+    """Partitions for `count` blocks: some blocks in each, and more of them as the corpus grows."""
+    return max(1, min(count, max(4 * blocks.partitions(spark), count // 16)))
+
+
 def _meet(answers: DataFrame, own: DataFrame, count: int) -> DataFrame:
     """Each block's answers, then its own rows (bucket -1)."""
     met = answers.unionByName(own.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
-    return met.repartition(min(count, 4 * blocks.partitions(own.sparkSession)), "block").sortWithinPartitions("block", F.desc("bucket"))
+    return met.repartition(_spread(count, own.sparkSession), "block").sortWithinPartitions("block", F.desc("bucket"))
 
 
 def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """(class bigrams, classes of the suffix groups, answers to the blocks) of the best round."""
     spark = coded.sparkSession
-    parts = blocks.partitions(spark)
     now, best = coded.select("block", F.lit(0).alias("bucket"), "classes"), None
     for done in range(rounds + 1):
-        met = _meet(now, coded, count) if done else coded.withColumn("bucket", F.lit(-1)).repartition(min(count, 4 * parts), "block").sortWithinPartitions("block")
+        met = _meet(now, coded, count) if done else coded.withColumn("bucket", F.lit(-1)).sortWithinPartitions("block")
         sent = blocks.materialize(met.mapInArrow(_statistics(buckets), _SENT), "lm-sent")
         m = np.zeros(CLASSES * CLASSES, np.int64)
         for row in sent.where("bucket < 0").select("times").toLocalIterator():
@@ -455,7 +515,7 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
         best = m, group_label, now
         if done < rounds:
             shared = spark.sparkContext.broadcast(m)
-            given = sent.where("bucket >= 0").repartitionById(min(buckets, parts), F.col("bucket") % min(buckets, parts)).sortWithinPartitions("bucket")
+            given = sent.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
             now = blocks.materialize(given.mapInArrow(_mover(shared), _MOVED), "lm-classes")
             heads = now.where("groups IS NOT NULL").select("groups", "moved", "unit_count").collect()
             group_label = group_label.copy()
@@ -474,47 +534,53 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
 def _scorer(shared, n_tokens: int, n_types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "block"):
-            answers, docs = _tell(table)
-            if not docs.num_rows:
-                continue
-            n, known, base, own = _score_block(shared.value, docs, answers, n_tokens, n_types)
+            answers, mine = _tell(table)
+            row = {c: mine.column(c)[0].as_py() for c in ("words", "groups", "counts", "stream")}
+            n, known, base, own = _score_block(shared.value, row, answers, n_tokens, n_types)
+            ids = mine.column("ids").combine_chunks().flatten()
+            held = np.frombuffer(mine.column("held")[0].as_py(), bool)
             yield pa.RecordBatch.from_arrays(
-                [*(docs.column(c).combine_chunks() for c in ("doc_id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), n_tokens), pa.int64()), pa.array(base), pa.array(own)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [ids, pa.array(held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), n_tokens), pa.int64()), pa.array(base), pa.array(own), pa.array(10.0 ** np.minimum(-own / n, 300.0))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
     return run
 
 
-def _score_block(model: dict, table: pa.Table, answers: pa.Table, n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
-    rows, hashes, group = tokens(table.column("text"))
-    n = table.num_rows
-    _, inverse = np.unique(hashes, return_inverse=True)
-    totals = _known(answers, "totals", "<u8")[inverse]
+def _score_block(model: dict, row: dict, answers: pa.Table, n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
+    words, group, n = (np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("groups", "<u2"), ("counts", "<u4")))
+    totals = _known(answers, "totals", "<u8")
     c = totals.astype(np.float64)
     base = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-    _, code = np.unique(_unit_ids(hashes, group, totals), return_inverse=True)
-    label = _known(answers, "classes", "u1")[code].astype(np.int64)
-    before = np.concatenate([[0], label[:-1]])
-    before[blocks.run_starts(rows)] = 0
+    _, unit = np.unique(_unit_ids(words, group, totals), return_inverse=True)
+    label = _known(answers, "classes", "u1")[unit].astype(np.int64)
     share = model["unseen"][label]
-    emit = np.log10(np.where(c > 0, (1 - share) * c / np.maximum(model["total"][label], 1.0), share))
-    own = model["move"][before, label] + np.minimum(emit, 0.0)
-    add = lambda x: np.bincount(rows, x, minlength=n)
-    return np.bincount(rows, minlength=n), add(c > 0).astype(np.int64), add(base), add(own)
+    emit = np.minimum(np.log10(np.where(c > 0, (1 - share) * c / np.maximum(model["total"][label], 1.0), share)), 0.0)
+    stream = _unpack(row["stream"], len(words))
+    first = np.cumsum(n.astype(np.int64)) - n
+    now = label[stream]
+    before = np.concatenate([[0], now[:-1]])
+    before[first] = 0
+    add = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has its end token
+    return n, add((c > 0)[stream].astype(np.int64)), add(base[stream]), add(model["move"][before, now] + emit[stream])
 
 
 def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Scores of documents with doc_id and text; the fold whose crc32 remainder is 0 does not train."""
     spark = docs.sparkSession
     parts = blocks.partitions(spark)
-    count = blocks.block_count(docs, target=BLOCK_BYTES)
-    buckets = max(1, min(count, 4 * parts))
-    given = docs.select(blocks.block_of(count).alias("block"), "doc_id", crf.held_out("doc_id", folds).alias("held_out"), "text")
-
-    asked = given.select("block", (~F.col("held_out")).alias("train"), "text").repartition(min(count, 4 * parts), "block").sortWithinPartitions("block")
-    sent = asked.mapInArrow(_requests(buckets), "bucket int, block int, words binary, times binary, groups binary")
-    answers = blocks.materialize(sent.repartitionById(min(buckets, parts), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answers, _TOTALS), "lm-totals")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
+    given = docs.select("doc_id", crf.held_out("doc_id", folds).alias("held_out"), "text")
+    coded = blocks.materialize(given.mapInArrow(_encode, _coded_schema(key)), "lm-coded")
+    r = coded.agg(F.count("*"), F.sum("n_words")).first()
+    count, sent_bytes = int(r[0]), 14 * int(r[1] or 0)
+    if not count:
+        return spark.createDataFrame([], schema)
+    buckets = max(parts, -(-sent_bytes // BUCKET_BYTES))
+
+    sent = coded.select("block", "words", "times", "groups").mapInArrow(_requests(buckets), "bucket int, block bigint, words binary, times binary, groups binary")
+    answers = blocks.materialize(sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answers, _TOTALS), "lm-totals")
 
     heads = answers.where("singles IS NOT NULL")
     r = heads.agg(F.sum("n_types"), F.sum("n_tokens")).first()
@@ -528,8 +594,8 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 
     shared = spark.sparkContext.broadcast(top)
     slices = min(parts, UNITS)
-    trained = given.where("NOT held_out").select("text")
-    added = trained.mapInArrow(_pairs(shared, slices), "slice int, codes binary, times binary").repartitionById(slices, F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_pairs, "slice int, codes binary, times binary")
+    counted = coded.select("words", "groups", "held", "counts", "stream").mapInArrow(_pairs(shared, slices), "slice int, codes binary, times binary")
+    added = counted.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_pairs, "slice int, codes binary, times binary")
     pairs = np.zeros(UNITS * UNITS)
     for row in added.collect():  # at most UNITS ** 2 counts
         pairs[np.frombuffer(row["codes"], "<u4")] = np.frombuffer(row["times"], "<u8")
@@ -537,14 +603,13 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 
     replies = answers.select("block", "bucket", "totals")
     start = spark.sparkContext.broadcast((top, opening["label"]))
-    coded = _meet(replies, given.select("block", "held_out", "text"), count).mapInArrow(_coder(start), "block int, units binary, stream binary, classes binary")
-    coded = blocks.materialize(coded, "lm-coded")
-    m, group_label, classes = exchange_all(coded, opening["label"][TOP : TOP + GROUPS], count, buckets)
+    own = coded.select("block", "words", "groups", "held", "counts", "stream")
+    units = blocks.materialize(_meet(replies, own, count).mapInArrow(_coder(start), "block bigint, units binary, stream binary, classes binary"), "lm-units")
+    m, group_label, classes = exchange_all(units, opening["label"][TOP : TOP + GROUPS], count, buckets)
     model = spark.sparkContext.broadcast(rates(m, np.append(group_label, 0), singles))
 
     told = replies.unionByName(classes.select("block", "bucket", "classes"), allowMissingColumns=True)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _meet(told, given, count).mapInArrow(_scorer(model, n_tokens, n_types), schema)
+    return _meet(told, coded.drop("times", "n_words"), count).mapInArrow(_scorer(model, n_tokens, n_types), schema)
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

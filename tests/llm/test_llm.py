@@ -249,6 +249,75 @@ def test_language_model(spark, docs):
     assert brown_lm.score_corpus(empty(spark).select("doc_id", "text")).count() == 0
 
 
+def test_class_scores_against_brute_force(spark, docs, monkeypatch):
+    """The classes are what the exchange found; counts, rates, scores and perplexity are worked out again word by word."""
+    seen = {}
+
+    def spy(coded, *args):
+        seen["units"], seen["best"] = coded, exchange_all(coded, *args)
+        return seen["best"]
+
+    exchange_all = brown_lm.exchange_all
+    monkeypatch.setattr(brown_lm, "exchange_all", spy)
+    got = {r.doc_id: r for r in brown_lm.score_corpus(docs.select("doc_id", "text").where("doc_id < 104").distinct()).collect()}
+    _, group_label, classes = seen["best"]
+    told = {}
+    for r in sorted(classes.select("block", "bucket", "classes").collect(), key=lambda r: (r.block, r.bucket)):
+        told[r.block] = told.get(r.block, b"") + bytes(r.classes)
+    kind = {}
+    for r in seen["units"].collect():
+        kind.update(zip(np.frombuffer(r.units, "<u8").tolist(), told[r.block]))
+
+    rows = {r.doc_id: r.text for r in docs.where("doc_id < 104").collect()}
+    words = lambda t: WORDS.findall((t or "").translate(LOW))
+    train = {d: words(t) for d, t in rows.items() if zlib.crc32(str(d).encode()) % 10}
+    count = Counter(w for t in train.values() for w in t)
+    k = brown_lm.CLASSES
+
+    def at(w):
+        if w is None:
+            return 0
+        _, h, g = brown_lm.tokens(pa.array([w]))
+        return kind[int(h[0])] if count[w] >= 2 else int(group_label[g[0]])
+
+    label = {w: at(w) for w in {w for t in rows.values() for w in words(t)} | {None}}
+    move, once = np.zeros((k, k)), np.zeros(k)
+    for t in train.values():
+        for a, b in zip([None, *t], [*t, None]):
+            move[label[a], label[b]] += 1
+    for w, c in count.items():
+        once[label[w]] += c == 1
+    total = move.sum(0)
+    prior = (total + 0.1) / (total.sum() + 0.1 * k)
+    unseen = np.minimum((once + 0.5) / (total + 1), 0.95)
+    unseen[0] = 0
+    assert set(got) == set(rows)
+    for d, t in rows.items():
+        score = 0.0
+        for a, b in zip([None, *words(t)], [*words(t), None]):
+            x, y, c = label[a], label[b], len(train) if b is None else count[b]
+            score += math.log10((move[x, y] + brown_lm.BACK_OFF * prior[y]) / (move[x].sum() + brown_lm.BACK_OFF))
+            score += min(0.0, math.log10((1 - unseen[y]) * c / total[y] if c else unseen[y]))
+        assert got[d].score == pytest.approx(score) and got[d].perplexity == pytest.approx(10 ** (-score / (len(words(t)) + 1)))
+
+
+def test_long_and_unlike_blocks(spark, monkeypatch):
+    """A text longer than a block, pieces of one word, more units than are counted at a time."""
+    rng = np.random.default_rng(4)
+    key = rng.integers(0, 9 * brown_lm.RANGE * 128, 5000)
+    for size in (1, 2 * brown_lm.RANGE, 9 * brown_lm.RANGE):
+        k = key[key < size * 128]
+        a, b = brown_lm._distinct(k, 128, size), np.unique(k, return_counts=True)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    text = " ".join("w%d" % i for i in range(3000)) + " " + "x" * 5000
+    whole = brown_lm.tokens(pa.array([text, "w1 end"]))
+    monkeypatch.setattr(brown_lm, "PIECE", 100)
+    assert all((x == y).all() for x, y in zip(whole, brown_lm.tokens(pa.array([text, "w1 end"]))))
+    long = "ab cd " * (brown_lm.BLOCK_BYTES // 6 + 10)
+    got = brown_lm.score_corpus(spark.createDataFrame([(1, long), (2, "ab"), (3, None)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 2 * (brown_lm.BLOCK_BYTES // 6 + 10) + 1, 2: 2, 3: 1}
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     pairs = np.zeros((41, 41))
