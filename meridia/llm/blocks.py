@@ -53,6 +53,11 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are written down and over: it does so when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -164,7 +169,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
     """Consecutive rows of about `limit` text bytes, across batches; a longer text is a table of its own."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
-    for part in chunks(batches, text, limit, docs, owner):
+    for part in chunks(batches, text, limit // 8, docs, owner):
         n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
         if held and (size + n > limit or rows + part.num_rows > docs):
             yield pa.Table.from_batches(held)

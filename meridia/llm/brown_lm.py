@@ -13,7 +13,8 @@ All counts are over all training text.  A text is cut into words once; from ther
    every unit starts in the class of its word or of its group;
 4. rounds of distributed exchange: a block counts the classes before and after each of its units and sends these
    sparse counts to the buckets; a bucket adds them up, moves its units and answers every block with the classes
-   of that block's units.  Rounds end when nothing moves, the likelihood stops rising, or after `ROUNDS`;
+   of that block's units.  Rounds end when nothing moves, the likelihood rises by less than `TOLERANCE`
+   a token, or after `ROUNDS`;
 5. a block meets its answers and scores its documents.  No table of all words is held or sent anywhere.
 
 The number of buckets follows the words that blocks send (`BUCKET_BYTES`), so a task's memory does not grow with the
@@ -42,6 +43,7 @@ CLASSES = 64
 TOP = 1024
 GROUPS = 512
 ROUNDS = 8
+TOLERANCE = 0.02  # nats a token that a round must gain for another one
 LEAST = 2
 BACK_OFF = 5.0
 BLOCK_BYTES = 4 << 20
@@ -49,7 +51,6 @@ BUCKET_BYTES = 32 << 20  # of words and counts in a bucket
 RANGE = 1 << 15  # units whose classes are counted at a time
 PIECE = 1 << 20  # text bytes hashed at a time
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_GROUP_IDS = blocks.mix(np.arange(1, GROUPS + 1, dtype=np.uint64))
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,13 +82,23 @@ def _split(hashes: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, _bucket_edges(count), "left"), [len(hashes)]])
 
 
-def _pack(x: np.ndarray, size: int) -> bytes:
-    """Numbers below `size`, two bytes each if they fit."""
-    return x.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second bytes, and so on: sorted or small ones then compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view("u1").reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _unpack(raw: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4")
+def _whole(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(dtype).ravel()
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Rising numbers as planes of their steps."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _risen(raw: bytes, dtype: str) -> np.ndarray:
+    return np.cumsum(_whole(raw, dtype), dtype=dtype)
 
 
 def _coded_schema(key: str) -> str:
@@ -106,7 +117,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.bincount(stream[~held[rows]], minlength=len(words)).astype("<u4")
         counts = np.bincount(rows, minlength=table.num_rows).astype("<u4")
         ids = table.column("doc_id").combine_chunks()
-        packed = [held.tobytes(), counts.tobytes(), len(words), words.tobytes(), groups.tobytes(), times.tobytes(), _pack(stream, len(words))]
+        packed = [held.tobytes(), counts.tobytes(), len(words), _planes(words), groups.tobytes(), _planes(times), _planes(stream.astype("<u4"))]
         names = ["block", "ids", "held", "counts", "n_words", "words", "groups", "times", "stream"]
         columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
         columns += [pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in packed]
@@ -117,7 +128,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trained(row: dict, unit: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit before, unit) of a block's training tokens; every text begins after an end."""
     train = np.repeat(~np.frombuffer(row["held"], bool), np.frombuffer(row["counts"], "<u4"))
-    now = unit[_unpack(row["stream"], len(unit))[train]]
+    now = unit[_whole(row["stream"], "<u4")[train]]
     return np.concatenate([[end], now[:-1]])[: len(now)], now
 
 
@@ -125,33 +136,33 @@ def _requests(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, times, group = (np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("times", "<u4"), ("groups", "<u2")))
+                words, times, group = _whole(row["words"], "<u8"), _whole(row["times"], "<u4"), np.frombuffer(row["groups"], "<u2")
                 cut = _split(words, count)
                 parts = [(i, cut[i], cut[i + 1]) for i in range(count) if cut[i] < cut[i + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for x in (words, times, group))],
+                    [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()), *(pa.array([_planes(x[a:b]) for _, a, b in parts], pa.binary()) for x in (words, times, group))],
                     names=["bucket", "block", "words", "times", "groups"],
                 )
 
     return run
 
 
-_TOTALS = "block bigint, bucket int, totals binary, n_types bigint, n_tokens bigint, singles binary, top array<struct<word:bigint,times:bigint>>"
+_TOTALS = "block bigint, bucket int, totals binary, ranks binary, n_types bigint, n_tokens bigint, singles binary, top array<struct<word:bigint,times:bigint>>"
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, table in blocks.runs(batches, "bucket"):
         asked = table.column("block").to_pylist()
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()])
-        groups = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("groups").to_pylist()])
+        parts = [_whole(x, "<u8") for x in table.column("words").to_pylist()]
+        times = np.concatenate([_whole(x, "<u4") for x in table.column("times").to_pylist()])
+        groups = np.concatenate([_whole(x, "<u2") for x in table.column("groups").to_pylist()])
         words, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         total = np.bincount(inverse, times, minlength=len(words)).astype(np.int64)
         singles = np.bincount(groups[first[total == 1]], minlength=GROUPS + 1).astype("<i8")
         best = np.lexsort((words, -total))[:TOP]
         top = [{"word": int(words[i].view(np.int64)), "times": int(total[i])} for i in best if total[i] > 0 and words[i] != _END]
         end = np.cumsum([len(p) for p in parts])
-        answers = total[inverse].astype("<u8")
+        answers, ranks = total[inverse].astype("<u8"), inverse.astype("<u4")
         for i in range(0, len(parts), 64):
             some = range(i, min(i + 64, len(parts)))
             head = [j == 0 for j in some]
@@ -159,13 +170,14 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([asked[j] for j in some], pa.int64()),
                     pa.array([bucket for _ in some], pa.int32()),
-                    pa.array([answers[end[j] - len(parts[j]) : end[j]].tobytes() for j in some], pa.binary()),
+                    pa.array([_planes(answers[end[j] - len(parts[j]) : end[j]]) for j in some], pa.binary()),
+                    pa.array([_rising(ranks[end[j] - len(parts[j]) : end[j]]) for j in some], pa.binary()),
                     pa.array([int((total > 0).sum()) if h else 0 for h in head], pa.int64()),
                     pa.array([int(total.sum()) if h else 0 for h in head], pa.int64()),
                     pa.array([singles.tobytes() if h else None for h in head], pa.binary()),
                     pa.array([top if h else [] for h in head], pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())]))),
                 ],
-                names=["block", "bucket", "totals", "n_types", "n_tokens", "singles", "top"],
+                names=["block", "bucket", "totals", "ranks", "n_types", "n_tokens", "singles", "top"],
             )
 
 
@@ -187,7 +199,7 @@ def _pairs(shared, slices: int):
         counts = np.zeros(UNITS * UNITS, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                unit = _units(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2"), shared.value)
+                unit = _units(_whole(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2"), shared.value)
                 before, now = _trained(row, unit, UNITS - 1)
                 counts += np.bincount(before * UNITS + now, minlength=len(counts))
         code = np.flatnonzero(counts)
@@ -353,10 +365,13 @@ def move_units(m: np.ndarray, at: np.ndarray, code: np.ndarray, times: np.ndarra
     return new
 
 
-def _known(table: pa.Table, column: str, dtype: str) -> np.ndarray:
+def _replies(table: pa.Table, column: str) -> list[tuple[int, bytes]]:
     """What the buckets answered to a block, in the order of its hashes."""
-    got = {k: x for k, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist()) if x is not None}
-    return np.concatenate([np.frombuffer(got[k], dtype) for k in sorted(got)] or [np.zeros(0, dtype)])
+    return sorted((k, x) for k, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist()) if x is not None)
+
+
+def _known(table: pa.Table, column: str, dtype: str) -> np.ndarray:
+    return np.concatenate([_whole(x, dtype) for _, x in _replies(table, column)] or [np.zeros(0, dtype)])
 
 
 def _tell(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -365,11 +380,23 @@ def _tell(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.slice(0, first), table.slice(first)
 
 
-def _unit_ids(hashes: np.ndarray, group: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    return np.where((totals >= LEAST) | (hashes == _END), hashes, _GROUP_IDS[np.minimum(group, GROUPS - 1)])
+_LOCAL = np.uint64(32)  # bits of a unit's number in its bucket
 
 
-def _coder(shared):
+def _unit_keys(answers: pa.Table, group: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit of each word, whether that is the word itself, its total).
+
+    A unit is a bucket and a number in it: numbers below `GROUPS` are suffix groups, dealt over the buckets, the others
+    are ranks of words.
+    """
+    totals = _known(answers, "totals", "<u8")
+    place = [(np.uint64(k) << _LOCAL) + np.uint64(GROUPS) + _risen(x, "<u4").astype(np.uint64) for k, x in _replies(answers, "ranks")]
+    own = (totals >= LEAST) | (group == GROUPS)
+    g = group.astype(np.uint64)
+    return np.where(own, np.concatenate(place), (g % np.uint64(buckets) << _LOCAL) + g), own, totals
+
+
+def _coder(shared, buckets: int):
     """A block's training text as numbers of its units, and where these units start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,18 +404,17 @@ def _coder(shared):
         for block, table in blocks.runs(batches, "block"):
             answers, mine = _tell(table)
             row = {c: mine.column(c)[0].as_py() for c in ("words", "groups", "held", "counts", "stream")}
-            words, group = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2")
-            ids = _unit_ids(words, group, _known(answers, "totals", "<u8"))
-            units, unit = np.unique(ids, return_inverse=True)
-            first = label[_units(words, group, top)]
-            rare = ids != words
-            first[rare] = label[TOP + group[rare].astype(np.int64)]
+            words, group = _whole(row["words"], "<u8"), np.frombuffer(row["groups"], "<u2")
+            keys, own, _ = _unit_keys(answers, group, buckets)
+            units, unit = np.unique(keys, return_inverse=True)
+            first = np.where(own, label[_units(words, group, top)], label[TOP + group.astype(np.int64)])
             start = np.empty(len(units), "u1")
             start[unit] = first
             _, now = _trained(row, unit, 0)
+            end = int(unit[group == GROUPS][0])  # every text has its end
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (units.tobytes(), _pack(now, len(units)), start.tobytes()))],
-                names=["block", "units", "stream", "classes"],
+                [pa.array([block], pa.int64()), pa.array([end], pa.int64()), *(pa.array([x], pa.binary()) for x in (_rising(units), _planes(now.astype("<u4")), start.tobytes()))],
+                names=["block", "text_end", "units", "stream", "classes"],
             )
 
     return run
@@ -421,10 +447,10 @@ def _statistics(count: int):
             answers, mine = _tell(table)
             if not mine.num_rows:
                 continue
-            units, start = (np.frombuffer(mine.column(c)[0].as_py(), t) for c, t in (("units", "<u8"), ("classes", "u1")))
+            units, start = _risen(mine.column("units")[0].as_py(), "<u8"), np.frombuffer(mine.column("classes")[0].as_py(), "u1")
             label = _known(answers, "classes", "u1") if answers.num_rows else start
-            stream = _unpack(mine.column("stream")[0].as_py(), len(units)).astype(np.int64)
-            before = np.concatenate([np.searchsorted(units, [_END]), stream[:-1]])[: len(stream)]
+            stream = _whole(mine.column("stream")[0].as_py(), "<u4").astype(np.int64)
+            before = np.concatenate([mine.column("text_end").to_numpy(), stream[:-1]])[: len(stream)]
             a, b = label[before].astype(np.int64), label[stream].astype(np.int64)
             m += np.bincount(a * CLASSES + b, minlength=len(m))
             other = stream != before
@@ -432,11 +458,12 @@ def _statistics(count: int):
             key, times = _distinct(np.concatenate([before[other] * (2 * CLASSES) + b[other], stream[other] * (2 * CLASSES) + CLASSES + a[other]]), 2 * CLASSES, len(units))
             n = np.bincount(key // (2 * CLASSES), minlength=len(units))
             end = np.concatenate([[0], np.cumsum(n)])
-            cut = _split(units, count)
+            cut = np.searchsorted(units, np.arange(count + 1, dtype=np.uint64) << _LOCAL)
             parts = [(i, cut[i], cut[i + 1]) for i in range(count) if cut[i] < cut[i + 1]]
             code = (key % (2 * CLASSES)).astype("u1")
-            by_unit = [[x[i:j].tobytes() for _, i, j in parts] for x in (units, label, own.astype("<u4"), n.astype("u1"))]
-            by_entry = [[x[end[i] : end[j]].tobytes() for _, i, j in parts] for x in (code, times.astype("<u4"))]
+            by_unit = [[_rising(units[i:j].astype("<u4")) for _, i, j in parts]]
+            by_unit += [[_planes(x[i:j]) for _, i, j in parts] for x in (label, own.astype("<u4"), n.astype("u1"))]
+            by_entry = [[_planes(x[end[i] : end[j]]) for _, i, j in parts] for x in (code, times.astype("<u4"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[i for i, _, _ in parts], [block] * len(parts), *by_unit, *by_entry], kinds)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1, -1, None, None, None, None, None, m.tobytes()], kinds)], names=names)
 
@@ -450,20 +477,21 @@ def _mover(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in blocks.runs(batches, "bucket"):
             asked = table.column("block").to_pylist()
-            get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-            parts = get("units", "<u8")
-            units, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-            old = np.concatenate(get("classes", "u1"))[first].astype(np.int64)
+            get = lambda c, t: [_whole(x, t) for x in table.column(c).to_pylist()]
+            parts = [_risen(x, "<u4") for x in table.column("units").to_pylist()]
+            inverse = np.concatenate(parts).astype(np.int64)
+            here = np.bincount(inverse) > 0
+            units, inverse = np.flatnonzero(here), (np.cumsum(here) - 1)[inverse]
+            old = np.empty(len(units), np.int64)
+            old[inverse] = np.concatenate(get("classes", "u1"))
             own = np.bincount(inverse, np.concatenate(get("own", "<u4")), minlength=len(units)).astype(np.int64)
             key = np.repeat(inverse, np.concatenate(get("n", "u1"))) * (2 * CLASSES) + np.concatenate(get("codes", "u1"))
             key, where = np.unique(key, return_inverse=True)
             times = np.bincount(where, np.concatenate(get("times", "<u4")), minlength=len(key)).astype(np.int64)
             new = move_units(shared.value, key // (2 * CLASSES), key % (2 * CLASSES), times, own, old)
-            new[units == _END] = 0
+            new[old == 0] = 0  # the end
             groups = np.full(GROUPS, 255, "u1")
-            at = np.minimum(np.searchsorted(units, _GROUP_IDS), len(units) - 1)
-            here = units[at] == _GROUP_IDS
-            groups[here] = new[at[here]]
+            groups[units[units < GROUPS]] = new[units < GROUPS]
             end, told = np.cumsum([len(p) for p in parts]), new.astype("u1")[inverse]
             for i in range(0, len(parts), 64):
                 some = range(i, min(i + 64, len(parts)))
@@ -512,8 +540,8 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
             break
         if best and done > 1:
             blocks.drop_table(best[2])
-        best = m, group_label, now
-        if done < rounds:
+        best, enough = (m, group_label, now), rise < TOLERANCE * m.sum()
+        if done < rounds and not enough:
             shared = spark.sparkContext.broadcast(m)
             given = sent.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
             now = blocks.materialize(given.mapInArrow(_mover(shared), _MOVED), "lm-classes")
@@ -524,19 +552,21 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
                 group_label[found < 255] = found[found < 255]
             moved = sum(r["moved"] for r in heads)
         blocks.drop_table(sent)
-        spark._jvm.System.gc()  # shuffles of rounds that are over
+        blocks.forget_shuffles(spark)
+        if enough:
+            break
         if done < rounds and not moved:
             blocks.drop_table(now)
             break
     return best
 
 
-def _scorer(shared, n_tokens: int, n_types: int):
+def _scorer(shared, buckets: int, n_tokens: int, n_types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "block"):
             answers, mine = _tell(table)
-            row = {c: mine.column(c)[0].as_py() for c in ("words", "groups", "counts", "stream")}
-            n, known, base, own = _score_block(shared.value, row, answers, n_tokens, n_types)
+            row = {c: mine.column(c)[0].as_py() for c in ("groups", "counts", "stream")}
+            n, known, base, own = _score_block(shared.value, row, answers, buckets, n_tokens, n_types)
             ids = mine.column("ids").combine_chunks().flatten()
             held = np.frombuffer(mine.column("held")[0].as_py(), bool)
             yield pa.RecordBatch.from_arrays(
@@ -547,16 +577,16 @@ def _scorer(shared, n_tokens: int, n_types: int):
     return run
 
 
-def _score_block(model: dict, row: dict, answers: pa.Table, n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
-    words, group, n = (np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("groups", "<u2"), ("counts", "<u4")))
-    totals = _known(answers, "totals", "<u8")
+def _score_block(model: dict, row: dict, answers: pa.Table, buckets: int, n_tokens: int, n_types: int) -> tuple[np.ndarray, ...]:
+    group, n = np.frombuffer(row["groups"], "<u2"), np.frombuffer(row["counts"], "<u4")
+    keys, _, totals = _unit_keys(answers, group, buckets)
     c = totals.astype(np.float64)
     base = np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-    _, unit = np.unique(_unit_ids(words, group, totals), return_inverse=True)
+    _, unit = np.unique(keys, return_inverse=True)
     label = _known(answers, "classes", "u1")[unit].astype(np.int64)
     share = model["unseen"][label]
     emit = np.minimum(np.log10(np.where(c > 0, (1 - share) * c / np.maximum(model["total"][label], 1.0), share)), 0.0)
-    stream = _unpack(row["stream"], len(words))
+    stream = _whole(row["stream"], "<u4")
     first = np.cumsum(n.astype(np.int64)) - n
     now = label[stream]
     before = np.concatenate([[0], now[:-1]])
@@ -581,6 +611,7 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
 
     sent = coded.select("block", "words", "times", "groups").mapInArrow(_requests(buckets), "bucket int, block bigint, words binary, times binary, groups binary")
     answers = blocks.materialize(sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answers, _TOTALS), "lm-totals")
+    blocks.forget_shuffles(spark)
 
     heads = answers.where("singles IS NOT NULL")
     r = heads.agg(F.sum("n_types"), F.sum("n_tokens")).first()
@@ -599,17 +630,19 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     pairs = np.zeros(UNITS * UNITS)
     for row in added.collect():  # at most UNITS ** 2 counts
         pairs[np.frombuffer(row["codes"], "<u4")] = np.frombuffer(row["times"], "<u8")
+    del counted, added
     opening = build_model(pairs.reshape(UNITS, UNITS), singles, top)
 
-    replies = answers.select("block", "bucket", "totals")
+    replies = answers.select("block", "bucket", "totals", "ranks")
     start = spark.sparkContext.broadcast((top, opening["label"]))
     own = coded.select("block", "words", "groups", "held", "counts", "stream")
-    units = blocks.materialize(_meet(replies, own, count).mapInArrow(_coder(start), "block bigint, units binary, stream binary, classes binary"), "lm-units")
+    units = blocks.materialize(_meet(replies, own, count).mapInArrow(_coder(start, buckets), "block bigint, text_end bigint, units binary, stream binary, classes binary"), "lm-units")
+    blocks.forget_shuffles(spark)
     m, group_label, classes = exchange_all(units, opening["label"][TOP : TOP + GROUPS], count, buckets)
     model = spark.sparkContext.broadcast(rates(m, np.append(group_label, 0), singles))
 
     told = replies.unionByName(classes.select("block", "bucket", "classes"), allowMissingColumns=True)
-    return _meet(told, coded.drop("times", "n_words"), count).mapInArrow(_scorer(model, n_tokens, n_types), schema)
+    return _meet(told, coded.select("block", "ids", "held", "counts", "groups", "stream"), count).mapInArrow(_scorer(model, buckets, n_tokens, n_types), schema)
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -254,19 +255,26 @@ def test_class_scores_against_brute_force(spark, docs, monkeypatch):
     seen = {}
 
     def spy(coded, *args):
-        seen["units"], seen["best"] = coded, exchange_all(coded, *args)
+        seen["buckets"], seen["best"] = args[2], exchange_all(coded, *args)
         return seen["best"]
 
-    exchange_all = brown_lm.exchange_all
+    exchange_all, materialize = brown_lm.exchange_all, blocks.materialize
     monkeypatch.setattr(brown_lm, "exchange_all", spy)
+    monkeypatch.setattr(blocks, "materialize", lambda df, name: seen.setdefault(name, materialize(df, name)) if name in ("lm-coded", "lm-totals") else materialize(df, name))
     got = {r.doc_id: r for r in brown_lm.score_corpus(docs.select("doc_id", "text").where("doc_id < 104").distinct()).collect()}
     _, group_label, classes = seen["best"]
     told = {}
     for r in sorted(classes.select("block", "bucket", "classes").collect(), key=lambda r: (r.block, r.bucket)):
         told[r.block] = told.get(r.block, b"") + bytes(r.classes)
-    kind = {}
-    for r in seen["units"].collect():
-        kind.update(zip(np.frombuffer(r.units, "<u8").tolist(), told[r.block]))
+    kind, unit_of = {}, {}
+    replies = seen["lm-totals"].toArrow()
+    for r in seen["lm-coded"].collect():
+        group = np.frombuffer(r.groups, "<u2")
+        keys, own, _ = brown_lm._unit_keys(replies.filter(pa.compute.equal(replies["block"], r.block)), group, seen["buckets"])
+        kind.update(zip(np.unique(keys).tolist(), told[r.block]))
+        for h, u, alone, g in zip(brown_lm._whole(r.words, "<u8").tolist(), keys.tolist(), own, group.tolist()):
+            assert unit_of.setdefault(h if alone else -1 - g, u) == u
+    assert len(set(unit_of.values())) == len(unit_of)
 
     rows = {r.doc_id: r.text for r in docs.where("doc_id < 104").collect()}
     words = lambda t: WORDS.findall((t or "").translate(LOW))
@@ -278,7 +286,7 @@ def test_class_scores_against_brute_force(spark, docs, monkeypatch):
         if w is None:
             return 0
         _, h, g = brown_lm.tokens(pa.array([w]))
-        return kind[int(h[0])] if count[w] >= 2 else int(group_label[g[0]])
+        return kind[unit_of[int(h[0])]] if count[w] >= 2 else int(group_label[g[0]])
 
     label = {w: at(w) for w in {w for t in rows.values() for w in words(t)} | {None}}
     move, once = np.zeros((k, k)), np.zeros(k)
