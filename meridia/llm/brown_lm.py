@@ -310,16 +310,17 @@ def gains(m: np.ndarray, at: np.ndarray, code: np.ndarray, times: np.ndarray, ow
     """(unit, class): what the likelihood gains by placing the unit there, once it is taken out of its class.
 
     Sparse counts: unit `at` (ascending) is followed `times` by class `code`, or follows class `code` - classes;
-    `own` counts a unit after itself, which is in no other count.
+    `own` counts a unit after itself, which is in no other count.  Most units have a few small counts, so terms are
+    looked up in tables of small steps and summed over the counts that are there.
     """
     k, n = len(m), len(own)
     f = _xlogx
-    sides = np.vstack([m.T, m])
-    flat, few = f(sides), np.arange(1, 9)[:, None, None]
-    small = f(sides[None] + few) - flat
+    sides = np.vstack([m.T, m])  # by code: what joins the counts of each class
+    flat = f(sides)
+    small = f(sides[None] + np.arange(1, 9)[:, None, None]) - flat
     rise = np.zeros((n, k))
-    for i in range(0, len(at), 1 << 15):
-        c, t, u = (x[i : i + (1 << 15)] for x in (code, times, at))
+    for i in range(0, len(at), 1 << 13):
+        c, t, u = (x[i : i + (1 << 13)] for x in (code, times, at))
         x = small[np.minimum(t, 8) - 1, c]
         many = np.flatnonzero(t > 8)
         x[many] = f(sides[c[many]] + t[many, None]) - flat[c[many]]
@@ -328,25 +329,41 @@ def gains(m: np.ndarray, at: np.ndarray, code: np.ndarray, times: np.ndarray, ow
     both = np.zeros((n, 2 * k))
     both[at, code] = times
     out, into = both[:, :k], both[:, k:]
-    i, d, own = np.arange(n), np.arange(k), own[:, None].astype(np.float64)
-    diagonal, left, right = m[d, d][None], m.sum(1)[None], m.sum(0)[None]
-    flat_d = f(diagonal)
-    # pairs with the class itself, and with the class the unit has left
-    rise += f(diagonal + out + into + own) - f(diagonal + out) - f(diagonal + into) + flat_d
-    for row, mine, other in ((m[:, old].T, out, into), (m[old], into, out)):
-        some = np.flatnonzero(mine[i, old])
-        row, step = row[some], mine[i, old][some, None]
-        less = np.maximum(row - other[some], 0.0)
-        rise[some] += f(less + step) - f(less) - f(row + step) + f(row)
-    s, e = out.sum(1, keepdims=True) + own, into.sum(1, keepdims=True) + own
-    rise -= f(left + s) - f(left) + f(right + e) - f(right)
+    i, d = np.arange(n), np.arange(k)
+    diagonal, left, right = m[d, d], m.sum(1), m.sum(0)
+
+    # pairs with the class itself: only where the unit has counts on a class, or follows itself
+    c = code % k
+    once = (code < k) | (both[at, c] == 0)
+    some = once & (own[at] == 0)
+    u, c = at[some], c[some]
+    x, y, z = diagonal[c], out[u, c], into[u, c]
+    rise[u, c] += f(x + y + z) - f(x + y) - f(x + z) + f(x)
+    u = np.flatnonzero(own)
+    x, y, z = diagonal[None], out[u], into[u]
+    rise[u] += f(x + y + z + own[u, None]) - f(x + y) - f(x + z) + f(x)
+
+    # pairs with the class that the unit has left
+    for row, mine, other in ((m.T, out, into), (m, into, out)):
+        u = np.flatnonzero(mine[i, old])
+        x, step = row[old[u]], mine[u, old[u], None]
+        less = np.maximum(x - other[u], 0.0)
+        rise[u] += f(less + step) - f(less) - f(x + step) + f(x)
+    s, e = out.sum(1) + own, into.sum(1) + own
+    for total, step in ((left, s), (right, e)):
+        table = f(total + np.arange(256)[:, None]) - f(total)
+        rise -= table[np.minimum(step, 255).astype(np.int64)]
+        u = np.flatnonzero(step > 255)
+        rise[u] += table[255] - (f(total + step[u, None]) - f(total))
+
     # staying: the same, with the unit's own counts taken out of its class
     cut = lambda x, y: f(x) - f(np.maximum(x - y, 0.0))
-    rows, columns, o = cut(m[old], out), cut(m[:, old].T, into), old[:, None]
-    pick = lambda x: np.take_along_axis(x, o, 1)
-    stay = rows.sum(1, keepdims=True) - pick(rows) + columns.sum(1, keepdims=True) - pick(columns)
-    stay += cut(m[old, old][:, None], pick(out) + pick(into) + own) - cut(left[0][o], s) - cut(right[0][o], e)
-    np.put_along_axis(rise, o, stay, 1)
+    o, c = old[at], code % k
+    apart = o != c
+    x = np.where(code < k, m[o, c], m[c, o])[apart]
+    stay = np.bincount(at[apart], cut(x, times[apart]), minlength=n)
+    stay += cut(diagonal[old], out[i, old] + into[i, old] + own) - cut(left[old], s) - cut(right[old], e)
+    rise[i, old] = stay
     return rise
 
 
@@ -526,6 +543,7 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
     """(class bigrams, classes of the suffix groups, answers to the blocks) of the best round."""
     spark = coded.sparkSession
     now, best = coded.select("block", F.lit(0).alias("bucket"), "classes"), None
+    start = now
     for done in range(rounds + 1):
         met = _meet(now, coded, count) if done else coded.withColumn("bucket", F.lit(-1)).sortWithinPartitions("block")
         sent = blocks.materialize(met.mapInArrow(_statistics(buckets), _SENT), "lm-sent")
@@ -538,7 +556,7 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
             blocks.drop_table(sent)
             blocks.drop_table(now)
             break
-        if best and done > 1:
+        if best and best[2] is not start:
             blocks.drop_table(best[2])
         best, enough = (m, group_label, now), rise < TOLERANCE * m.sum()
         if done < rounds and not enough:
@@ -558,6 +576,9 @@ def exchange_all(coded: DataFrame, group_label: np.ndarray, count: int, buckets:
         if done < rounds and not moved:
             blocks.drop_table(now)
             break
+    blocks.forget_shuffles(spark)
+    if best[2] is not start:
+        blocks.drop_table(coded)
     return best
 
 
