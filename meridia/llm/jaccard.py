@@ -11,18 +11,24 @@ one in `COMMON` documents has, or nothing) says little.  n1 has `spare` partitio
 that has such choices in at most `spare` partitions leaves them out; a set with more keeps all, so no link is lost,
 whatever the frequent shingles are.
 
-Signatures travel packed, to buckets by range.  A bucket gives the lists of documents that share a signature.
-First each list's members are compared with its smallest document only.  Where the documents that lists connect (a
-family) are not one component yet, the lists' other pairs from different components follow, inside tasks that
-hold a family's sketches: 4096 parity bits a set, whose differing bits never exceed the differing shingles.  Pairs
-that the sketch cannot rule out are compared; at first only as many as could join the components, then all that
-are left.  Every true link lies in some list and is only skipped within one component, so components are exact,
+Texts of equal sets are one class, which its smallest id stands for; only that one signs.  Signatures travel packed,
+to buckets by range.  A bucket gives the lists of documents that share a signature, without those that lie inside
+a longer list of the bucket.  First each list's members are compared with its smallest document only.  Where the
+documents that lists connect (a family) are not one component yet, the lists' other pairs from different components
+follow, inside tasks that hold sketches: 4096 parity bits a set, whose differing bits never exceed the differing
+shingles.  Pairs that the sketch cannot rule out are compared; at first only as many as could join the components, then
+all that are left.  Every true link lies in some list and is only skipped within one component, so components are exact,
 and a group of thousands of similar texts costs about one comparison a member.  Comparisons are exact, on the sets
-themselves (52-bit shingle hashes); a family's lists are dealt over tasks by the pairs they hold.
+themselves (52-bit shingle hashes).
+
+No task holds a whole family: beyond `NODES` documents a family is cut into blocks, and a task takes the pairs of two
+blocks; the lists of a pair of blocks are dealt over tasks by the pairs they hold.  A document with more than `FAN`
+pairs meets its pairs in several tasks.  :func:`similar_pairs` gives the links themselves, between classes.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words than
 `words`, the whole sequence is the one shingle; rows that share an id are one node, which links if one of its texts
-does; a row without id is its own component (null); an empty table gives no rows.
+does; a row without id is its own component (null); an empty table gives no rows; ids are integers, or cast to
+them; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -42,6 +48,9 @@ WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
 FLUSH = 1 << 19  # signatures held in a task
+NODES = 1 << 14  # documents of a family in a block
+FAN = 1 << 12  # pairs of a document in a task
+BIG = 1 << 12  # a family of so many documents, or with so many lists, is not shuffled by its number
 CHUNK = 1 << 20  # text bytes shingled at a time
 COMMON = 2000  # a shingle of one in so many documents is frequent; at most COMMON * (mean set size) shingles are
 _BITS = 52
@@ -173,59 +182,89 @@ _SIGS = "bucket int, steps binary, ids binary, places binary"
 
 
 def _count_shingles(buckets: int, words: int):
-    """Counts of shingles that a task sees in two or more documents, packed by hash range."""
+    """Counts of shingles that a task sees in two or more documents, and the digest and size of every set, packed by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, sets, total = [], [], 0
+
+        def cuts(x: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+            cut = np.concatenate([[0], np.searchsorted(x, np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)), [len(x)]])
+            return [(i, cut[i], cut[i + 1]) for i in range(buckets) if cut[i] < cut[i + 1]]
 
-        def pack() -> pa.RecordBatch:
+        def pack() -> Iterator[pa.RecordBatch]:
             h = np.sort(np.concatenate(held))
             first = np.flatnonzero(blocks.run_starts(h))
             times = np.diff(np.append(first, len(h)))
-            h, times = h[first[times > 1]], times[times > 1]
-            cut = np.concatenate([[0], np.searchsorted(h, np.array([(i << _BITS) // buckets for i in range(1, buckets)], np.uint64)), [len(h)]])
-            parts = [(i, cut[i], cut[i + 1]) for i in range(buckets) if cut[i] < cut[i + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([times[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "hashes", "times"])
+            h, times = h[first[times > 1]], times[times > 1].astype("<u4")
+            d = np.concatenate(sets)
+            d = d[np.argsort(d[:, 0])]
+            for kind, parts, columns in ((0, cuts(h, _BITS), (h, times)), (1, cuts(d[:, 0], 64), (d, None))):
+                for i in range(0, len(parts), 256):
+                    some = parts[i : i + 256]
+                    packed = [pa.array([None if c is None else c[a:b].tobytes() for _, a, b in some], pa.binary()) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), *packed], names=["bucket", "kind", "hashes", "times"])
 
         for batch in blocks.chunks(batches, limit=CHUNK):
-            _, hashes = shingle_sets(batch.column("text"), words)
+            at, hashes = shingle_sets(batch.column("text"), words)
+            size = np.diff(at).astype(np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(blocks.mix(hashes))])
+            digest = blocks.mix(sums[at[1:]] - sums[at[:-1]] + size)
+            sets.append(np.column_stack([digest, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size]))
             held.append(hashes)
             total += len(hashes)
             if total > 2 * FLUSH:
-                yield pack()
-                held, total = [], 0
-        if total:
-            yield pack()
+                yield from pack()
+                held, sets, total = [], [], 0
+        if sets:
+            yield from pack()
 
     return run
 
 
-def _most_shared(least: int):
+_CLASSES = "doc_id bigint, class_id bigint, n_shingles bigint, hashes binary"
+
+
+def _classes(least: int):
+    """Frequent shingles of a bucket, packed, and for every document the smallest id with an equal set."""
+    names = ["doc_id", "class_id", "n_shingles", "hashes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "bucket"):
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-            times = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("times").to_pylist()])
-            own, inverse = np.unique(h, return_inverse=True)
-            total = np.bincount(inverse, times)
-            yield pa.RecordBatch.from_arrays([pa.array([own[total >= least].tobytes()], pa.binary())], names=["hashes"])
+            kind = table.column("kind").to_numpy()
+            counts, sets = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+            if counts.num_rows:
+                h = np.concatenate([np.frombuffer(x, np.uint64) for x in counts.column("hashes").to_pylist()])
+                times = np.concatenate([np.frombuffer(x, "<u4") for x in counts.column("times").to_pylist()])
+                own, inverse = np.unique(h, return_inverse=True)
+                total = np.bincount(inverse, times)
+                yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()) for _ in range(3)), pa.array([own[total >= least].tobytes()], pa.binary())], names=names)
+            if sets.num_rows:
+                digest, doc, size = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for x in sets.column("hashes").to_pylist()]).T
+                doc = doc.view(np.int64) if doc.flags.c_contiguous else np.ascontiguousarray(doc).view(np.int64)
+                order = np.lexsort((doc, digest))
+                digest, doc, size = digest[order], doc[order], size[order]
+                first = np.maximum.accumulate(np.where(blocks.run_starts(digest), np.arange(len(doc)), 0))
+                least_id = np.where(size > 0, doc[first], doc)  # texts without words are no class
+                for lo in range(0, len(doc), 100_000):
+                    some = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(least_id[some]), pa.array(size[some].astype(np.int64)), pa.nulls(len(doc[some]), pa.binary())], names=names)
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the shingles that about one in COMMON documents holds."""
-    spark = docs.sparkSession
+def classes_of(given: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, class_id, n_shingles) of every row, and sorted hashes of the shingles that about one in COMMON documents holds."""
+    spark = given.sparkSession
     parts = blocks.partitions(spark)
-    n = docs.count()
-    counted = docs.select("text").mapInArrow(_count_shingles(parts, words), "bucket int, hashes binary, times binary")
-    kept = counted.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_most_shared(max(20, n // COMMON)), "hashes binary")
-    found = [np.frombuffer(r[0], np.uint64) for r in kept.collect()]  # their number is bounded by COMMON * mean set size
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    counted = given.select("doc_id", "text").mapInArrow(_count_shingles(parts, words), "bucket int, kind int, hashes binary, times binary")
+    met = counted.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    made = blocks.materialize(met.mapInArrow(_classes(max(20, given.count() // COMMON)), _CLASSES), "jaccard-classes")
+    found = [np.frombuffer(r[0], np.uint64) for r in made.where("hashes IS NOT NULL").select("hashes").collect()]  # their number is bounded by COMMON * mean set size
+    return made.where("hashes IS NULL").drop("hashes"), np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def _sign(buckets: int, percent: int, words: int, shared=None):
-    """Packed signatures by bucket.  Rows of equal sets in a chunk sign once; the others are sent as (first,
-    copy) ids without places, and every chunk's (id, set size) pairs without steps."""
+    """Packed signatures by bucket."""
 
     def pack(rows: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
         ids, sig = np.concatenate(rows), np.concatenate(sigs) >> np.uint64(16)
@@ -250,24 +289,7 @@ def _sign(buckets: int, percent: int, words: int, shared=None):
         for batch in blocks.chunks(batches, limit=CHUNK):
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             at, hashes = shingle_sets(batch.column("text"), words)
-            size = np.diff(at)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(blocks.mix(hashes))])
-            digest = blocks.mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64))
-            order = np.lexsort((doc, digest))
-            first = blocks.run_starts(digest[order])
-            leader = np.empty(len(doc), np.int64)
-            leader[order] = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(doc) else doc
-            copy = np.ones(len(doc), bool)
-            copy[order[first]] = False
-            copies = np.flatnonzero(copy & (size > 0) & (doc != leader))
-            to = int(digest[0] % np.uint64(buckets)) if len(doc) else 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([to, to], pa.int32()), *(pa.array(x, pa.binary()) for x in ([leader[copies].tobytes(), None], [doc[copies].tobytes(), np.column_stack([doc, size]).tobytes()], [None, None]))],
-                names=["bucket", "steps", "ids", "places"],
-            )
-            keep = np.where(copy, 0, size)
-            bounds = np.concatenate([[0], np.cumsum(keep)])
-            row, sig = signatures(bounds, hashes[np.repeat(~copy, size)], percent, shared.value if shared is not None else None)
+            row, sig = signatures(at, hashes, percent, shared.value if shared is not None else None)
             rows.append(doc[row])
             sigs.append(sig)
             held += len(sig)
@@ -283,26 +305,30 @@ def _sign(buckets: int, percent: int, words: int, shared=None):
 _LISTS = "gid bigint, leader bigint, members array<bigint>"
 
 
+def _outermost(starts: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Lists that do not lie inside a longer one: not all of their members have the same other list as their longest."""
+    element = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    rank = np.empty(len(size), np.int64)
+    rank[np.argsort(size, kind="stable")] = np.arange(len(size))
+    _, member = np.unique(doc[element], return_inverse=True)
+    longest = np.zeros(member.max() + 1, np.int64)
+    np.maximum.at(longest, member, np.repeat(rank, size))
+    of, at = longest[member], np.cumsum(size) - size
+    low, high = np.minimum.reduceat(of, at), np.maximum.reduceat(of, at)
+    return (low != high) | (low == rank)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lists of two or more documents that share a signature.  Copies come out as lists without
-    gid, set sizes as (id, size, id, size, ...) without gid and leader."""
+    """Distinct lists of two or more documents that share a signature."""
     for bucket, table in blocks.runs(batches, "bucket"):
         sigs, docs = [], []
         for steps, ids, places in zip(*(table.column(c).to_pylist() for c in ("steps", "ids", "places"))):
             own = np.frombuffer(ids, "<i8")
-            if places is None:
-                if steps is None:
-                    yield _list_batch([None], [None], [own])
-                elif len(own):
-                    yield _list_batch([None] * len(own), np.frombuffer(steps, "<i8").tolist(), list(own[:, None]))
-                continue
             place = np.frombuffer(places, "<u2" if len(own) <= 1 << 16 else "<u4")
             narrow = len(steps) == 8 + 4 * (len(place) - 1)
             step = np.concatenate([np.frombuffer(steps[:8], "<u8"), np.frombuffer(steps[8:], "<u4" if narrow else "<u8").astype(np.uint64)])
             sigs.append(np.cumsum(step))
             docs.append(own[place])
-        if not sigs:
-            continue
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
@@ -317,6 +343,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(blocks.mix(doc.view(np.uint64)))])
         digest = blocks.mix(total[starts + size] - total[starts] + size.astype(np.uint64))
         _, one = np.unique(digest, return_index=True)
+        one = one[_outermost(starts[one], size[one], doc)]
         gids, leaders, members = [], [], []
         for i in one:
             whole = doc[starts[i] : starts[i] + size[i]]
@@ -338,7 +365,7 @@ def _list_batch(gids: list, leaders: list, members: list) -> pa.RecordBatch:
 
 
 SKETCH_BITS = 4096
-PAIRS = 40_000_000  # list pairs from which a family is dealt over one more task
+PAIRS = 20_000_000  # list pairs from which a family is dealt over one more task
 
 
 def _pack_sets(words: int):
@@ -377,37 +404,48 @@ def _verify(percent: int):
     return run
 
 
-def _pairs_of(lists: Iterator[np.ndarray], root: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes (smaller place * size + larger place) of the lists' pairs from different components."""
+def _pairs_of(lists: Iterator[np.ndarray], root: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes (smaller place * size + larger place) of the lists' pairs from different components.
+
+    Where places lie on two sides, only pairs from different sides count.  Lists are taken in tiles."""
     n, held, total = len(root), [], 0
+    cross = len(side) > 0 and side.min() != side.max()
     for idx in lists:
-        own = root[idx]
-        if (own == own[0]).all():
+        idx = np.unique(idx)
+        own, of = root[idx], side[idx]
+        if (own == own[0]).all() or cross and (of == of[0]).all():
             continue
-        for lo in range(0, len(idx), 512):
-            i, j = np.nonzero(own[lo : lo + 512, None] != own[None, :])
-            a, b = idx[lo + i], idx[j]
-            code = (a * n + b)[a < b]
-            held.append(code)
-            total += len(code)
-            if total > 1 << 21:
-                yield np.unique(np.concatenate(held))
-                held, total = [], 0
+        for lo in range(0, len(idx), 1024):
+            for at in range(lo, len(idx), 1024):
+                a, b = slice(lo, lo + 1024), slice(at, at + 1024)
+                apart = own[a, None] != own[None, b]
+                if cross:
+                    apart &= of[a, None] != of[None, b]
+                i, j = np.nonzero(apart)
+                i, j = idx[a][i], idx[b][j]
+                code = (i * n + j)[i < j]
+                held.append(code)
+                total += len(code)
+                if total > 1 << 21:
+                    yield np.unique(np.concatenate(held))
+                    held, total = [], 0
     if held:
         yield np.unique(np.concatenate(held))
 
 
 def _candidates(percent: int, forest: bool):
-    """Pairs of a family that the sketches cannot rule out; as a forest, only pairs that would join components."""
+    """Pairs of a task that the sketches cannot rule out; as a forest, only pairs that would join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks.runs(batches, "task"):
             kind = table.column("gid").is_null().to_numpy()
             nodes, lists = table.filter(pa.array(kind)), table.filter(pa.array(~kind))
+            if not nodes.num_rows or not lists.num_rows:
+                continue
             node = nodes.column("node").to_numpy()
             order = np.argsort(node, kind="stable")
             first = order[blocks.run_starts(node[order])]  # rows that share an id: see below
-            ids, root = node[first], nodes.column("root").to_numpy()[first]
+            ids, root, side = node[first], nodes.column("root").to_numpy()[first], nodes.column("side").to_numpy()[first]
             size = nodes.column("n").to_numpy()[first]
             shared = np.bincount(np.searchsorted(ids, node), minlength=len(ids)) > 1
             bits = np.frombuffer(b"".join(nodes.column("sketch").take(pa.array(first)).to_pylist()), np.uint64).reshape(len(ids), -1)
@@ -423,12 +461,12 @@ def _candidates(percent: int, forest: bool):
                 return x
 
             seen = np.zeros(0, np.int64)
-            for codes in _pairs_of((values[ends[a] : ends[b]] for a, b in zip(starts, starts[1:])), root):
+            for codes in _pairs_of((values[ends[a] : ends[b]] for a, b in zip(starts, starts[1:])), root, side):
                 codes = np.setdiff1d(codes, seen, assume_unique=True)
-                seen = np.union1d(seen, codes) if len(seen) < 1 << 24 else codes
-                keep_a, keep_b = [], []
-                for lo in range(0, len(codes), 1 << 15):
-                    i, j = np.divmod(codes[lo : lo + (1 << 15)], len(ids))
+                seen = np.union1d(seen, codes) if len(seen) < 1 << 22 else codes
+                keep_a, keep_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for lo in range(0, len(codes), 1 << 14):
+                    i, j = np.divmod(codes[lo : lo + (1 << 14)], len(ids))
                     apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
                     near = (apart * (100 + percent) <= (size[i] + size[j]) * (100 - percent)) | shared[i] | shared[j]
                     keep_a.append(i[near])
@@ -463,9 +501,19 @@ def _near(percent: int):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, **columns: str) -> DataFrame:
+    """`pairs` with columns of the set of one side; a document of many pairs is repeated, and its pairs dealt over the repeats."""
+    fan = pairs.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > FAN)
+    fan = F.broadcast(fan.select(key, F.ceil(F.col("__n") / FAN).cast("int").alias("__s")))  # at most one in FAN pairs
+    other = "b" if key == "a" else "a"
+    left = pairs.join(fan, key, "left").withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__s", F.lit(1))).cast("int")).drop("__s")
+    right = sets.select(F.col("doc_id").alias(key), *[F.col(c).alias(n) for n, c in columns.items()]).join(fan, key, "left")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__s", F.lit(1)) - 1))).drop("__s")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m")), "b")
-    both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), "n"), "a")
+    both = _with_sets(_with_sets(pairs, sets, "b", y="sketch", m="n"), sets, "a", x="sketch", n="n")
     close = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     return close.select("a", "b", "x", "y", "n", "m").mapInArrow(_near(percent), "a bigint, b bigint").distinct()
 
@@ -473,62 +521,103 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _true_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each side gets its set on its own and the two meet by pair, so few pairs never move the table of sets."""
     pairs = blocks.materialize(pairs, "jaccard-near")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a")
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b")
+    left, right = _with_sets(pairs, sets, "a", x="features"), _with_sets(pairs, sets, "b", y="features")
     return left.join(right, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint").distinct()
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of documents (doc_id, text) that link with another, and (doc_id, n_shingles) of all with an id."""
-    spark = docs.sparkSession
-    parts = blocks.partitions(spark)
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    shared = spark.sparkContext.broadcast(frequent_shingles(given, words))
-    signed = given.mapInArrow(_sign(parts, percent, words, shared), _SIGS)
-    made = blocks.materialize(signed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS), "jaccard-lists")
-    lists = made.where("gid IS NOT NULL")
-    copies = made.where("gid IS NULL AND leader IS NOT NULL").select(F.col("leader").alias("a"), F.explode("members").alias("b"))
-    pair = F.transform(F.sequence(F.lit(0), F.size("members") - 2, F.lit(2)), lambda i: F.struct(F.get("members", i).alias("doc_id"), F.get("members", i + 1).alias("n_shingles")))
-    sizes = made.where("leader IS NULL AND size(members) > 0").select(F.inline(pair))
-
-    tried = blocks.materialize(lists.select(F.col("leader").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
-    wanted = tried.select("a").unionByName(tried.select(F.col("b").alias("a"))).select(F.col("a").alias("doc_id")).distinct()
-    # the ids grow with the documents: they are never broadcast
-    sets = blocks.materialize(given.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id bigint, features binary, n bigint, sketch binary"), "jaccard-sets")
-    links = blocks.materialize(_true_links(_near_pairs(tried, sets, percent), sets, percent).unionByName(copies), "jaccard-links")
-    roots = graph.components(links, "a", "b")
+class _Join:
+    """The lists of documents (doc_id, text) that share signatures, and what is needed to compare their members."""
+
+    def __init__(self, docs: DataFrame, percent: int, words: int):
+        self.spark, self.percent = docs.sparkSession, percent
+        parts = blocks.partitions(self.spark)
+        given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+        self.classes, frequent = classes_of(given, words)
+        shared = self.spark.sparkContext.broadcast(frequent)
+        standing = self.classes.where("class_id = doc_id AND n_shingles > 0").select("doc_id").distinct()
+        # the ids grow with the documents: they are never broadcast
+        signed = given.join(standing.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign(parts, percent, words, shared), _SIGS)
+        self.lists = blocks.materialize(signed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS), "jaccard-lists")
+        blocks.forget_shuffles(self.spark)
+        self.tried = blocks.materialize(self.lists.select(F.col("leader").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
+        wanted = self.tried.select("a").unionByName(self.tried.select(F.col("b").alias("a"))).select(F.col("a").alias("doc_id")).distinct()
+        packed = given.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id bigint, features binary, n bigint, sketch binary")
+        self.sets = blocks.materialize(packed, "jaccard-sets")
+        # families: what the lists connect, whether similar or not
+        self.family = blocks.materialize(graph.components(self.tried, "a", "b").withColumnRenamed("root", "family"), "jaccard-families")
+        self.of_list = self.lists.join(self.family, self.lists["leader"] == self.family["node"]).select("family", "gid", "members")
+
+    def candidates(self, roots: DataFrame | None, forest: bool) -> DataFrame:
+        """Pairs of lists' members from different components (`roots`; none: every document for itself) that may link."""
+        own = self.family.withColumn("root", F.col("node")) if roots is None else self.family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+        own = blocks.materialize(own, "jaccard-own")
+        # the smallest document of a family is its number, and its own root if the family is one component
+        work = self.of_list.groupBy("family").agg(F.sum(F.size("members").cast("bigint") * F.size("members")).alias("work"), F.count("*").alias("n_lists"))
+        size = own.groupBy("family").agg(F.count("*").alias("n_nodes"), F.bool_or(F.col("root") != F.col("family")).alias("open")).where("open")
+        cut = size.join(work, "family").withColumn("n_blocks", F.ceil(F.col("n_nodes") / NODES).cast("int"))
+        cut = cut.withColumn("n_tasks", F.ceil(F.col("work") / (F.col("n_blocks") * (F.col("n_blocks") + 1) * PAIRS)).cast("int"))
+        cut = blocks.materialize(cut.select("family", "n_blocks", "n_tasks", (F.greatest("n_nodes", "n_lists") >= BIG).alias("big")), "jaccard-cut")
+        big, small = F.broadcast(cut.where("big").drop("big")), cut.where("NOT big").drop("big")  # at most one in BIG nodes and lists
+
+        def spread(df: DataFrame) -> DataFrame:
+            return df.join(big, "family").unionByName(df.join(big.select("family"), "family", "left_anti").join(small, "family"))
+
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("n_blocks")).cast("int")
+        nodes = spread(own).withColumn("mine", block("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        nodes = nodes.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_tasks") - 1)))
+        nodes = nodes.join(self.sets.select(F.col("doc_id").alias("node"), "n", "sketch"), "node")
+        lists = spread(self.of_list).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("hi", F.explode(F.sequence(F.col("lo"), F.col("n_blocks") - 1)))
+        inside = F.filter("members", lambda x: block(x).isin(F.col("lo"), F.col("hi")))
+        lists = lists.withColumn("members", F.when(F.col("n_blocks") == 1, F.col("members")).otherwise(inside)).where("size(members) > 0").withColumn("part", F.pmod("gid", F.col("n_tasks")).cast("int"))
+        task = F.xxhash64("family", "lo", "hi", "part").alias("task")
+        none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+        left = nodes.select(task, *none(gid="bigint"), "node", "root", F.col("mine").alias("side"), "n", "sketch", *none(members="array<bigint>"))
+        right = lists.select(task, "gid", *none(node="bigint", root="bigint", side="int", n="bigint", sketch="binary"), "members")
+        met = left.unionByName(right).repartition(2 * blocks.partitions(self.spark), "task").sortWithinPartitions("task", "gid")
+        return met.mapInArrow(_candidates(self.percent, forest), "a bigint, b bigint").distinct()
 
-    # families: what the lists connect, whether similar or not
-    family = blocks.materialize(graph.components(tried, "a", "b").withColumnRenamed("root", "family"), "jaccard-families")
-    pairs = lists.join(family, lists["leader"] == family["node"]).groupBy("family").agg(F.sum(F.size("members").cast("bigint") * F.size("members")).alias("work"))
-    pairs = blocks.materialize(pairs.withColumn("tasks", F.ceil(F.col("work") / (2 * PAIRS)).cast("int")), "jaccard-work")
-    known = sets.select(F.col("doc_id").alias("node"), "n", "sketch")
-
-    def candidates(roots: DataFrame, forest: bool) -> DataFrame:
-        own = family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
-        split = own.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").join(pairs, "family").select("family", "tasks")
-        nodes = own.join(split, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).join(known, "node")
-        wanted = lists.join(family, lists["leader"] == family["node"]).join(split, "family").withColumn("part", F.pmod("gid", F.col("tasks")).cast("int"))
-        task = F.xxhash64("family", "part").alias("task")
-        left = nodes.select(task, F.lit(None).cast("bigint").alias("gid"), "node", "root", "n", "sketch", F.lit(None).cast("array<bigint>").alias("members"))
-        right = wanted.select(task, "gid", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "bigint"), ("root", "bigint"), ("n", "bigint"), ("sketch", "binary"))], "members")
-        met = left.unionByName(right).repartition(2 * parts, "task").sortWithinPartitions("task", "gid")
-        return met.mapInArrow(_candidates(percent, forest), "a bigint, b bigint").distinct()
 
+def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of documents (doc_id, text) that link with another, and (doc_id, class_id, n_shingles) of all with an id."""
+    join = _Join(docs, percent, words)
+    copies = join.classes.where("class_id <> doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    links = blocks.materialize(_true_links(_near_pairs(join.tried, join.sets, percent), join.sets, percent).unionByName(copies), "jaccard-links")
+    roots = graph.components(links, "a", "b")
     for forest in (True, False):
-        more = _true_links(candidates(roots, forest), sets, percent)
-        found = blocks.materialize(more, "jaccard-more")
+        found = blocks.materialize(_true_links(join.candidates(roots, forest), join.sets, percent), "jaccard-more")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = graph.components(links, "a", "b")
-    return roots, sizes
+    return roots, join.classes
+
+
+def similar_pairs(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """All links (a < b) between classes, and the classes' members (doc_id, class_id, n_shingles).
+
+    A class is the documents of one set of shingles, under its smallest id; its members link with each other and with
+    all members of the classes that theirs links with.  Every pair that shares a signature is compared.
+    """
+    join = _Join(docs, percent, words)
+    return _true_links(join.candidates(None, False), join.sets, percent), join.classes
+
+
+def link_counts(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, class_id, n_links): how many other documents a document links with.  Rows that share an id count one by one."""
+    pairs, classes = similar_pairs(docs, percent, words)
+    pairs, classes = blocks.materialize(pairs, "jaccard-links"), classes.where("n_shingles > 0 OR class_id = doc_id")
+    size = classes.groupBy("class_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words"))
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
+    beyond = both.join(size.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("beyond"))
+    n = size.join(beyond, "class_id", "left").select("class_id", F.when(F.col("words") > 0, F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+    return classes.join(n, "class_id").select("doc_id", "class_id", "n_links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row a document."""
-    roots, sizes = link_components(docs, percent, words)
-    known = sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return known.unionByName(shingle_counts(docs.where("doc_id IS NULL"), words).select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id")))
+    """(doc_id, n_shingles, component_id, class_id), one row a document; class_id is the smallest id of an equal set."""
+    roots, classes = link_components(docs, percent, words)
+    known = classes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), "class_id")
+    none = F.lit(None).cast("bigint")
+    return known.unionByName(shingle_counts(docs.where("doc_id IS NULL"), words).select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", none.alias("component_id"), none.alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -550,7 +639,7 @@ def shingle_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def op2_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("class_id")
 
 
 ORACLE_SQL = r"""

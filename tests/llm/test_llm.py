@@ -135,6 +135,67 @@ def test_jaccard(docs):
     assert kept == {d for d, _, c in want if d == c}
 
 
+def brute_links(rows):
+    """(links between documents, links between classes, class of each document)."""
+    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    least = {}
+    for d, x in sets:
+        least[frozenset(x)] = min(least.get(frozenset(x), d), d)
+    of = [(d, least[frozenset(x)] if x else d) for d, x in sets]
+    count, pairs = Counter(), set()
+    for i, (a, x) in enumerate(sets):
+        for j, (b, y) in enumerate(sets):
+            if i != j and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                count[i] += 1
+                if of[i][1] < of[j][1]:
+                    pairs.add((of[i][1], of[j][1]))
+    return [(d, c, count[i]) for i, (d, c) in enumerate(of)], pairs
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_families_of_near_misses(spark, monkeypatch, cut):
+    """Texts around the bound, few of which link; with tiny bounds every family is cut into blocks and every pair list dealt out."""
+    if cut:
+        for name, value in (("NODES", 7), ("FAN", 3), ("BIG", 4), ("PAIRS", 60)):
+            monkeypatch.setattr(jaccard, name, value)
+    rng, rows = random.Random(7), []
+    for family in range(3):
+        base = ["f%dw%d" % (family, i) for i in range(90)]
+        for i in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                words[rng.randrange(90)] = "x%d" % rng.randrange(40)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rng.sample(rows, 20))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+    counts, pairs = brute_links(rows)
+    assert len(pairs) > 50
+    assert sorted(map(tuple, jaccard.link_counts(docs).collect())) == sorted(counts)
+    assert set(map(tuple, jaccard.similar_pairs(docs)[0].collect())) == pairs
+
+
+def test_similar_pairs(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    counts, pairs = brute_links(rows)
+    assert sorted(map(tuple, jaccard.link_counts(docs).collect())) == sorted(counts)
+    assert set(map(tuple, jaccard.similar_pairs(docs)[0].collect())) == pairs
+
+
+def test_tiles_and_outermost_lists():
+    root, side = np.arange(3000) // 2, np.arange(3000) % 3 % 2
+    code = np.concatenate(list(jaccard._pairs_of(iter([np.arange(3000), np.arange(0, 3000, 7)]), root, np.zeros(3000, int))))
+    assert len(np.unique(code)) == 3000 * 2999 // 2 - 1500
+    cross = np.unique(np.concatenate(list(jaccard._pairs_of(iter([np.arange(3000)]), root, side))))
+    i, j = np.divmod(cross, 3000)
+    assert (side[i] != side[j]).all() and len(cross) == sum(side == 0) * sum(side == 1) - sum(side[::2] != side[1::2])
+    lists = [[1, 2, 3, 4], [2, 3], [3, 9], [1, 4], [8, 9], [7, 8, 9]]
+    doc, size = np.concatenate(lists), np.array([len(x) for x in lists])
+    kept = jaccard._outermost(np.cumsum(size) - size, size, doc)
+    assert [x for x, k in zip(lists, kept) if k] == [[1, 2, 3, 4], [3, 9], [7, 8, 9]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_similar_sets_share_a_signature(common, left, right, seed):
