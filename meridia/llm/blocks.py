@@ -54,7 +54,10 @@ def drop_table(df: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps that are written down and over: it does so when the driver collects garbage."""
+    """Let Spark remove the shuffle files of steps that are written down and over: it does so when the driver collects garbage.
+
+    The last step may still be known to listeners, so this is best called one short step later.
+    """
     spark._jvm.System.gc()
 
 

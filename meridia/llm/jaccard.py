@@ -538,13 +538,14 @@ class _Join:
         # the ids grow with the documents: they are never broadcast
         signed = given.join(standing.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sign(parts, percent, words, shared), _SIGS)
         self.lists = blocks.materialize(signed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS), "jaccard-lists")
-        blocks.forget_shuffles(self.spark)
         self.tried = blocks.materialize(self.lists.select(F.col("leader").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct(), "jaccard-pairs")
+        blocks.forget_shuffles(self.spark)
         wanted = self.tried.select("a").unionByName(self.tried.select(F.col("b").alias("a"))).select(F.col("a").alias("doc_id")).distinct()
         packed = given.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id bigint, features binary, n bigint, sketch binary")
         self.sets = blocks.materialize(packed, "jaccard-sets")
         # families: what the lists connect, whether similar or not
         self.family = blocks.materialize(graph.components(self.tried, "a", "b").withColumnRenamed("root", "family"), "jaccard-families")
+        blocks.forget_shuffles(self.spark)
         self.of_list = self.lists.join(self.family, self.lists["leader"] == self.family["node"]).select("family", "gid", "members")
 
     def candidates(self, roots: DataFrame | None, forest: bool) -> DataFrame:
@@ -583,6 +584,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     copies = join.classes.where("class_id <> doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     links = blocks.materialize(_true_links(_near_pairs(join.tried, join.sets, percent), join.sets, percent).unionByName(copies), "jaccard-links")
     roots = graph.components(links, "a", "b")
+    blocks.forget_shuffles(join.spark)
     for forest in (True, False):
         found = blocks.materialize(_true_links(join.candidates(roots, forest), join.sets, percent), "jaccard-more")
         if not found.isEmpty():
