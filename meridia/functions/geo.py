@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scalar import C, col, num
 
@@ -78,34 +81,40 @@ def overlap_area(a: str, b: str) -> Column:
     return overlap_1d(f(a, "xmin"), f(a, "xmax"), f(b, "xmin"), f(b, "xmax")) * overlap_1d(f(a, "ymin"), f(a, "ymax"), f(b, "ymin"), f(b, "ymax"))
 
 
-def geodesic_km(lat1: C, lon1: C, lat2: C, lon2: C, rounds: int = 12) -> Column:
-    """Inverse geodesic on GRS80 by a fixed number of Vincenty iterations, as one higher-order expression."""
+def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 12) -> np.ndarray:
     a, f = GRS80_A, GRS80_F
     b = a * (1 - f)
-    u1, u2 = F.atan((1 - f) * F.tan(F.radians(col(lat1)))), F.atan((1 - f) * F.tan(F.radians(col(lat2))))
-    big_l = F.radians(col(lon2) - col(lon1))
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def terms(lam: Column) -> tuple[Column, ...]:
-        sin_s = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
-        cos_s = s1 * s2 + c1 * c2 * F.cos(lam)
-        sigma = F.atan2(sin_s, cos_s)
-        sin_a = F.when(sin_s == 0, num(0)).otherwise(c1 * c2 * F.sin(lam) / sin_s)
-        cos2a = 1 - sin_a * sin_a
-        mid = F.when(cos2a == 0, num(0)).otherwise(cos_s - 2 * s1 * s2 / cos2a)
-        return sin_s, cos_s, sigma, sin_a, cos2a, mid
-
-    def step(lam: Column, _: Column) -> Column:
-        sin_s, cos_s, sigma, sin_a, cos2a, mid = terms(lam)
-        k = f / 16 * cos2a * (4 + f * (4 - 3 * cos2a))
-        return big_l + (1 - k) * f * sin_a * (sigma + k * sin_s * (mid + k * cos_s * (2 * mid * mid - 1)))
-
-    def finish(lam: Column) -> Column:
-        sin_s, cos_s, sigma, _, cos2a, mid = terms(lam)
-        uu = cos2a * (a * a - b * b) / (b * b)
-        big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
-        big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
-        fix = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid * mid - 1) - big_b / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3)))
-        return b * big_a * (sigma - fix) / 1000.0
-
-    return F.when(big_l.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), big_l, step, finish))
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    whole = np.radians(lon2 - lon1)
+    whole = whole - 2 * np.pi * np.rint(whole / (2 * np.pi))  # the short way round
+    lam = whole
+    for i in range(rounds + 1):
+        sin_l, cos_l = np.sin(lam), np.cos(lam)
+        sin_s = np.sqrt((c2 * sin_l) ** 2 + (c1 * s2 - s1 * c2 * cos_l) ** 2)
+        cos_s = s1 * s2 + c1 * c2 * cos_l
+        sigma = np.arctan2(sin_s, cos_s)
+        sin_a = np.where(sin_s == 0, 0.0, c1 * c2 * sin_l / np.where(sin_s == 0, 1.0, sin_s))
+        cos2a = 1 - sin_a**2
+        mid = np.where(cos2a == 0, 0.0, cos_s - 2 * s1 * s2 / np.where(cos2a == 0, 1.0, cos2a))
+        if i < rounds:
+            k = f / 16 * cos2a * (4 + f * (4 - 3 * cos2a))
+            lam = whole + (1 - k) * f * sin_a * (sigma + k * sin_s * (mid + k * cos_s * (2 * mid**2 - 1)))
+    uu = cos2a * (a * a - b * b) / (b * b)
+    big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+    big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+    fix = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
+    return b * big_a * (sigma - fix) / 1000.0
+
+
+@F.pandas_udf(DoubleType())
+def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    return pd.Series(_inverse(*(x.to_numpy(float) for x in (lat1, lon1, lat2, lon2))))
+
+
+def geodesic_km(lat1: C, lon1: C, lat2: C, lon2: C) -> Column:
+    """Inverse geodesic on GRS80 by a fixed number of Vincenty iterations, in Arrow batches: an iteration shares its terms, which a
+    column expression would spell out again and again.  Null where an argument is."""
+    args = [col(x).cast("double") for x in (lat1, lon1, lat2, lon2)]
+    d = _geodesic(*args)
+    return F.when(args[0].isNotNull() & args[1].isNotNull() & args[2].isNotNull() & args[3].isNotNull(), d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 C = Column | str
 
 COMPLETE = 1e-6  # slack of a full coverage
+#: Kilograms in a pound and a short ton, square kilometres in an acre.
 LB_TO_KG = 0.45359237
 SHORT_TON_KG = 907.18474
 ACRE_KM2 = 0.0040468564224
@@ -31,6 +32,8 @@ def finite(x: C) -> Column:
 
 def normalise(x: C, low: float, high: float, direction: str = "minimise") -> Column:
     """Clip to [low, high] and scale to 0..100; 100 is best."""
+    if not low < high:
+        raise ValueError("the lower reference must be below the upper one")
     x = finite(x)
     part = 100.0 * (F.least(F.greatest(x, num(low)), num(high)) - low) / (high - low)
     return F.when(x.isNotNull(), 100.0 - part if direction == "minimise" else part)

@@ -83,30 +83,47 @@ def wilson(successes: C, n: C, z: float = 1.959963984540054) -> dict[str, Column
 
 def midrank_percentile(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "percentile") -> DataFrame:
     """(average rank - 1) / (n - 1) * 100; one value is 50; nulls stay out."""
-    w = W.partitionBy(*by, F.col(value).isNull())
-    n = F.count(value).over(w).cast("double")
-    low = F.rank().over(w.orderBy(value)).cast("double")
-    ties = F.count("*").over(W.partitionBy(*by, value)).cast("double")
-    mid = low + (ties - 1.0) / 2.0
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.when(n == 1.0, 50.0).otherwise((mid - 1.0) / (n - 1.0) * 100.0)))
+    out, ties, below, n = _placed(df, value, by)
+    mid = below + (ties - 1.0) / 2.0
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), F.when(n == 1.0, 50.0).otherwise(mid / (n - 1.0) * 100.0))).select(*df.columns, name)
 
 
 def percentile_of_score(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "percentile") -> DataFrame:
     """(below + half of the ties) / n, among values that are known."""
-    w = W.partitionBy(*by, F.col(value).isNull())
-    below = F.rank().over(w.orderBy(value)) - 1
-    ties = F.count("*").over(W.partitionBy(*by, value))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), (below + 0.5 * ties) / F.count(value).over(w)))
+    out, ties, below, n = _placed(df, value, by)
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), (below + 0.5 * ties) / n)).select(*df.columns, name)
+
+
+def _placed(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, Column, Column, Column]:
+    """`df` with how many of its group have the same value, a smaller one, and any.
+
+    Rows are counted by distinct value first; these counts are summed over range partitions and meet the rows again, so no
+    task holds a whole group.
+    """
+    from .decision import prefix_sums
+
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__ties"))
+    placed = prefix_sums(per, [value], {"__below": F.col("__ties")}, by)
+    names = [f"__k_{i}" for i in range(len(by))]
+    rows = placed.select(*[F.col(k).alias(n) for k, n in zip(by, names)], F.col(value).alias("__value"), "__ties", "__below")
+    total = per.groupBy(*by).agg(F.sum("__ties").alias("__n")).select(*[F.col(k).alias(f"{n}_n") for k, n in zip(by, names)], "__n")
+    same, near = df[value] == rows["__value"], F.lit(True)
+    for k, n in zip(by, names):
+        same, near = same & df[k].eqNullSafe(F.col(n)), near & F.col(k).eqNullSafe(F.col(f"{n}_n"))
+    out = df.join(rows, same, "left")
+    out = out.join(total, near, "left") if by else out.crossJoin(F.broadcast(total))  # one row
+    return out, *(F.col(c).cast("double") for c in ("__ties", "__below", "__n"))
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Presence against all background: mean percentile of the positives, ties one half.
 
-    Counts per distinct score are pre-aggregated, so the window runs over distinct scores only.
+    Counts per distinct score are pre-aggregated, and summed over range partitions.
     """
+    from .decision import prefix_sums
+
     per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(positive)).alias("k"))
-    below = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = per.withColumn("below", below)
+    placed = prefix_sums(per, [score], {"below": F.col("n")})
     return placed.agg(
         (F.sum(F.col("k") * (F.col("below") + 0.5 * F.col("n"))) / F.nullif(F.sum("k") * F.sum("n"), F.lit(0))).alias("auc"),
         F.sum("k").alias("n_positive"),

@@ -53,8 +53,12 @@ def ahp(matrix: Sequence[Sequence[float]], threshold: float = 0.1, accept_anyway
         raise ValueError("a positive reciprocal matrix of at most 10 rows is needed")
     values, vectors = np.linalg.eig(a)
     k = int(np.argmax(values.real))
-    w = np.abs(vectors[:, k].real)
-    w /= w.sum()
+    w = vectors[:, k]
+    if abs(values[k].imag) > tolerance or np.abs(w.imag).max() > tolerance:
+        raise ValueError("the principal eigenvector is complex")
+    w = w.real / w.real.sum()
+    if (w <= 0).any() or np.abs(a @ w - values[k].real * w).max() > 1e-6:
+        raise ValueError("the principal eigenvector has no single sign or is badly resolved")
     largest = float(values[k].real)
     if n < 3:
         return {"weights": w.tolist(), "lambda_max": largest, "ci": 0.0, "cr": None, "status": "NOT_APPLICABLE"}
@@ -89,29 +93,77 @@ def rank(df: DataFrame, by: Sequence[str] = ("scenario_id",), order: Sequence[st
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.row_number().over(w)))
 
 
-def rank_large(df: DataFrame, order: Sequence[str] = ("grid_id", "design_id"), value: str = "score", name: str = "rank", parts: int | None = None) -> DataFrame:
-    """The rank of one group too large for one task: range partitions, and prefix sums of their sizes.
+def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, Column], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """`df` with the sums over the rows before each one in order, in groups too large for one task.
 
-    Only one count a partition reaches the driver.  Range bounds are sampled anew by every run, so the partitions are
-    written first.
+    Rows are dealt to range partitions by group and order, written (range bounds are sampled anew by every run) and
+    summed there; what the earlier partitions of a group hold is added from a table with one row a partition and group.
+    Rows equal in `order` follow each other in any order.
     """
-    from .relations import written
+    from .relations import small, written
 
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*map(F.col, by), *[F.col(o) if isinstance(o, str) else o for o in order]]
+    given = df.withColumns({f"__v_{k}": v for k, v in sums.items()})
+    dealt = given.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    numbered = written(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    here = W.partitionBy("__part", *by).orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    none = {k: F.lit(0).cast(given.schema[f"__v_{k}"].dataType) for k in sums}
+    local = numbered.withColumns({k: F.coalesce(F.sum(f"__v_{k}").over(here), none[k]) for k in sums})
+    per = numbered.groupBy("__part", *by).agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in sums])
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__g_{i}") for i, k in enumerate(by)], *[F.coalesce(F.sum(f"__s_{k}").over(before), none[k]).alias(f"__b_{k}") for k in sums])
+    on = local["__part"] == base["__p"]
+    for i, k in enumerate(by):
+        on = on & local[k].eqNullSafe(base[f"__g_{i}"])
+    out = local.join(small(base), on)
+    return out.select(*df.columns, *[(F.col(k) + F.col(f"__b_{k}")).alias(k) for k in sums])
+
+
+def positions(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """1..n in a total order, without gathering the rows: the order of an export."""
+    return prefix_sums(df, order, {name: F.lit(1).cast("bigint")}).withColumn(name, F.col(name) + 1)
+
+
+def rank_large(df: DataFrame, order: Sequence[str] = ("grid_id", "design_id"), value: str = "score", name: str = "rank", parts: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The rank in groups too large for one task; rows without value are left out."""
     ranked = df.where(F.col(value).isNotNull())
-    keys = [F.desc(value), *map(F.col, order)]
-    dealt = ranked.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    numbered = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    numbered = written(numbered.withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
-    sizes = {r["__part"]: r["n"] for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    base, at = {}, 0
-    for p in sorted(sizes):
-        base[p] = at
-        at += sizes[p]
-    offsets = spark.createDataFrame(list(base.items()) or [(0, 0)], "__part int, __base bigint")
-    out = numbered.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__base") + F.col("__at") + 1)
-    return out.drop("__part", "__id", "__at", "__base")
+    return prefix_sums(ranked, [F.desc(value), *order], {name: F.lit(1).cast("bigint")}, by, parts).withColumn(name, F.col(name) + 1)
+
+
+def rank_groups(df: DataFrame, by: Sequence[str] = ("scenario_id",), order: Sequence[str] = ("grid_id", "design_id"), value: str = "score", name: str = "rank") -> DataFrame:
+    """:func:`rank` for few large groups: every group is spread over range partitions."""
+    ranked = rank_large(df, order, value, name, by=by).withColumn(name, F.col(name).cast("int"))
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("int")))
+
+
+def tie_prefix(df: DataFrame, value: str, k: int) -> DataFrame:
+    """The first k rows by falling value, and all that tie with the last of them."""
+    least = df.where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(k).agg(F.min(value)).first()[0]
+    return df.where(F.lit(False) if least is None else F.col(value) >= least)
+
+
+def ablations(df: DataFrame, groups: Mapping[str, Sequence[str]], by: Sequence[str], value: str = "score") -> DataFrame:
+    """Scores with each group of metrics left out and the others weighted equally: one row a case (`without`)."""
+    cases = {g: without_group(groups, g) for g in groups}
+    total = lambda w: sum((F.col(m) * x for m, x in list(w.items())[1:]), F.col(next(iter(w))) * next(iter(w.values())))
+    rows = F.array(*[F.struct(F.lit(g).alias("without"), total(w).alias(value)) for g, w in cases.items()])
+    return df.select(*by, F.explode(rows).alias("__r")).select(*by, "__r.*")
+
+
+def retention(candidates: DataFrame, cases: DataFrame, key: str, km: float, top: int, case: str = "case_id") -> DataFrame:
+    """How many cases keep a candidate: a case keeps it if one of its first `top` places is less than `km` away.
+
+    candidates: (key, lat, lon); cases: (case, rank, lat, lon).
+    """
+    from . import spatial
+
+    places = cases.where(F.col("rank") <= top).withColumn("__place", F.struct(case, "rank"))
+    near = spatial.within_radius(candidates, places, km, key, "__place").where(F.col("km") < km)
+    kept = near.groupBy(key).agg(F.count_distinct(F.col(f"__place.{case}")).alias("n_kept"))
+    n = cases.select(case).distinct().count()
+    return candidates.select(key).join(kept, key, "left").select(key, F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.lit(n).cast("bigint").alias("n_cases"))
 
 
 def best_over(df: DataFrame, keys: Sequence[str], value: str, pick: str, tie: str) -> DataFrame:
@@ -163,6 +215,8 @@ def pareto(df: DataFrame, objectives: Sequence[tuple[str, str]], by: Sequence[st
     exactly: equal objective vectors are compared once; vectors are dealt to blocks by quantiles of the first
     objective; a block can only hold a witness for a row if its best values would dominate the row.
     """
+    from .relations import small
+
     names = [n for n, _ in objectives]
     usable = F.lit(True) if comparable is None else F.coalesce(comparable, F.lit(False))
     for n in names:
@@ -180,7 +234,7 @@ def pareto(df: DataFrame, objectives: Sequence[tuple[str, str]], by: Sequence[st
     condition = _dominates("t", "r", objectives, tolerance, relative)
     for c in same:
         condition = condition & c
-    todo = rows.join(F.broadcast(tops), condition).select(*[F.col(f"r.{c}").alias(c) for c in [*by, *names]], F.col("t.__block").alias("__block"))
+    todo = rows.join(small(tops, 1_000_000), condition).select(*[F.col(f"r.{c}").alias(c) for c in [*by, *names]], F.col("t.__block").alias("__block"))
     a, b = placed.alias("a"), todo.alias("b")
     condition = (F.col("a.__block") == F.col("b.__block")) & _dominates("a", "b", objectives, tolerance, relative)
     for k in by:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table may be sent to every task.
@@ -22,14 +22,22 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, to cut the lineage of an iteration."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Only a session without other machines may do without it: there a folder of our own is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConstraintError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared checkpoint folder and read back, to cut the lineage of an iteration."""
+    spark = df.sparkSession
+    root = shared_folder(spark)
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,13 +45,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
 # ---------------------------------------------------------------- constraints
 
 
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, and how often."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def orphans(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a whose keys b does not have."""
+    return a.join(b.select(*keys), list(keys), "left_anti")
+
+
 def expect_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    bad = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    bad = duplicates(df, keys).limit(1).collect()
     if bad:
         raise ConstraintError(f"duplicate key {bad[0].asDict()}")
     return df
 
 
+def holds(check: Callable[[], object]) -> bool:
+    """Whether a table keeps a rule."""
+    try:
+        check()
+    except ConstraintError:
+        return False
+    return True
+
+
 def expect_single_value(df: DataFrame, column: str) -> DataFrame:
     r = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count_if(F.col(column).isNull()).alias("nulls")).first()
     if r["lo"] != r["hi"] or (r["nulls"] and r["lo"] is not None):
@@ -53,12 +80,12 @@ def expect_single_value(df: DataFrame, column: str) -> DataFrame:
 
 def expect_same_domain(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
     for x, y in ((a, b), (b, a)):
-        if x.select(*keys).join(y.select(*keys), list(keys), "left_anti").limit(1).collect():
+        if orphans(x.select(*keys), y, keys).limit(1).collect():
             raise ConstraintError(f"the tables do not have the same {list(keys)}")
 
 
 def expect_subset(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
-    if a.select(*keys).join(b.select(*keys), list(keys), "left_anti").limit(1).collect():
+    if orphans(a.select(*keys), b, keys).limit(1).collect():
         raise ConstraintError(f"{list(keys)} without a parent")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, polygons
+from .relations import written
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
 
@@ -116,21 +117,30 @@ def clipped_area(df: DataFrame, ring: Column, xmin: str, xmax: str, ymin: str, y
     return out.withColumn(name, F.when(F.size("__p") >= 3, F.abs(total) / 2.0).otherwise(F.lit(0.0))).drop("__p", "__e")
 
 
-def _tiles(df: DataFrame, lat: str, lon: str, degrees: float, reach: int = 0) -> DataFrame:
-    ty, tx = F.floor(F.col(lat) / degrees).cast("int"), F.floor(F.col(lon) / degrees).cast("int")
+def _tiles(df: DataFrame, lat: str, lon: str, km: float, reach: bool = False) -> DataFrame:
+    """Tiles of `km` in latitude; with `reach`, all tiles that points within `km` can lie in.
+
+    Columns of tiles go round the globe, so the last one's neighbour is the first; a circle that holds a pole reaches all.
+    """
+    degrees = max(km / KM_PER_DEGREE, 1e-6)
+    columns = max(1, int(360 / degrees))
+    width, turn = 360 / columns, min(km / geo.EARTH_KM, math.pi / 2)
+    ty = F.floor(F.col(lat) / degrees).cast("int")
+    tx = F.pmod(F.floor(F.pmod(F.col(lon), F.lit(360.0)) / width).cast("int"), F.lit(columns))
     if not reach:
         return df.withColumn("__ty", ty).withColumn("__tx", tx)
-    # a degree of longitude is shorter away from the equator: reach further there
-    wide = F.ceil(reach / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat)) + degrees * (reach + 1), F.lit(89.0)))), F.lit(0.02))).cast("int")
-    out = df.withColumn("__ty", F.explode(F.sequence(ty - reach, ty + reach)))
-    return out.withColumn("__tx", F.explode(F.sequence(tx - wide, tx + wide)))
+    angle = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(turn)) / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9)))))
+    wide = F.ceil(angle / width).cast("int")
+    whole = (F.abs(F.col(lat)) + degrees >= 90.0) | (2 * wide + 1 >= columns)
+    near = F.transform(F.sequence(-wide, wide), lambda k: F.pmod(tx + k, F.lit(columns)))
+    out = df.withColumn("__ty", F.explode(F.sequence(ty - 1, ty + 1)))
+    return out.withColumn("__tx", F.explode(F.when(whole, F.sequence(F.lit(0), F.lit(columns - 1))).otherwise(near)))
 
 
 def within_radius(a: DataFrame, b: DataFrame, km: float, a_key: str, b_key: str) -> DataFrame:
-    """(a_key, b_key, km) of points (lat, lon) at most `km` apart (inclusive); longitudes do not wrap."""
-    degrees = max(km / KM_PER_DEGREE, 1e-6)
-    p = _tiles(a.select(a_key, F.col("lat").alias("__alat"), F.col("lon").alias("__alon")), "__alat", "__alon", degrees, 1)
-    q = _tiles(b.select(b_key, F.col("lat").alias("__blat"), F.col("lon").alias("__blon")), "__blat", "__blon", degrees)
+    """(a_key, b_key, km) of points (lat, lon) at most `km` apart (inclusive), over the date line and the poles too."""
+    p = _tiles(a.select(a_key, F.col("lat").alias("__alat"), F.col("lon").alias("__alon")), "__alat", "__alon", km, True)
+    q = _tiles(b.select(b_key, F.col("lat").alias("__blat"), F.col("lon").alias("__blon")), "__blat", "__blon", km)
     d = geo.haversine_km("__alat", "__alon", "__blat", "__blon")
     return p.join(q, ["__ty", "__tx"]).withColumn("km", d).where(F.col("km") <= km).select(a_key, b_key, "km")
 
@@ -140,27 +150,25 @@ def count_within(a: DataFrame, b: DataFrame, km: float, a_key: str, b_key: str)
     return a.select(a_key).join(near, a_key, "left").fillna(0, ["n_within"])
 
 
-def nearest(a: DataFrame, b: DataFrame, a_key: str, b_key: str, start_km: float = 50.0, rounds: int = 10) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, a_key: str, b_key: str, start_km: float = 50.0) -> DataFrame:
     """(a_key, b_key, km) of the nearest b for every a; ties go to the smaller key.
 
     The search radius doubles for the points that found nothing yet; what is found within the radius is final,
-    since every point of the radius was seen.  The last round has no radius left out: it spans the globe.
+    since every point of the radius was seen.  The points left are written down between rounds.
     """
     left, found, radius = a.select(a_key, "lat", "lon"), None, start_km
-    for i in range(rounds):
-        everything = radius * 2 > geo.EARTH_KM * math.pi
-        if everything or i == rounds - 1:
-            d = geo.haversine_km("lat", "lon", "__lat", "__lon")
-            near = left.crossJoin(b.select(b_key, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))).withColumn("km", d).select(a_key, b_key, "km")
-        else:
-            near = within_radius(left, b, radius, a_key, b_key)
+    while True:
+        everything = radius >= geo.EARTH_KM * math.pi
+        near = within_radius(left, b, radius, a_key, b_key)
         best = near.groupBy(a_key).agg(F.min(F.struct("km", b_key)).alias("m")).select(a_key, F.col(f"m.{b_key}").alias(b_key), F.col("m.km").alias("km"))
+        best = written(best, "nearest")
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(a_key), a_key, "left_anti")
-        if everything or left.isEmpty():
-            break
+        if everything:
+            return found
+        left = written(left.join(best.select(a_key), a_key, "left_anti"), "left")
+        if left.isEmpty():
+            return found
         radius *= 2
-    return found
 
 
 def nearest_valid(a: DataFrame, stations: DataFrame, a_key: str, station_key: str, valid: str, km: float) -> DataFrame:
@@ -177,13 +185,35 @@ def segment_distance_km(x: Column, y: Column, x1: Column, y1: Column, x2: Column
     return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy)) / 1000.0
 
 
+def segment_rectangle_km(x1: Column, y1: Column, x2: Column, y2: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
+    """Planar distance of a segment to a rectangle, metres to km; 0 where they meet."""
+    enter, leave, beside = F.lit(0.0), F.lit(1.0), F.lit(False)
+    for p, q, lo, hi in ((x1, x2, xmin, xmax), (y1, y2, ymin, ymax)):
+        d = q - p
+        s, t = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
+        enter, leave = F.greatest(enter, F.least(s, t)), F.least(leave, F.greatest(s, t))  # a null, where d is 0, is skipped
+        beside = beside | ((d == 0) & ((p < lo) | (p > hi)))
+    gap = lambda v, lo, hi: F.greatest(F.lit(0.0), lo - v, v - hi)
+    ends = [F.hypot(gap(x, xmin, xmax), gap(y, ymin, ymax)) / 1000.0 for x, y in ((x1, y1), (x2, y2))]
+    corners = [segment_distance_km(x, y, x1, y1, x2, y2) for x in (xmin, xmax) for y in (ymin, ymax)]
+    return F.when(~beside & (enter <= leave), 0.0).otherwise(F.least(*ends, *corners))
+
+
 def network_distance(cells: DataFrame, segments: DataFrame, key: str, reach_m: float) -> DataFrame:
-    """Least distance of cells (x, y) to segments, up to a reach; null beyond it."""
-    s = segments.withColumn("__tx", F.explode(_range((F.least("x1", "x2") - reach_m) / reach_m, (F.greatest("x1", "x2") + reach_m) / reach_m)))
-    s = s.withColumn("__ty", F.explode(_range((F.least("y1", "y2") - reach_m) / reach_m, (F.greatest("y1", "y2") + reach_m) / reach_m)))
-    c = cells.withColumn("__tx", F.floor(F.col("x") / reach_m).cast("int")).withColumn("__ty", F.floor(F.col("y") / reach_m).cast("int"))
-    d = segment_distance_km(*[F.col(n) for n in ("x", "y", "x1", "y1", "x2", "y2")])
-    best = c.join(s, ["__tx", "__ty"]).groupBy(key).agg(F.min(d).alias("km")).where(F.col("km") <= reach_m / 1000.0)
+    """Least distance of cells to segments, up to a reach; null beyond it.
+
+    Cells are points (x, y) or, with columns xmin, xmax, ymin and ymax, rectangles.  Both sides are listed in the
+    tiles that they touch, segments with the reach around them.
+    """
+    solid = "xmin" in cells.columns
+    span = lambda lo, hi: F.explode(_range(lo / reach_m, hi / reach_m))
+    s = segments.withColumn("__tx", span(F.least("x1", "x2") - reach_m, F.greatest("x1", "x2") + reach_m))
+    s = s.withColumn("__ty", span(F.least("y1", "y2") - reach_m, F.greatest("y1", "y2") + reach_m))
+    box = ("xmin", "xmax", "ymin", "ymax") if solid else ("x", "x", "y", "y")
+    c = cells.select(key, *dict.fromkeys(box)).withColumn("__tx", span(F.col(box[0]), F.col(box[1]))).withColumn("__ty", span(F.col(box[2]), F.col(box[3])))
+    ends = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
+    d = segment_rectangle_km(*ends, *map(F.col, box)) if solid else segment_distance_km(F.col("x"), F.col("y"), *ends)
+    best = c.join(s.select("__tx", "__ty", "x1", "y1", "x2", "y2"), ["__tx", "__ty"]).groupBy(key).agg(F.min(d).alias("km")).where(F.col("km") <= reach_m / 1000.0)
     return cells.select(key).join(best, key, "left")
 
 
@@ -192,11 +222,47 @@ def bounded_proximity(df: DataFrame, km: str, boundary_km: str) -> Column:
     return F.when(F.col(km) < F.col(boundary_km), F.col(km))
 
 
-def union_area(df: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:
-    """Area covered by at least one of a key's rectangles, on a lattice (exact for lattice-aligned rectangles)."""
-    x = df.withColumn("__i", F.explode(F.sequence(F.floor(F.col("xmin") / resolution).cast("int"), F.ceil(F.col("xmax") / resolution).cast("int") - 1)))
-    x = x.withColumn("__j", F.explode(F.sequence(F.floor(F.col("ymin") / resolution).cast("int"), F.ceil(F.col("ymax") / resolution).cast("int") - 1)))
-    return x.select(*keys, "__i", "__j").distinct().groupBy(*keys).agg((F.count("*") * resolution * resolution).alias("area"))
+def union_area(df: DataFrame, keys: Sequence[str], tile: float) -> DataFrame:
+    """Area covered by at least one of a key's rectangles (xmin, xmax, ymin, ymax).
+
+    Rectangles are cut at tile borders.  In a tile, the distinct borders make vertical slabs; in a slab, what a rectangle adds
+    lies above the highest end before it.  Exact for any rectangles, and a key's tiles lie in many tasks.
+    """
+    x = df.withColumn("__tx", F.explode(_range(F.col("xmin") / tile, F.col("xmax") / tile))).withColumn("__ty", F.explode(_range(F.col("ymin") / tile, F.col("ymax") / tile)))
+    at = [*keys, "__tx", "__ty"]
+    cut = x.select(
+        *at, F.greatest(F.col("xmin"), F.col("__tx") * tile).alias("x0"), F.least(F.col("xmax"), (F.col("__tx") + 1) * tile).alias("x1"),
+        F.greatest(F.col("ymin"), F.col("__ty") * tile).alias("y0"), F.least(F.col("ymax"), (F.col("__ty") + 1) * tile).alias("y1"),
+    ).where("x0 < x1 AND y0 < y1").distinct()
+    edges = cut.select(*at, F.explode(F.array("x0", "x1")).alias("a")).distinct()
+    slabs = edges.withColumn("b", F.lead("a").over(W.partitionBy(*at).orderBy("a"))).where("b IS NOT NULL")
+    parts = cut.join(slabs, at).where("x0 <= a AND b <= x1")
+    before = F.max("y1").over(W.partitionBy(*at, "a").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1))
+    added = parts.withColumn("__low", F.greatest(F.col("y0"), F.coalesce(before, F.col("y0")))).withColumn("__high", F.greatest("y1", "__low"))
+    return added.groupBy(*keys).agg(F.sum((F.col("b") - F.col("a")) * (F.col("__high") - F.col("__low"))).alias("area"))
+
+
+def polygon_overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float, least: float = 1e-8) -> DataFrame:
+    """(a_key, b_key, area) of polygons (rings: array<array<struct<x,y>>>, and their bounding boxes) that overlap by more than `least`.
+
+    Boxes find the pairs by tile; each pair's area is exact, holes and concave rings included.
+    """
+    pairs = rectangle_overlaps(a, b, a_key, b_key, tile).select(a_key, b_key)
+    both = pairs.join(a.select(a_key, F.col("rings").alias("__a")), a_key).join(b.select(b_key, F.col("rings").alias("__b")), b_key)
+    return both.select(a_key, b_key, polygons.common_area(F.array("__a", "__b")).alias("area")).where(F.col("area") > least)
+
+
+def dissolve(df: DataFrame, keys: Sequence[str], tile: float) -> DataFrame:
+    """(keys, rings, area): what a key's polygons cover together, as trapezoids that touch and do not overlap.
+
+    Polygons are brought together tile by tile, so a key with many polygons is not gathered in one task; within a tile
+    they are cut at its borders.
+    """
+    x = df.withColumn("__tx", F.explode(_range(F.col("xmin") / tile, F.col("xmax") / tile))).withColumn("__ty", F.explode(_range(F.col("ymin") / tile, F.col("ymax") / tile)))
+    grouped = x.groupBy(*keys, "__tx", "__ty").agg(F.collect_list("rings").alias("__p"))
+    pieces = grouped.withColumn("__r", polygons.union_pieces("__p", F.col("__tx") * F.lit(float(tile)), F.col("__ty") * F.lit(float(tile)), F.lit(float(tile))))
+    out = pieces.select(*keys, F.explode("__r").alias("r"))
+    return out.groupBy(*keys).agg(F.collect_list("r.ring").alias("rings"), F.sum("r.area").alias("area"))
 
 
 def lattice(spark, rows: int, columns: int, size_m: int, ox: float, oy: float) -> DataFrame:

@@ -41,6 +41,10 @@ SQL = {
     "sites": """
         SELECT s_suppkey AS site_id, s_nationkey AS nation, s_acctbal AS balance,
                25e0 + ((s_suppkey * 6991) % 24000) / 1000e0 AS lat, -124e0 + ((s_suppkey * 94261) % 57000) / 1000e0 AS lon FROM {supplier}""",
+    "globe_points": """
+        SELECT c_custkey AS point_id, ((c_custkey * 7919) % 17990) / 100e0 - 8995e-2 AS lat, ((c_custkey * 104729) % 36000) / 100e0 - 180e0 AS lon FROM {customer}""",
+    "globe_sites": """
+        SELECT s_suppkey AS site_id, ((s_suppkey * 6991) % 17990) / 100e0 - 8995e-2 AS lat, ((s_suppkey * 94261) % 36000) / 100e0 - 180e0 AS lon FROM {supplier}""",
     "squares": "SELECT p_partkey AS square_id, CAST((p_partkey % 50) * 10 AS DOUBLE) AS xmin, CAST((p_partkey % 50) * 10 + 10 AS DOUBLE) AS xmax, floor(p_partkey / 50e0) * 10e0 AS ymin, floor(p_partkey / 50e0) * 10e0 + 10e0 AS ymax FROM {part}",
     "boxes": """
         SELECT s_suppkey AS box_id, 'b' || CAST(s_nationkey AS STRING) AS code, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal END AS value,
@@ -54,7 +58,7 @@ SQL = {
         SELECT doc_id, source, lang, CAST(n_chars AS DOUBLE) AS score, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CAST(n_chars % 50 AS DOUBLE) END AS valued, doc_id % 9 = 0 AS positive FROM {documents}""",
     "selected": """
         SELECT 'x' || CAST(p_size % 2 AS STRING) AS scenario_id, p_partkey AS cell_key, CAST(floor(p_partkey / 50e0) AS INT) AS grid_row, CAST(p_partkey % 50 AS INT) AS grid_col,
-               'g1000m-r' || lpad(CAST(CAST(floor(p_partkey / 50e0) AS INT) AS STRING), 4, '0') || '-c' || lpad(CAST(p_partkey % 50 AS STRING), 4, '0') AS grid_id FROM {part} WHERE (p_partkey * 7919) % 100 < 45""",
+               'g1000m-r' || lpad(CAST(CAST(floor(p_partkey / 50e0) AS INT) AS STRING), 4, '0') || '-c' || lpad(CAST(p_partkey % 50 AS STRING), 4, '0') AS grid_id FROM {part} WHERE p_size <= 22""",
     "items": """
         SELECT l_orderkey AS alt_id, l_linenumber AS item, CASE l_linenumber % 3 WHEN 0 THEN 'A1-A3' WHEN 1 THEN 'A4' ELSE 'B1' END AS module,
                CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS kg FROM {lineitem}""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,20 +116,36 @@ def adp14(d) -> DataFrame:
     return out.select("square_id", F.round(SP.bounded_proximity(out, "km", "edge"), 9).alias("km"))
 
 
-@query("lin01_lin05_integrity", "", "SELECT TRUE AS same_identity, TRUE AS sealed, FALSE AS tampered, TRUE AS recomputed")
+_VARIANTS = {  # the orders, dealt anew or changed
+    "shuffled": "SELECT * FROM orders",
+    "without_urgent": "SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'",
+    "cheaper": "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0e0 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders",
+    "filled": "SELECT o_orderkey, o_custkey, coalesce(o_orderstatus, '?') AS o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "twice": "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'P'",
+}
+
+
+def _changed(d):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    base = d["orders"].select(*cols)
+    for name, text in _VARIANTS.items():
+        yield name, base, d.spark.sql(re.sub(r"\borders\b", "{orders}", text), orders=base).repartition(3)
+
+
+@query("lin01_lin05_integrity", "", "WITH " + ", ".join(f"v_{k} AS ({v.replace('SELECT * FROM', 'SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM')})" for k, v in _VARIANTS.items()) + """, base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders)
+""" + " UNION ALL ".join(f"SELECT '{k}' AS variant, s AS same_identity, s AS frozen, s AS recomputed, n AS n_revealed FROM (SELECT NOT EXISTS (FROM base EXCEPT ALL FROM v_{k}) AND NOT EXISTS (FROM v_{k} EXCEPT ALL FROM base) AS s, (SELECT count(*) FROM supplier) AS n)" for k in _VARIANTS))
 def lin01(d) -> DataFrame:
-    n = d["nation"]
-    a, b = LN.run_identity({"mw": 100}, {"nation": n}), LN.run_identity({"mw": 100}, {"nation": n.repartition(3)})
-    frozen = LN.freeze({"nation": n})
-    LN.verify_freeze({"nation": n.orderBy("n_name")}, frozen)
-    seal, inventory = LN.reveal_after(n, lambda: d["supplier"])
-    try:
-        LN.verify_freeze({"nation": n.limit(5)}, frozen)
-        tampered = True
-    except R.ConstraintError:
-        tampered = False
-    LN.assert_recomputed(n, n.repartition(2))
-    return d.spark.createDataFrame([(a == b, seal == frozen["tables"]["nation"] and inventory.count() > 0, tampered, True)], "same_identity boolean, sealed boolean, tampered boolean, recomputed boolean")
+    """Identity, freeze and fresh recomputation of the orders against variants of them; the suppliers are read once the variant is sealed."""
+    rows = []
+    for name, base, other in _changed(d):
+        same = LN.run_identity({"mw": 100}, {"orders": base}) == LN.run_identity({"mw": 100}, {"orders": other})
+        frozen = LN.freeze({"orders": base})
+        seal, inventory = LN.reveal_after(other, lambda: d["supplier"])
+        kept = R.holds(lambda: LN.verify_freeze({"orders": other}, frozen))
+        if (seal == frozen["tables"]["orders"]) != kept:
+            raise R.ConstraintError("the seal and the freeze disagree")
+        rows.append((name, same, kept, R.holds(lambda: LN.assert_recomputed(base, other)), inventory.count()))
+    return d.spark.createDataFrame(rows, "variant string, same_identity boolean, frozen boolean, recomputed boolean, n_revealed bigint")
 
 
 @query("snk05_geojson_features", "squares", """

@@ -124,10 +124,34 @@ def prj19(d) -> DataFrame:
     )
 
 
-@query("prj22_albers_geodesic")
+_Q = "((1 - e2) * (sin(p) / (1 - e2 * sin(p) * sin(p)) - ln((1 - sqrt(e2) * sin(p)) / (1 + sqrt(e2) * sin(p))) / (2 * sqrt(e2))))"
+_M = "(cos(p) / sqrt(1 - e2 * sin(p) * sin(p)))"
+
+
+@query("prj22_albers", "points", f"""
+WITH k AS (SELECT f * (2 - f) AS e2 FROM (SELECT 1 / 298257222101e-9 AS f)),
+c AS (SELECT id, {_Q} AS q, {_M} AS m FROM k, (VALUES (1, radians(295e-1)), (2, radians(455e-1)), (0, radians(23e0))) t(id, p)),
+w AS (SELECT max(e2) AS e2, (max(m) FILTER (id = 1) ** 2 - max(m) FILTER (id = 2) ** 2) / (max(q) FILTER (id = 2) - max(q) FILTER (id = 1)) AS n, max(m) FILTER (id = 1) AS m1, max(q) FILTER (id = 1) AS q1, max(q) FILTER (id = 0) AS q0 FROM c, k),
+r AS (SELECT point_id, n, n * radians(lon + 96) AS theta, 6378137e0 * sqrt(m1 * m1 + n * q1 - n * {_Q.replace('sin(p)', 'sin(radians(lat))')}) / n AS rho, 6378137e0 * sqrt(m1 * m1 + n * q1 - n * q0) / n AS rho0 FROM points, w)
+SELECT point_id, round(rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y FROM r""")
 def prj22(d) -> DataFrame:
     xy = geo.albers("lat", "lon")
-    return d["points"].select("point_id", F.round(xy["x"], 3).alias("x"), F.round(xy["y"], 3).alias("y"), F.round(geo.geodesic_km("lat", "lon", S.num(40), S.num(-100)), 6).alias("km"))
+    return d["points"].select("point_id", F.round(xy["x"], 3).alias("x"), F.round(xy["y"], 3).alias("y"))
+
+
+_TERMS = """SELECT *, cs - CASE WHEN c2a = 0 THEN cs ELSE 2 * s1 * s2 / c2a END AS mid, atan2(ss, cs) AS sigma FROM (SELECT *, 1 - sa * sa AS c2a FROM (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM (
+  SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM {it})))"""
+
+
+@query("prj21_geodesic", "points", f"""
+WITH RECURSIVE u AS (SELECT point_id, 1 / 298257222101e-9 AS f, atan((1 - 1 / 298257222101e-9) * tan(radians(lat))) AS u1, atan((1 - 1 / 298257222101e-9) * tan(radians(40e0))) AS u2, radians(-100e0 - lon) AS whole FROM points),
+it(k, point_id, f, s1, c1, s2, c2, whole, lam) AS (SELECT 0, point_id, f, sin(u1), cos(u1), sin(u2), cos(u2), whole, whole FROM u UNION ALL
+  SELECT k + 1, point_id, f, s1, c1, s2, c2, whole, whole + (1 - z) * f * sa * (sigma + z * ss * (mid + z * cs * (2 * mid * mid - 1))) FROM (SELECT *, f / 16 * c2a * (4 + f * (4 - 3 * c2a)) AS z FROM ({_TERMS.format(it='it')}) WHERE k < 12)),
+e AS (SELECT *, c2a * (1 / pow(1 - f, 2) - 1) AS uu, 6378137e0 * (1 - f) AS b FROM ({_TERMS.format(it='it')}) WHERE k = 12),
+g AS (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS big_a, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS big_b FROM e)
+SELECT point_id, round(b * big_a * (sigma - big_b * ss * (mid + big_b / 4 * (cs * (2 * mid * mid - 1) - big_b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))) / 1000, 6) AS km FROM g""")
+def prj21(d) -> DataFrame:
+    return d["points"].select("point_id", F.round(geo.geodesic_km("lat", "lon", S.num(40), S.num(-100)), 6).alias("km"))
 
 
 @query("prj23_to_prj25_money", "features", """
@@ -313,7 +337,13 @@ def dec03(d) -> DataFrame:
 @query("dec13_win01_rank", "features designs scenarios", _SCORED + """SELECT grid_id, design_id, scenario_id, score,
   CASE WHEN score IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY scenario_id, score IS NULL ORDER BY score DESC, grid_id, design_id) AS INTEGER) END AS rank FROM r""")
 def dec13(d) -> DataFrame:
-    return D.rank(scored(d).select("grid_id", "design_id", "scenario_id", "score"))
+    return D.rank_groups(scored(d).select("grid_id", "design_id", "scenario_id", "score"))
+
+
+@query("win01_rank_window", "features", "SELECT brand, grid_id, CASE WHEN land IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY brand, land IS NULL ORDER BY land DESC, grid_id) AS INTEGER) END AS rank FROM features")
+def win01(d) -> DataFrame:
+    """Many small groups: one window."""
+    return D.rank(d["features"].select("brand", "grid_id", "land"), ["brand"], ["grid_id"], "land").select("brand", "grid_id", "rank")
 
 
 @query("flagship_top25", "features designs scenarios", _SCORED + """SELECT grid_id, design_id, scenario_id, score, rank_status,
@@ -375,7 +405,8 @@ def dec15(d) -> DataFrame:
     return x.groupBy("design_id").agg(F.first("pue").alias("pue"), F.first("wue").alias("wue"), ((F.min("pue") == F.max("pue")) & (F.min("wue") == F.max("wue"))).alias("is_constant"))
 
 
-@query("dec17_ablation", "features", "SELECT cell_key, land * 5e-1 + coverage * 5e-1 AS score FROM features")
+@query("dec17_ablation", "features", """
+SELECT cell_key, without, CASE without WHEN 'land' THEN coverage * 25e-2 + transmission * 25e-2 + stress * 5e-1 WHEN 'quality' THEN land * 5e-1 + stress * 5e-1 ELSE land * 5e-1 + coverage * 25e-2 + transmission * 25e-2 END AS score
+FROM features, (VALUES ('land'), ('quality'), ('water')) AS t(without)""")
 def dec17(d) -> DataFrame:
-    w = D.without_group({"land": ["land"], "quality": ["coverage"], "water": ["stress"]}, "water")
-    return d["features"].select("cell_key", sum((F.col(m) * x for m, x in list(w.items())[1:]), F.col("land") * w["land"]).alias("score"))
+    return D.ablations(d["features"], {"land": ["land"], "quality": ["coverage", "transmission"], "water": ["stress"]}, ["cell_key"])

@@ -88,10 +88,21 @@ def jn22(d) -> DataFrame:
     return SP.nearest_valid(d["points"], d["sites"].withColumn("ok", F.col("balance") > 0), "point_id", "site_id", "ok", 400.0).withColumn("km", F.round("km", 6))
 
 
-@query("jn23_pairs_within", "sites", f"SELECT p.site_id AS a, s.site_id AS b FROM sites p JOIN sites s ON p.site_id < s.site_id AND {_KM} <= 120")
+@query("jn19_nearest_globe", "globe_points globe_sites", f"SELECT point_id, arg_min(site_id, ROW(km, site_id)) AS site_id, round(min(km), 6) AS km FROM (SELECT point_id, site_id, {_KM} AS km FROM globe_points p, globe_sites s) GROUP BY 1")
+def jn19g(d) -> DataFrame:
+    """Over the date line and the poles."""
+    return SP.nearest(d["globe_points"], d["globe_sites"], "point_id", "site_id", 200.0).withColumn("km", F.round("km", 6))
+
+
+@query("jn21_pairs_globe", "globe_points globe_sites", f"SELECT point_id, site_id, round({_KM}, 6) AS km FROM globe_points p, globe_sites s WHERE {_KM} <= 500")
+def jn21g(d) -> DataFrame:
+    return SP.within_radius(d["globe_points"], d["globe_sites"], 500.0, "point_id", "site_id").withColumn("km", F.round("km", 6))
+
+
+@query("jn23_pairs_within", "sites", f"SELECT p.site_id AS a, s.site_id AS b FROM sites p JOIN sites s ON p.site_id < s.site_id AND {_KM} <= 400")
 def jn23(d) -> DataFrame:
     s = d["sites"]
-    return SP.within_radius(s.withColumnRenamed("site_id", "a"), s.withColumnRenamed("site_id", "b"), 120.0, "a", "b").where("a < b").select("a", "b")
+    return SP.within_radius(s.withColumnRenamed("site_id", "a"), s.withColumnRenamed("site_id", "b"), 400.0, "a", "b").where("a < b").select("a", "b")
 
 
 @query("jn18_nearest_polygon", "squares boxes", """
@@ -117,30 +128,68 @@ def jn20(d) -> DataFrame:
     return SP.network_distance(cells, segments, "square_id", 30.0).withColumn("km", F.round("km", 9))
 
 
+@query("jn20_cell_to_line", "squares boxes", """
+WITH k AS (SELECT square_id, s.xmin AS a, s.xmax AS b, s.ymin AS c, s.ymax AS d, t.xmin AS x1, t.ymin AS y1, t.xmax AS x2, t.ymax AS y2 FROM squares s JOIN boxes t ON t.xmin - 30 <= s.xmax AND t.xmax + 30 >= s.xmin AND t.ymin - 30 <= s.ymax AND t.ymax + 30 >= s.ymin),
+p AS (SELECT *, greatest(0e0, least((a - x1) / (x2 - x1), (b - x1) / (x2 - x1)), least((c - y1) / (y2 - y1), (d - y1) / (y2 - y1))) AS t0, least(1e0, greatest((a - x1) / (x2 - x1), (b - x1) / (x2 - x1)), greatest((c - y1) / (y2 - y1), (d - y1) / (y2 - y1))) AS t1 FROM k),
+e AS (SELECT square_id, CASE WHEN t0 <= t1 THEN 0e0 ELSE least(sqrt(pow(greatest(0e0, a - x1, x1 - b), 2) + pow(greatest(0e0, c - y1, y1 - d), 2)), sqrt(pow(greatest(0e0, a - x2, x2 - b), 2) + pow(greatest(0e0, c - y2, y2 - d), 2)),
+  (SELECT min(sqrt(pow(u - (x1 + t * (x2 - x1)), 2) + pow(v - (y1 + t * (y2 - y1)), 2))) FROM (SELECT u, v, least(1e0, greatest(0e0, ((u - x1) * (x2 - x1) + (v - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM (VALUES (a, c), (a, d), (b, c), (b, d)) z(u, v)))) END / 1000e0 AS km FROM p)
+SELECT square_id, CASE WHEN m <= 3e-2 THEN round(m, 9) END AS km FROM (SELECT s.square_id, min(e.km) AS m FROM squares s LEFT JOIN e ON e.square_id = s.square_id GROUP BY 1)""")
+def jn20b(d) -> DataFrame:
+    """The whole cell, not its centre: 0 where a line crosses it."""
+    segments = d["boxes"].select(F.col("xmin").alias("x1"), F.col("ymin").alias("y1"), F.col("xmax").alias("x2"), F.col("ymax").alias("y2"))
+    return SP.network_distance(d["squares"], segments, "square_id", 30.0).withColumn("km", F.round("km", 9))
+
+
 @query("jn25_bounded_proximity", "features", "SELECT cell_key, CASE WHEN transmission < carbon / 20e0 THEN transmission END AS km FROM features")
 def jn25(d) -> DataFrame:
     x = d["features"].withColumn("edge", F.col("carbon") / 20.0)
     return x.select("cell_key", SP.bounded_proximity(x, "transmission", "edge").alias("km"))
 
 
-@query("jn26_intervals", "squares boxes", "SELECT square_id, box_id, least(s.xmax, b.xmax) - greatest(s.xmin, b.xmin) AS length FROM squares s JOIN boxes b ON s.xmin < b.xmax AND b.xmin < s.xmax WHERE square_id <= 50")
+@query("jn26_intervals", "squares boxes", "SELECT square_id, box_id, least(s.xmax, b.xmax) - greatest(s.xmin, b.xmin) AS length FROM squares s JOIN boxes b ON s.xmin < b.xmax AND b.xmin < s.xmax")
 def jn26(d) -> DataFrame:
-    s = d["squares"].where("square_id <= 50").select("square_id", F.col("xmin").alias("lo"), F.col("xmax").alias("hi"))
+    s = d["squares"].select("square_id", F.col("xmin").alias("lo"), F.col("xmax").alias("hi"))
     return SP.interval_overlaps(s, d["boxes"].select("box_id", F.col("xmin").alias("lo"), F.col("xmax").alias("hi")), "square_id", "box_id", 25.0)
 
 
 @query("agg11_union_area", "boxes", "SELECT code, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT code, i, j FROM (SELECT code, unnest(range(CAST(xmin AS INTEGER), CAST(xmax AS INTEGER))) AS i, ymin, ymax FROM boxes), unnest(range(CAST(ymin AS INTEGER), CAST(ymax AS INTEGER))) t(j)) GROUP BY 1")
 def agg11(d) -> DataFrame:
-    return SP.union_area(d["boxes"].select("code", "xmin", "xmax", "ymin", "ymax"), ["code"], 1.0).withColumn("area", F.col("area").cast("double"))
+    return SP.union_area(d["boxes"], ["code"], 64.0)
+
+
+@query("grf06_dissolve", "boxes", "SELECT code, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT code, i, j FROM (SELECT code, unnest(range(CAST(xmin AS INTEGER), CAST(xmax AS INTEGER))) AS i, ymin, ymax FROM boxes), unnest(range(CAST(ymin AS INTEGER), CAST(ymax AS INTEGER))) t(j)) GROUP BY 1")
+def grf06(d) -> DataFrame:
+    """Area of the pieces themselves, by the shoelace sum of their rings."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("xmin", "ymax"))
+    pieces = SP.dissolve(d["boxes"].withColumn("rings", F.array(ring)), ["code"], 64.0).select("code", F.explode("rings").alias("p"))
+    step = lambda i: F.get("p", i)["x"] * F.get("p", i + 1)["y"] - F.get("p", i + 1)["x"] * F.get("p", i)["y"]
+    twice = F.aggregate(F.sequence(F.lit(0), F.size("p") - 2), F.lit(0.0), lambda a, i: a + step(i))
+    return pieces.groupBy("code").agg(F.round(F.sum(F.abs(twice)) / 2.0, 6).alias("area"))
+
+
+@query("jn16_polygon_overlay", "squares boxes", f"""
+WITH q AS (SELECT box_id, (xmin + xmax) / 2 AS xmin, xmax, (ymin + ymax) / 2 AS ymin, ymax FROM boxes), o AS ({_OVER}), c AS ({_OVER.replace("boxes b", "q b")})
+SELECT square_id, box_id, round(o.area - coalesce(c.area, 0e0), 6) AS area FROM o LEFT JOIN c USING (square_id, box_id) WHERE o.area - coalesce(c.area, 0e0) > 1e-8""")
+def jn16c(d) -> DataFrame:
+    """Squares over boxes without their upper right quarter: concave on one side."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, x1, y0, y1 = (F.col(k) for k in ("xmin", "xmax", "ymin", "ymax"))
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    whole = F.array(F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)))
+    bent = F.array(F.array(at(x0, y0), at(x1, y0), at(x1, my), at(mx, my), at(mx, y1), at(x0, y1)))
+    out = SP.polygon_overlaps(d["squares"].withColumn("rings", whole), d["boxes"].withColumn("rings", bent), "square_id", "box_id", 25.0)
+    return out.withColumn("area", F.round("area", 6))
 
 
 @query("agg12_separable", "", """
 WITH px AS (SELECT CAST(p_partkey % 40 AS INTEGER) AS i, CAST(p_partkey // 40 AS INTEGER) AS j, p_size % 3 AS class FROM part),
-w AS (SELECT CAST(k AS INTEGER) AS i, CAST(k // 8 AS INTEGER) AS cell, 1e0 - (k % 8) / 16e0 AS w FROM range(60) t(k))
+w AS (SELECT CAST(k AS INTEGER) AS i, CAST(k // 8 AS INTEGER) AS cell, 1e0 - (k % 8) / 16e0 AS w FROM (SELECT unnest(range(0, (SELECT greatest(40, max(p_partkey) // 40 + 1) FROM part))) AS k))
 SELECT a.cell AS cell_row, b.cell AS cell_col, class, round(sum(a.w * b.w), 9) AS area FROM px JOIN w a ON px.i = a.i JOIN w b ON px.j = b.i GROUP BY 1, 2, 3""")
 def agg12(d) -> DataFrame:
     px = d["part"].select((F.col("p_partkey") % 40).cast("int").alias("i"), F.floor(F.col("p_partkey") / 40).cast("int").alias("j"), (F.col("p_size") % 3).alias("class"))
-    w = d.spark.range(60).select(F.col("id").cast("int").alias("i"), F.floor(F.col("id") / 8).cast("int").alias("cell"), (1.0 - (F.col("id") % 8) / 16.0).alias("w"))
+    last = d["part"].agg(F.max("p_partkey")).first()[0] or 0
+    w = d.spark.range(max(40, last // 40 + 1)).select(F.col("id").cast("int").alias("i"), F.floor(F.col("id") / 8).cast("int").alias("cell"), (1.0 - (F.col("id") % 8) / 16.0).alias("w"))
     out = SP.separable_shares(px, w.select("i", F.col("cell").alias("cell_row"), "w"), w.select(F.col("i").alias("j"), F.col("cell").alias("cell_col"), "w"))
     return out.withColumn("area", F.round("area", 9))
 
@@ -189,13 +238,22 @@ def grf03(d) -> DataFrame:
     return G.greedy_separated(d["sites"], "site_id", [F.desc("balance"), "site_id"], 300.0, 12)
 
 
-@query("grf04_tie_shuffles")
+_WALK = """, g(series, rn, kept) AS (SELECT DISTINCT series, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o UNION ALL
+  SELECT g.series, g.rn + 1, CASE WHEN len(g.kept) < {limit} AND NOT EXISTS (SELECT 1 FROM o k WHERE k.series = g.series AND list_contains(g.kept, k.site_id) AND {km} < 200) THEN list_append(g.kept, n.site_id) ELSE g.kept END
+  FROM g JOIN o n ON n.series = g.series AND n.rn = g.rn + 1)
+SELECT CAST(series AS INTEGER) AS {name}, unnest(kept) AS site_id, CAST(unnest(range(1, len(kept) + 1)) AS INTEGER) AS place FROM (SELECT series, kept FROM g QUALIFY row_number() OVER (PARTITION BY series ORDER BY rn DESC) = 1)"""
+_APART = hav("k.lat", "k.lon", "n.lat", "n.lon")
+
+
+@query("grf04_tie_shuffles", "sites", """
+WITH RECURSIVE o AS (SELECT series, site_id, lat, lon, row_number() OVER (PARTITION BY series ORDER BY floor(balance / 2000) DESC, sha256('20261005:' || series || ':' || site_id)) AS rn FROM sites, range(20) t(series))""" + _WALK.format(limit=10, km=_APART, name="permutation"))
 def grf04(d) -> DataFrame:
     s = d["sites"].withColumn("score", F.floor(F.col("balance") / 2000).cast("double"))
     return G.tie_shuffled(s, "site_id", "score", 200.0, 10, 20, 20261005)
 
 
-@query("grf05_random_controls")
+@query("grf05_random_controls", "sites", """
+WITH RECURSIVE o AS (SELECT series, site_id, lat, lon, row_number() OVER (PARTITION BY series ORDER BY -ln(CAST(('0x' || substr(sha256('20261004:' || series || ':' || site_id), 1, 8)) AS BIGINT) / 4294967296e0 + pow(2e0, -33)) / (greatest(balance, 0e0) + 1e0), site_id) AS rn FROM sites, range(20) t(series))""" + _WALK.format(limit=8, km=_APART, name="draw"))
 def grf05(d) -> DataFrame:
     s = d["sites"].withColumn("w", F.greatest(F.col("balance"), F.lit(0.0)) + 1.0)
     return G.random_controls(s, "site_id", "w", 200.0, 8, 20, 20261004)
@@ -223,11 +281,14 @@ def grf12(d) -> DataFrame:
     return SP.track_segments(e, "user_id", "ts", 200.0).select("event_id")
 
 
-@query("dec18_retention", "sites", f"SELECT DISTINCT p.site_id FROM sites p JOIN sites s ON s.site_id % 7 = 0 AND p.site_id % 7 <> 0 AND {_KM} < 150")
+@query("dec18_retention", "sites", f"""
+WITH c AS (SELECT 'rich' AS case_id, row_number() OVER (ORDER BY balance DESC, site_id) AS rank, lat, lon FROM sites UNION ALL SELECT 'north', row_number() OVER (ORDER BY lat DESC, site_id), lat, lon FROM sites),
+k AS (SELECT DISTINCT p.site_id, case_id FROM sites p JOIN c s ON s.rank <= 12 AND {_KM} < 400)
+SELECT site_id, count(case_id) AS n_kept, CAST(2 AS BIGINT) AS n_cases FROM sites LEFT JOIN k USING (site_id) GROUP BY 1""")
 def dec18(d) -> DataFrame:
     s = d["sites"]
-    a, b = s.where("site_id % 7 <> 0"), s.where("site_id % 7 = 0").withColumnRenamed("site_id", "other")
-    return SP.within_radius(a, b, 150.0, "site_id", "other").where("km < 150").select("site_id").distinct()
+    case = lambda name, by: D.positions(s.select("site_id", "balance", "lat", "lon"), F.desc(by), "site_id", name="rank").withColumn("case_id", F.lit(name))
+    return D.retention(s, case("rich", "balance").unionByName(case("north", "lat")), "site_id", 400.0, 12)
 
 
 # ---------------------------------------------------------------- simulation
@@ -414,20 +475,23 @@ def adp18(d) -> DataFrame:
 
 
 @query("adp20_fine_surface", "features", """
-WITH f AS (SELECT r_regionkey AS parent_id, f.grid_id, f.grid_row, f.grid_col, f.land FROM region JOIN range(5) a(i) ON TRUE JOIN range(5) b(j) ON TRUE JOIN features f ON f.grid_row = r_regionkey * 5 + i AND f.grid_col = j)
+WITH f AS (SELECT grid_row // 5 * 10 + grid_col // 5 AS parent_id, * FROM features)
 SELECT parent_id, arg_max(grid_id, ROW(land, -grid_row, -grid_col)) FILTER (WHERE land IS NOT NULL) AS best_grid_id, count(land) AS n_scored FROM f GROUP BY 1""")
 def adp20(d) -> DataFrame:
-    parents = d["region"].select(F.col("r_regionkey").alias("parent_id"), F.col("r_regionkey").alias("parent_row"), F.lit(0).alias("parent_col"))
+    at = d["features"].select(F.floor(F.col("grid_row") / 5).cast("int").alias("parent_row"), F.floor(F.col("grid_col") / 5).cast("int").alias("parent_col")).distinct()
+    parents = at.withColumn("parent_id", F.col("parent_row") * 10 + F.col("parent_col"))
     _, summary = AD.fine_surface(parents, 5, d["features"], F.col("land"))
     return summary.where("n_scored > 0").select("parent_id", "best_grid_id", "n_scored")
 
 
 @query("prj43_snk09_surface_pixels", "points", """
-SELECT CAST(floor((lon + 124e0) / (-67e0 + 124e0) * 40) AS INTEGER) AS px, count(*) AS n FROM points WHERE weight IS NOT NULL GROUP BY 1""")
+WITH m AS (SELECT lon, weight / 100 AS s, ln(tan(pi() / 4 + radians(lat) / 2)) AS y, ln(tan(pi() / 4 + radians(48e0) / 2)) AS top, ln(tan(pi() / 4 + radians(26e0) / 2)) AS bottom FROM points WHERE weight >= 0),
+p AS (SELECT CAST(floor((lon + 120e0) / 50e0 * 40) AS INTEGER) AS px, CAST(floor((top - y) / (top - bottom) * 24) AS INTEGER) AS py, avg(s) AS score FROM m GROUP BY 1, 2)
+SELECT px, py, round(score, 6) AS score, round(4e-2 + 78e-2 * pow(least(1e0, greatest(0e0, score / 100)), 14e-1), 9) AS alpha FROM p WHERE px BETWEEN 0 AND 39 AND py BETWEEN 0 AND 23""")
 def prj43(d) -> DataFrame:
-    px = sinks.surface_pixels(d["points"].withColumn("s", F.lit(50.0)), "lat", "lon", "s", 40, 24, (-124.0, 25.0, -67.0, 49.0))
-    assert "alpha" in px.columns
-    return d["points"].groupBy(F.floor((F.col("lon") + 124.0) / (-67.0 + 124.0) * 40).cast("int").alias("px")).agg(F.count("*").alias("n"))
+    x = d["points"].withColumn("s", F.when(F.col("weight") >= 0, F.col("weight") / 100.0))
+    px = sinks.surface_pixels(x, "lat", "lon", "s", 40, 24, (-120.0, 26.0, -70.0, 48.0))
+    return px.select("px", "py", F.round("score", 6).alias("score"), F.round("alpha", 9).alias("alpha"))
 
 
 @query("lin08_resolution", "selected", """
@@ -445,11 +509,18 @@ def lin09(d) -> DataFrame:
     return LN.holdout_distance(s.where("grid_col < 10"), s.where("grid_col > 14")).select("n_common", "least_cells")
 
 
-@query("dec21_county_support", "", """
-SELECT s_suppkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS n FROM supplier JOIN customer ON c_nationkey IN (s_nationkey, (s_nationkey + 1) % 25) GROUP BY 1""")
+@query("dec21_county_support", "squares boxes features", f"""
+WITH x AS (SELECT DISTINCT square_id, code FROM ({_OVER}) JOIN boxes USING (box_id)), c AS (SELECT cell_key, land AS score, CASE WHEN land IS NOT NULL THEN row_number() OVER (PARTITION BY land IS NULL ORDER BY land DESC, cell_key) END AS rank FROM features),
+s AS (SELECT s_suppkey AS site_id, unnest(['b' || s_nationkey, 'b' || ((s_nationkey + 1) % 25)]) AS code FROM supplier), m AS (SELECT DISTINCT site_id, square_id FROM s LEFT JOIN x USING (code))
+SELECT site_id, count(square_id) AS n_cells, count(score) AS n_scored, min(score) AS score_min, max(score) AS score_max, min(rank) AS rank_min, max(rank) AS rank_max FROM m LEFT JOIN c ON cell_key = square_id GROUP BY 1""")
 def dec21(d) -> DataFrame:
-    s = d["supplier"].select("s_suppkey", F.array(F.col("s_nationkey"), (F.col("s_nationkey") + 1) % 25).alias("codes"))
-    return R.list_match(s, "codes", d["customer"].select("c_nationkey", "c_acctbal"), "c_nationkey").groupBy("s_suppkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count("*").alias("n"))
+    name = lambda c: F.concat(F.lit("b"), c.cast("string"))
+    sites = d["supplier"].select(F.col("s_suppkey").alias("site_id"), F.array(name(F.col("s_nationkey")), name((F.col("s_nationkey") + 1) % 25)).alias("counties"))
+    o = SP.rectangle_overlaps(d["squares"], d["boxes"], "square_id", "box_id", 25.0).join(d["boxes"].select("box_id", F.col("code").alias("county_id")), "box_id")
+    cells = d["features"].select(F.col("cell_key").alias("grid_id"), F.col("land").alias("score"))
+    ranked = D.rank_large(cells, ["grid_id"], "score")
+    ranked = ranked.unionByName(cells.where("score IS NULL").withColumn("rank", F.lit(None).cast("bigint")))
+    return RS.county_support(sites, o.select(F.col("square_id").alias("grid_id"), "county_id"), ranked)
 
 
 @query("lcy_electricity_lifetime", "features", "SELECT cell_key, CAST(NULL AS DOUBLE) AS electricity_kg, carbon AS known_electricity_kg, CAST(3 AS BIGINT) AS n_years FROM features")

@@ -79,9 +79,9 @@ def jn05(d) -> DataFrame:
     return d["lineitem"].join(keep, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("jn08_align", "", "SELECT CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0) o ON c.k = o.k GROUP BY 1")
+@query("jn08_align", "", "SELECT CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') o ON c.k = o.k GROUP BY 1")
 def jn08(d) -> DataFrame:
-    return R.align(d["customer"].select(F.col("c_custkey").alias("k")), d["orders"].where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k")).distinct(), ["k"])
+    return R.align(d["customer"].select(F.col("c_custkey").alias("k")), d["orders"].where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct(), ["k"])
 
 
 @query("jn09_alternatives", "features designs scenarios", "SELECT grid_id, design_id, scenario_id FROM features, designs, scenarios")
@@ -188,13 +188,13 @@ def agg16(d) -> DataFrame:
 
 
 @query("agg17_bootstrap", "", """
-WITH s AS (SELECT c_nationkey AS cand, c_custkey // 25 AS draw, c_acctbal AS v FROM customer WHERE c_custkey // 25 < 5),
-picks AS (SELECT CAST(floor(id / 5e0) AS INTEGER) AS round, CAST(floor(CAST(('0x' || substr(sha256('42:' || id), 1, 8)) AS BIGINT) / 4294967296e0 * 5) AS BIGINT) AS draw FROM range(200) t(id)),
+WITH s AS (SELECT c_nationkey AS cand, CAST(c_custkey % 25 AS BIGINT) AS draw, c_acctbal AS v FROM customer),
+picks AS (SELECT CAST(floor(id / 25e0) AS INTEGER) AS round, CAST(floor(CAST(('0x' || substr(sha256('42:' || id), 1, 8)) AS BIGINT) / 4294967296e0 * 25) AS BIGINT) AS draw FROM range(1000) t(id)),
 m AS (SELECT cand, round, avg(v) AS m FROM picks JOIN s USING (draw) GROUP BY 1, 2)
 SELECT cand, round(stddev_samp(m), 3) AS se, round(quantile_cont(m, 25e-3), 3) AS low, round(quantile_cont(m, 975e-3), 3) AS high FROM m GROUP BY 1""")
 def agg17(d) -> DataFrame:
-    s = d["customer"].select(F.col("c_nationkey").alias("cand"), F.floor(F.col("c_custkey") / 25).cast("bigint").alias("draw"), F.col("c_acctbal").alias("v")).where("draw < 5")
-    out = A.bootstrap_means(s, ["cand"], "draw", "v", 5, 40, 42)
+    s = d["customer"].select(F.col("c_nationkey").alias("cand"), (F.col("c_custkey") % 25).cast("bigint").alias("draw"), F.col("c_acctbal").alias("v"))
+    out = A.bootstrap_means(s, ["cand"], "draw", "v", 25, 40, 42)
     return out.select("cand", *[F.round(c, 3).alias(c) for c in ("se", "low", "high")])
 
 
@@ -404,15 +404,40 @@ def set06(d) -> DataFrame:
     return R.long_to_wide(long, ["user_id"], ["click", "purchase"]).fillna(0, ["click", "purchase"])
 
 
-@query("srt02_constraints", "features", "SELECT TRUE AS unique_ok, TRUE AS subset_ok, TRUE AS product_ok, TRUE AS single_ok")
-def srt02(d) -> DataFrame:
-    f = d["features"]
-    R.expect_unique(f, ["grid_id"])
-    R.expect_subset(d["lineitem"].select(F.col("l_partkey").alias("cell_key")), f, ["cell_key"])
-    R.expect_complete_product(R.alternatives(f.select("grid_id"), d["designs"], d["scenarios"]), ["grid_id", "design_id", "scenario_id"])
-    R.expect_single_value(f.withColumn("one", F.lit(1)), "one")
-    R.expect_same_domain(f, f, ["grid_id"])
-    return d.spark.createDataFrame([(True, True, True, True)], "unique_ok boolean, subset_ok boolean, product_ok boolean, single_ok boolean")
+@query("srt01_srt02_export_order", "features", "SELECT grid_id, row_number() OVER (ORDER BY land DESC NULLS LAST, carbon, grid_id) AS position FROM features")
+def srt01(d) -> DataFrame:
+    return D.positions(d["features"], F.desc_nulls_last("land"), "carbon", "grid_id").select("grid_id", "position")
+
+
+@query("con01_duplicates", "", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def con01(d) -> DataFrame:
+    return R.duplicates(d["orders"], ["o_custkey", "o_orderpriority"])
+
+
+@query("con02_orphans", "", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def con02(d) -> DataFrame:
+    return R.orphans(d["customer"].select("c_custkey"), d["orders"].withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
+@query("con03_rules", "features designs scenarios", """
+SELECT 'unique' AS rule, count(*) = count(DISTINCT cell_key) AS holds FROM features UNION ALL SELECT 'unique_brand', count(*) = count(DISTINCT brand) FROM features
+UNION ALL SELECT 'subset', bool_and(l_partkey IN (SELECT cell_key FROM features)) FROM lineitem UNION ALL SELECT 'subset_big', bool_and(l_partkey IN (SELECT cell_key FROM features WHERE size > 5)) FROM lineitem
+UNION ALL SELECT 'product', count(*) = (SELECT count(DISTINCT brand) * count(DISTINCT size) FROM features) FROM (SELECT DISTINCT brand, size FROM features)
+UNION ALL SELECT 'single', count(DISTINCT source_id) = 1 FROM features UNION ALL SELECT 'single_air', count(DISTINCT design_id) = 1 FROM designs WHERE wue = 0""")
+def con03(d) -> DataFrame:
+    """Each rule on a table that keeps it or breaks it."""
+    f, parts = d["features"], d["lineitem"].select(F.col("l_partkey").alias("cell_key"))
+    rules = {
+        "unique": lambda: R.expect_unique(f, ["cell_key"]), "unique_brand": lambda: R.expect_unique(f, ["brand"]), "subset": lambda: R.expect_subset(parts, f, ["cell_key"]),
+        "subset_big": lambda: R.expect_subset(parts, f.where("size > 5"), ["cell_key"]), "product": lambda: R.expect_complete_product(f.select("brand", "size").distinct(), ["brand", "size"]),
+        "single": lambda: R.expect_single_value(f, "source_id"), "single_air": lambda: R.expect_single_value(d["designs"].where("wue = 0"), "design_id"),
+    }
+    return d.spark.createDataFrame([(name, R.holds(check)) for name, check in rules.items()], "rule string, holds boolean")
+
+
+@query("top05_tie_prefix", "features", "SELECT grid_id, size FROM features WHERE size >= (SELECT min(size) FROM (SELECT size FROM features ORDER BY size DESC LIMIT 30))")
+def top05(d) -> DataFrame:
+    return D.tie_prefix(d["features"], "size", 30).select("grid_id", "size")
 
 
 # ---------------------------------------------------------------- results

@@ -162,8 +162,8 @@ def any_table(spark: SparkSession, path: str, required: Sequence[str]) -> DataFr
     return df
 
 
-def archive_member(archive: str, member: str, target: str, sha256: str) -> str:
-    """Extract one checked member (driver side); paths that leave the target are refused."""
+def archive_member(archive: str, member: str, target: str, sha256: str, most_bytes: int = 1 << 30) -> str:
+    """Extract one checked member (driver side); paths that leave the target and members beyond a size are refused."""
     import hashlib
 
     root = Path(target).resolve()
@@ -171,6 +171,8 @@ def archive_member(archive: str, member: str, target: str, sha256: str) -> str:
     if not out.is_relative_to(root):
         raise ConstraintError("the member leaves the target folder")
     with zipfile.ZipFile(archive) as z:
+        if z.getinfo(member).file_size > most_bytes:
+            raise ConstraintError(f"the member is larger than {most_bytes} bytes")
         data = z.read(member)
     if hashlib.sha256(data).hexdigest() != sha256:
         raise ConstraintError("checksum")
@@ -180,8 +182,15 @@ def archive_member(archive: str, member: str, target: str, sha256: str) -> str:
 
 
 def strict_config(text: str, fields: Mapping[str, type]) -> dict:
-    """JSON configuration: exactly the known fields, of their types."""
-    out = json.loads(text)
+    """JSON or, where its parser is installed, YAML configuration: exactly the known fields, of their types."""
+    try:
+        out = json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        out = yaml.safe_load(text)
+    if not isinstance(out, dict):
+        raise ConstraintError("a configuration is a table of fields")
     if extra := set(out) - set(fields):
         raise ConstraintError(f"unknown fields {sorted(extra)}")
     if missing := set(fields) - set(out):

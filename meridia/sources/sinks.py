@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import struct
 import zlib
 from collections.abc import Sequence
@@ -102,6 +103,22 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows]]) + "\n"
 
 
+def html_report(title: str, sections: Sequence[tuple[str, str | DataFrame]], most: int = 200) -> str:
+    """The same as one HTML page; everything is escaped."""
+    body = []
+    for name, content in sections:
+        body.append(f"<h2>{html.escape(name)}</h2>")
+        if isinstance(content, str):
+            body.append(f"<p>{html.escape(content)}</p>")
+            continue
+        rows = content.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ConstraintError(f"more than {most} rows")
+        cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
+        body.append("<table>" + cells("th", content.columns) + "".join(cells("td", r) for r in rows) + "</table>")
+    return f"<!doctype html><meta charset=\"utf-8\"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>" + "".join(body)
+
+
 def report(title: str, sections: Sequence[tuple[str, str | DataFrame]]) -> str:
     body = [f"# {title}\n"]
     for name, content in sections:

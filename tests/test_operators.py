@@ -304,3 +304,96 @@ def test_streaming(spark, sf_dir, tmp_path):
     q.stop()
     batch = completeness.windowed_completeness(events)
     assert sorted(map(tuple, spark.table("seen").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def rings(*points):
+    return [[{"x": float(x), "y": float(y)} for x, y in p] for p in points]
+
+
+def test_polygons(spark):
+    from meridia.functions import polygons as P
+
+    square, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]
+    diamond = [(2, -1), (5, 2), (2, 5), (-1, 2), (2, -1)]
+    common = lambda *ps: P.area(P.trapezoids(ps, np.all))
+    either = lambda *ps: P.area(P.trapezoids(ps, np.any))
+    assert common(rings(square)) == pytest.approx(16) and common(rings(square, hole)) == pytest.approx(12)
+    assert common(rings(square), rings(diamond)) == pytest.approx(14) and either(rings(square), rings(diamond)) == pytest.approx(16 + 18 - 14)
+    assert common(rings(square, hole), rings(hole)) == pytest.approx(0) and common(rings(square), None) == 0 and common() == 0
+    rng = np.random.default_rng(3)  # against the clipping of a polygon by a rectangle
+    stars = []
+    for _ in range(40):
+        angle, r = (np.arange(7) + rng.uniform(0, 0.8, 7)) * 2 * np.pi / 7, rng.uniform(0.5, 3, 7)
+        stars.append([*zip((r * np.cos(angle)).tolist(), (r * np.sin(angle)).tolist())])
+    df = spark.createDataFrame([(i, rings(s)[0], -1.0, 1.5, -2.0, 0.7) for i, s in enumerate(stars)], "i int, ring array<struct<x:double,y:double>>, a double, b double, c double, d double")
+    want = {r.i: r.area for r in SP.clipped_area(df, F.col("ring"), "a", "b", "c", "d").collect()}
+    box = rings([(-1, -2), (1.5, -2), (1.5, 0.7), (-1, 0.7)])
+    assert all(common(rings(s), box) == pytest.approx(want[i], abs=1e-9) for i, s in enumerate(stars))
+
+
+def test_overlay_and_dissolve_with_holes(spark):
+    schema = "k string, rings array<array<struct<x:double,y:double>>>, xmin double, xmax double, ymin double, ymax double"
+    ring = rings([(0, 0), (40, 0), (40, 40), (0, 40)], [(10, 10), (30, 10), (30, 30), (10, 30)])
+    a = spark.createDataFrame([("ring", ring, 0.0, 40.0, 0.0, 40.0), ("far", rings([(90, 90), (95, 90), (95, 95)]), 90.0, 95.0, 90.0, 95.0)], schema)
+    b = spark.createDataFrame([("in", rings([(12, 12), (20, 12), (20, 20), (12, 20)]), 12.0, 20.0, 12.0, 20.0), ("over", rings([(5, 5), (15, 5), (15, 15), (5, 15)]), 5.0, 15.0, 5.0, 15.0)], schema).withColumnRenamed("k", "j")
+    assert [tuple(r) for r in SP.polygon_overlaps(a, b, "k", "j", 16.0).collect()] == [("ring", "over", 75.0)]
+    both = a.where("k = 'ring'").unionByName(b.select(F.lit("ring").alias("k"), *a.columns[1:])).unionByName(a.where("k = 'far'"))
+    got = {r.k: r.area for r in SP.dissolve(both, ["k"], 16.0).collect()}
+    assert got["ring"] == pytest.approx(1600 - 400 + 64 + 25 - 9) and got["far"] == pytest.approx(12.5)
+    union = {r.k: r.area for r in SP.union_area(both, ["k"], 7.0).collect()}
+    assert union == pytest.approx({"ring": 1600, "far": 25})
+
+
+def test_date_line_and_poles(spark):
+    a = spark.createDataFrame([(0, 52.0, 179.95), (1, 89.9, 10.0), (2, -40.0, -180.0), (3, 0.0, 0.0)], "p int, lat double, lon double")
+    b = spark.createDataFrame([(0, 52.0, -179.95), (1, 52.0, 179.0), (2, 89.9, -170.0), (3, -40.0, 179.99)], "q int, lat double, lon double")
+    got = {r.p: (r.q, round(r.km)) for r in SP.nearest(a, b, "p", "q", 5.0).collect()}
+    assert got[0] == (0, 7) and got[1] == (2, 22) and got[2] == (3, 1) and got[3][0] in range(4)
+    assert {r.p: r.n_within for r in SP.count_within(a, b, 50.0, "p", "q").collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    assert SP.nearest(a, b.limit(0), "p", "q", 5000.0).count() == 0
+    hubs = {r.p: r.hub for r in G.hubs(a.unionByName(b.withColumn("p", F.col("q") + 10).drop("q")), "p", 30.0, 2).collect()}
+    assert hubs[0] == hubs[10] == 0 and hubs[1] == hubs[12] == 1 and hubs[2] == hubs[13] == 2 and hubs[3] is None
+
+
+def test_geodesic_of_a_known_line(spark):
+    dms = lambda d, m, s: math.copysign(abs(d) + m / 60 + s / 3600, d)
+    line = [dms(-37, 57, 3.7203), dms(144, 25, 29.5244), dms(-37, 39, 10.1561), dms(143, 55, 35.3839)]
+    out = one(spark, g=geo.geodesic_km(*map(S.num, line)), wrap=geo.geodesic_km(S.num(0), S.num(179.5), S.num(0), S.num(-179.5)), none=geo.geodesic_km(F.lit(None), S.num(0), S.num(0), S.num(0)))
+    assert out["g"] == pytest.approx(54.972271, abs=1e-6) and out["wrap"] == pytest.approx(111.3194908, abs=1e-5) and out["none"] is None
+
+
+def test_ranks_over_range_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2] if i % 17 else None, float(rng.integers(0, 30)) if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(5)
+    for by in (["g"], []):
+        want = {r.i: r.rank for r in D.rank(df, by or [F.lit(1)], ["i"], "v").collect()}
+        assert {r.i: r.rank for r in D.rank_groups(df, by, ["i"], "v").collect()} == want
+    assert [r.i for r in D.positions(df, F.desc_nulls_last("v"), "i").orderBy("position").collect()] == [r[0] for r in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))]
+    assert D.rank_groups(df.limit(0), ["g"], ["i"], "v").count() == 0
+
+
+def test_prefix_on_a_tie(spark):
+    df = spark.createDataFrame([(i, float(v) if v is not None else None) for i, v in enumerate([9, 8, 8, 8, 7, None])], "i int, v double")
+    take = lambda k: sorted(r.i for r in D.tie_prefix(df, "v", k).collect())
+    assert take(1) == [0] and take(2) == [0, 1, 2, 3] and take(5) == take(9) == [0, 1, 2, 3, 4] and D.tie_prefix(df.limit(0), "v", 3).count() == 0
+
+
+def test_guards(tmp_path):
+    with pytest.raises(ValueError):
+        S.normalise("x", 5, 5)
+    assert readers.strict_config("a: 1\nb: x\n", {"a": int, "b": str}) == {"a": 1, "b": "x"}
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("m.txt", "hello")
+    digest = hashlib.sha256(b"hello").hexdigest()
+    assert open(readers.archive_member(str(tmp_path / "z.zip"), "m.txt", str(tmp_path / "o"), digest)).read() == "hello"
+    for change in ({"most_bytes": 4}, {"sha256": "0"}):
+        with pytest.raises(R.ConstraintError):
+            readers.archive_member(str(tmp_path / "z.zip"), "m.txt", str(tmp_path / "o"), **({"sha256": digest} | change))
+
+
+def test_html_report(spark):
+    page = sinks.html_report("T & U", [("S", spark.createDataFrame([("<b>", None)], "a string, b int")), ("N", "plain")])
+    assert "<td>&lt;b&gt;</td><td></td>" in page and "T &amp; U" in page
