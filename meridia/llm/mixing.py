@@ -5,15 +5,22 @@ whole part is taken as it is; the fractional part is a probability that dependen
 0 or 1: two documents are paired and words are moved between them, at random and without bias, until
 the probability of one is integral; the other goes on to the next pair.  A source's expected words never
 change on the way, so what is taken misses the target by at most half a document (the last one of a
-source, which has no partner, goes to the nearer integer; larger documents are paired first).
+source, which has no partner, goes to the nearer integer).
+
+So that this last document is small, the `LARGE` largest ones of a source at most (those of more than one `LARGE`-th of
+its words) are decided first: each is paired with all smaller documents of its source as one unit, which together give or
+take the words that it needs, and then share one new probability.  Where they cannot, they become integral and the large
+document stays for the tree.
 
 Documents are dealt to leaves of about `leaf` rows by a hash of their own columns; a leaf ends with
 at most one undecided document a source, and those residuals are paired again up a tree of
 `fan`-fold nodes.  Leaves, order and random numbers depend on the rows alone, not on partitions, so
-reruns agree; a hot source is spread over all leaves.
+reruns agree; a hot source is spread over all leaves.  Equal rows have random numbers of their own, by their place
+in a leaf.
 
 Defined results: a null text has size 0; a null source is a source of its own, last; documents of
-size 0 take 0 words; repeated rows are rounded one by one; an empty table gives no rows.
+size 0 take 0 words; repeated rows are rounded one by one; an empty table gives no rows; only `doc_id`, `source` and
+`text` are read, and :func:`mix` gives back all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from . import blocks
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
+LARGE = 256
 LEAF = 4096
 FAN = 16
 
@@ -69,8 +77,40 @@ def _schema(sizes: DataFrame) -> str:
 
 
 def _uniform(seed: int) -> float:
-    """A uniform number in [0, 1) from a 64-bit hash."""
-    return ((seed & (1 << 64) - 1) >> 11) * 2.0**-53
+    """A uniform number in [0, 1) from a 64-bit number, mixed again."""
+    x = seed & (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return ((x ^ x >> 31) >> 11) * 2.0**-53
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _large_first(schema: pa.Schema):
+    """Rows of a source by falling size, then its smaller documents as one row without node: their words and probability.
+
+    Each large document in turn becomes 0 or 1 against the pool; the rows come back with what they have become."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in blocks.runs(batches, "key"):
+            rows = table.to_pylist()
+            pool, large = rows[0], rows[1:]  # sorted so
+            words, held = float(pool["size"]), pool["size"] * pool["p"]
+            for i, r in enumerate(large):
+                a, x = float(r["size"]), r["p"]
+                up, down = min(a * (1 - x), held), min(a * x, words - held)
+                if up + down <= 0:
+                    continue
+                rise = _uniform(r["seed"] + i * _STEP) * (up + down) < down
+                held += -up if rise else down
+                r["p"] = x + (up if rise else -down) / a
+                if (up >= a * (1 - x)) if rise else (down >= a * x):
+                    r["copies"], r["p"], r["done"] = r["copies"] + int(rise), 0.0, True
+            pool["p"] = min(max(held / words, 0.0), 1.0) if words else pool["p"]
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
+
+    return run
 
 
 def _round(final: bool, schema: pa.Schema):
@@ -78,6 +118,7 @@ def _round(final: bool, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # [node, source, doc_id, size, source_size, target, copies, p, seed]
+        node, place = None, 0
         out: list[list] = []
 
         def decide(row: list, up: bool) -> None:
@@ -97,6 +138,8 @@ def _round(final: bool, schema: pa.Schema):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 row = list(row)
+                place = place + 1 if row[0] == node else 0
+                node = row[0]
                 if not 0.0 < row[7] < 1.0 or not row[3]:
                     decide(row, row[3] > 0 and row[7] >= 1.0)
                     continue
@@ -107,7 +150,7 @@ def _round(final: bool, schema: pa.Schema):
                     continue
                 a, x, b, y = held[3], held[7], row[3], row[7]
                 up, down = min(a * (1 - x), b * y), min(a * x, b * (1 - y))  # words that can move to, or from, the held row
-                rise = _uniform(row[8]) * (up + down) < down
+                rise = _uniform(row[8] + place * _STEP) * (up + down) < down
                 moved, decided = (up, a * (1 - x) <= b * y) if rise else (-down, a * x <= b * (1 - y))
                 if decided:
                     decide(held, rise)
@@ -126,7 +169,26 @@ def _round(final: bool, schema: pa.Schema):
     return run
 
 
-def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+def _decide_large(rows: DataFrame, schema: str, arrow: pa.Schema, large: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows that go to the tree, with their new probabilities; the large rows that are decided)."""
+    names = ["node", "source", "doc_id", "size", "source_size", "target", "copies", "p"]
+    big = F.col("size") * large > F.col("source_size")
+    open_row = (F.col("p") > 0) & (F.col("size") > 0)
+    pools = rows.where(open_row & ~big).groupBy("source").agg(F.sum("size").alias("size"), F.max("p").alias("p"))
+    head = pools.select(F.lit(None).cast("bigint").alias("node"), "source", F.lit(None).alias("doc_id"), "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("copies"), "p")
+    tall = rows.where(open_row & big).select(*names).join(pools.select(F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s")), "left_semi")
+    both = head.unionByName(tall).withColumns({"seed": F.xxhash64("doc_id", "source", "size", F.lit(-1)), "done": F.lit(False), "key": F.xxhash64("source")})
+    met = both.repartition("key").sortWithinPartitions("key", F.col("source").asc_nulls_last(), F.col("node").isNotNull(), F.col("size").desc(), "doc_id")
+    made = blocks.materialize(met.mapInArrow(_large_first(arrow), schema), "mix-large")
+    fresh = made.where("node IS NULL").select(F.col("source").alias("__s"), F.col("p").alias("__p"))
+    left = rows.where(~(open_row & big)).join(F.broadcast(fresh), F.col("source").eqNullSafe(F.col("__s")), "left")  # one row a source
+    left = left.withColumn("p", F.when(open_row, F.coalesce("__p", F.col("p"))).otherwise(F.col("p"))).select(*names)
+    alone = rows.where(open_row & big).select(*names).join(pools.select(F.col("source").alias("__s")), F.col("source").eqNullSafe(F.col("__s")), "left_anti")
+    undecided = made.where("node IS NOT NULL AND NOT done").select(*names)
+    return left.unionByName(undecided).unionByName(alone), made.where("done").drop("node", "p", "done")
+
+
+def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, leaf: int = LEAF, fan: int = FAN, large: int = LARGE) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of documents with doc_id, source and text."""
     spark = docs.sparkSession
     sizes = blocks.materialize(docs.select("doc_id", "source", size_of().alias("size")), "mix-sizes")
@@ -143,6 +205,8 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     )
     schema, level, out = _schema(sizes), 0, []
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    rows, decided = _decide_large(rows, schema, arrow, large)
+    out.append(decided)
     while True:
         final = nodes == 1
         ordered = (
@@ -166,14 +230,13 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
     names = docs.columns
-    keyed = docs.withColumn("__size", size_of())
-    same = W.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))
-    keyed = keyed.withColumn("__nth", F.row_number().over(same))
-    chosen = mix_copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    chosen = chosen.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__copies")
-    on = keyed["doc_id"].eqNullSafe(chosen["__doc"]) & keyed["source"].eqNullSafe(chosen["__source"]) & (keyed["__size"] == chosen["__n"])
-    taken = keyed.join(chosen, on).withColumn("__k", F.get("__copies", F.col("__nth") - 1)).where("__k > 0")
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int")))).select(*names)
+    # rows of one id, source and size are told apart by number only, so the text itself is moved once: window and join share their key
+    keyed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.struct("doc_id", "source", size_of().alias("size")).alias("__key"), F.xxhash64("text").alias("__text"))
+    keyed = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy("__text")))
+    copies = mix_copies(docs.select("doc_id", "source", "text"), **options).select(F.struct("doc_id", "source", "size").alias("__key"), F.col("copies").alias("__k"))
+    copies = copies.withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy("__k")))
+    taken = keyed.join(copies.hint("merge"), ["__key", "__nth"]).where("__k > 0")
+    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
