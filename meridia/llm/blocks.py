@@ -25,9 +25,11 @@ CHUNK_DOCS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a session without other machines (tests) gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,9 +73,29 @@ def block_count(docs: DataFrame, text: str = "text", target: int = 8 << 20) -> i
     return max(1, -(-int(total) // target))
 
 
+def buckets(spark: SparkSession, count: int, each: int) -> int:
+    """Buckets for `count` blocks: as many as Spark's shuffles have, and more where a bucket would get more than `each` blocks."""
+    return max(partitions(spark), -(-count // each))
+
+
+def spread(spark: SparkSession, count: int, each: int = 16) -> int:
+    """Partitions for `count` blocks that are taken one at a time."""
+    return max(1, min(count, max(4 * partitions(spark), count // each)))
+
+
 def block_of(count: int, key: str = "doc_id", text: str = "text"):
-    """Block number of a document, from its id and length (so that rows without an id spread too)."""
-    return F.pmod(F.xxhash64(F.col(key), F.octet_length(text)), F.lit(count)).cast("int")
+    """Block number of a document, from its id and text (so that rows without an id, or with one id, spread too)."""
+    return F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(count)).cast("int")
+
+
+def result_fields(df: DataFrame, *made: str) -> tuple[DataFrame, str]:
+    """`df` without the columns that an operator makes (its result takes the place of a given column of that name), and the others' types."""
+    kept = df.drop(*[c for c in df.columns if c.lower() in {m.lower() for m in made}])
+    return kept, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != TEXT)
+
+
+#: Name of a document's text on its way into an operator.
+TEXT = "__meridia_text"
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:

@@ -7,12 +7,13 @@ is the document's evidence, which a monotone logistic map (fitted on the same tr
 a probability.  Only documents have labels, so every line of a training document carries its label.
 
 Training takes a bounded sample: `TRAIN_DOCS` labelled rows in the order of a hash of their id, of texts
-of at most `TRAIN_BYTES`; that bound is also what makes collecting them to the driver safe.  Scoring reads
+of at most `TRAIN_BYTES` and, together, `TRAIN_LINES` lines; that bound is also what makes collecting them to the driver safe.  Scoring reads
 every whole text in chunks.
 
 Defined results: a null or empty text is one empty line and gets a score; repeated rows get equal
 scores; rows without label or id do not train; without training rows every score is 0.5; an
-empty table gives no rows.
+empty table gives no rows; a result takes the place of a given column of its name.  A text is held whole, with about
+250 bytes a line, and a chain of many lines is walked line by line.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from . import blocks
 
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 65536
+TRAIN_LINES = 300_000  # lines of the training texts together
+SLICE = 1 << 18  # lines, and bytes, whose features are held at a time
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -50,8 +53,8 @@ def held_out(key: str = "doc_id", folds: int = FOLDS):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, weight, first line of each row and the end): lines are split at line feeds."""
+def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the lines, split at line feeds; an end is after its line feed."""
     n_docs = len(bounds) - 1
     feeds = np.flatnonzero(data == 10)
     starts = np.concatenate([bounds[:-1], feeds + 1])
@@ -64,11 +67,25 @@ def line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     ends[-1] = len(data)
     last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
     ends[last] = bounds[1:]
-    size = ends - starts
+    return starts, ends, doc
+
+
+def _slices(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lines, their bytes, start and end of each in them): `SLICE` lines and bytes at a time, one longer line alone."""
+    lo = 0
+    while lo < len(starts):
+        hi = min(lo + SLICE, max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right"))))
+        yield slice(lo, hi), data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        lo = hi
+
+
+def _own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """What a line itself shows; `again` tells lines that their document has more than once."""
+    lines, size = len(starts), ends - starts
     counts = np.bincount(np.repeat(np.arange(lines), size) * _CLASSES + _CLASS[data], minlength=lines * _CLASSES).reshape(lines, _CLASSES).astype(np.float64)
     length = np.maximum(size, 1).astype(np.float64)
 
-    w_start, w_end, _ = blocks.word_bounds(data, bounds)
+    w_start, w_end, _ = blocks.word_bounds(data, np.append(starts, len(data)))
     rolling = blocks.RollingHash(data)
     w_line = np.searchsorted(starts, w_start, "right") - 1
     words = np.bincount(w_line, minlength=lines).astype(np.float64)
@@ -79,20 +96,47 @@ def line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     marked = np.bincount(w_line[(tail == 5) | (tail == 7) | (tail == 6)], minlength=lines)
     shout = np.bincount(w_line[(_CLASS[data[w_start]] == 1) & (w_end - w_start > 1) & (_CLASS[data[np.minimum(w_start + 1, max(len(data) - 1, 0))]] == 1)], minlength=lines)
 
-    l_hash = rolling.of(starts, np.maximum(ends - (np.where(size > 0, data[np.maximum(ends - 1, 0)] == 10, False) if len(data) else 0), starts))
-    pair = (doc.astype(np.uint64) << np.uint64(44)) | (l_hash >> np.uint64(20))
-    _, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
     many = np.maximum(words, 1.0)
-    own = np.column_stack([
+    return np.column_stack([
         counts / length[:, None] * 4.0, np.log1p(size) / 4.0, np.log1p(words) / 3.0, np.minimum(length / many, 40.0) / 10.0,
-        1.0 - np.minimum(distinct / many, 1.0) if lines else words, marked / many * 2.0, shout / many * 2.0, (times[inverse] > 1) * 1.0, words == 0, np.minimum(words, 3.0) / 3.0,
+        1.0 - np.minimum(distinct / many, 1.0) if lines else words, marked / many * 2.0, shout / many * 2.0, again * 1.0, words == 0, np.minimum(words, 3.0) / 3.0,
     ])
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    same = doc[1:] == doc[:-1]
-    before[1:][same] = own[:-1][same]
-    after[:-1][same] = own[1:][same]
-    first = np.searchsorted(doc, np.arange(n_docs + 1))
-    return np.column_stack([own, before, after, np.ones(lines)]), length, first
+
+
+def _projected(data: np.ndarray, bounds: np.ndarray, project) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(project(own features) of all lines, line size, row, first line of each row and the end), a slice of lines at a time."""
+    starts, ends, doc = _lines(data, bounds)
+    hashes = np.empty(len(starts), np.uint64)
+    for at, part, a, b in _slices(starts, ends, data):
+        fed = part[np.maximum(b - 1, 0)] == 10 if len(part) else np.zeros(len(b), bool)
+        hashes[at] = blocks.RollingHash(part).of(a, np.maximum(b - ((b > a) & fed), a))
+    _, inverse, times = np.unique((doc.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)), return_inverse=True, return_counts=True)
+    again = times[inverse] > 1
+    made = [project(_own_features(part, a, b, again[at])) for at, part, a, b in _slices(starts, ends, data)]
+    length = np.maximum(ends - starts, 1).astype(np.float64)
+    return np.concatenate(made), length, doc, np.searchsorted(doc, np.arange(len(bounds)))
+
+
+def _neighbours(doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows moved to the next line and to the line before, within documents; zeros at their ends."""
+    same = (doc[1:] == doc[:-1])[:, None]
+    down, up = np.zeros_like(before), np.zeros_like(after)
+    down[1:], up[:-1] = before[:-1] * same, after[1:] * same
+    return down, up
+
+
+def line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weight, first line of each row and the end): lines are split at line feeds."""
+    own, length, doc, first = _projected(data, bounds, lambda x: x)
+    return np.column_stack([own, *_neighbours(doc, own, own), np.ones(len(own))]), length, first
+
+
+def line_scores(data: np.ndarray, bounds: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features @ w, weight, first line of each row and the end), without ever holding the features of all lines."""
+    parts = np.hstack([w[:_OWN], w[_OWN : 2 * _OWN], w[2 * _OWN : 3 * _OWN]])
+    made, length, doc, first = _projected(data, bounds, lambda x: x @ parts)
+    down, up = _neighbours(doc, made[:, 2:4], made[:, 4:])
+    return made[:, :2] + down + up + w[3 * _OWN], length, first
 
 
 def _steps(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +226,8 @@ def train(texts: list[str | None], labels: list[int], steps: int = 200, rate: fl
 
 
 def score_texts(model: dict, column) -> np.ndarray:
-    x, weight, first = line_features(*blocks.text_buffer(column))
-    good = marginals(x @ model["w"], first, model["start"], model["move"])[0][:, 1]
+    emit, weight, first = line_scores(*blocks.text_buffer(column), model["w"])
+    good = marginals(emit, first, model["start"], model["move"])[0][:, 1]
     a, b = model["map"]
     return 1 / (1 + np.exp(-(a * _logit(_lengths_mean(good, weight, first)) + b)))
 
@@ -198,24 +242,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, ma
 
 def _scorer(shared, label: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches, "__text", limit=1 << 20):
-            names = [c for c in batch.schema.names if c != "__text"]
-            score = score_texts(shared.value, batch.column("__text"))
+        for batch in blocks.chunks(batches, blocks.TEXT, limit=1 << 20):
+            names = [c for c in batch.schema.names if c != blocks.TEXT]
+            score = score_texts(shared.value, batch.column(blocks.TEXT))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, label])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` without its text, plus the score."""
+    """`docs` without its text, plus the score, which takes the place of a given column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
-    given = docs.withColumnRenamed(text, "__text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "__text")
+    given, fields = blocks.result_fields(docs.withColumnRenamed(text, blocks.TEXT), name)
     return given.mapInArrow(_scorer(shared, name), f"{fields}, `{name}` double".lstrip(", "))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> dict:
     rows = training_rows(docs, labels, "quality", limit, TRAIN_BYTES)
+    lines = np.cumsum([(r[0] or "").count("\n") + 1 for r in rows])
+    rows = [r for r, n in zip(rows, lines) if n <= TRAIN_LINES]
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 

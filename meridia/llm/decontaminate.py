@@ -32,6 +32,7 @@ SHARD_WORDS = 1_000_000
 #: Lower-cases A-Z and blanks every ASCII byte that is neither digit nor letter.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = np.array([b != 32 for b in _FOLD]) & True
+_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _OTHER = "\0"
 _built: dict[object, tuple] = {}
 
@@ -43,6 +44,7 @@ def fold_words(text: str | bytes | None) -> list[bytes]:
 
 
 def _code(i: int) -> str:
+    """Code points but surrogates; a shard has fewer words than there are."""
     return chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800)
 
 
@@ -80,7 +82,7 @@ def scan(words: list[bytes], codes: dict[bytes, str], automaton) -> tuple[list[l
 _OUT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("item_ids", pa.list_(pa.string()))])
 
 
-def _pass(shared, window: int, first: bool, last: bool):
+def _pass(shared, window: int, first: bool, last: bool, offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shared.value[0]
         if key not in _built:
@@ -88,10 +90,10 @@ def _pass(shared, window: int, first: bool, last: bool):
             _built[key] = build_automaton(shared.value[1], window)
         blocks.cache("decontaminate", _built.clear)
         codes, automaton = _built[key]
-        for batch in blocks.chunks(batches, "__text", limit=1 << 20, owner="decontaminate"):
+        for batch in blocks.chunks(batches, blocks.TEXT, limit=1 << 20, owner="decontaminate"):
             counts, all_spans, all_names = [], [], []
             old = None if first else (batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
-            for i, text in enumerate(batch.column("__text").cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(batch.column(blocks.TEXT).cast(pa.binary()).to_pylist()):
                 words = fold_words(text)
                 spans, names = scan(words, codes, automaton) if automaton and words else ([], set())
                 if old:
@@ -107,35 +109,54 @@ def _pass(shared, window: int, first: bool, last: bool):
                 counts.append(len(words))
                 all_spans.append([x for s in spans for x in s])
                 all_names.append(sorted(names))
-            keep = [c for c in batch.schema.names if c not in _OUT.names and (c != "__text" or not last)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(x, t) for x, t in zip((counts, all_spans, all_names), _OUT.types)],
-                names=[*keep, *_OUT.names],
-            )
+            keep = [c for c in batch.schema.names if c not in _OUT.names and (c != blocks.TEXT or not last)]
+            made = [pa.array(x, t) for x, t in zip((counts, all_spans, all_names), _OUT.types)]
+            if offsets:
+                texts = batch.column(blocks.TEXT)
+                places = [[{"start": a, "end": b} for a, b in byte_spans(texts[i].as_py(), s)] if s else [] for i, s in enumerate(all_spans)]
+                made.append(pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *_OUT.names, *(["byte_spans"] if offsets else [])])
 
     return run
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
-    """`docs` without its text, plus n_words, spans (flat list of word ranges hit) and item_ids.
+def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False, offsets: bool = False) -> DataFrame:
+    """`docs` without its text (unless it is kept), plus n_words, spans (flat list of word ranges hit) and item_ids.
 
-    With keep_text the text comes back as column ``__text`` for :func:`byte_spans`.
+    With `offsets`, byte_spans are the same ranges as byte offsets in the original text.  Results take the place of given
+    columns of their names.
     """
     spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_words))
-    out = docs.withColumnRenamed(text, "__text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "__text")
+    benchmark = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    total = benchmark.agg(F.sum(F.regexp_count(_lower("text"), F.lit(_PATTERN)))).first()[0] or 0
+    shards = max(1, -(-2 * int(total) // shard_words)) if total > shard_words else 1  # dealt by a hash, a shard of half the size on average stays below it
+    if shards > 1:
+        benchmark = _pieces(benchmark, window, max(1, shard_words // 8))
+    out, fields = blocks.result_fields(docs.withColumnRenamed(text, blocks.TEXT), *_OUT.names, *(["byte_spans"] if offsets else []))
     for k in range(shards):
         part = benchmark if shards == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = [(r[0], r[1]) for r in part.select("item_id", "text").collect()]  # at most a shard
         shared = spark.sparkContext.broadcast((hashlib.sha256(repr((window, rows)).encode()).hexdigest(), rows))
-        last = k == shards - 1 and not keep_text
-        schema = fields + ("" if last else ", `__text` string") + ", n_words bigint, spans array<bigint>, item_ids array<string>"
-        out = out.mapInArrow(_pass(shared, window, k == 0, last), schema.lstrip(", "))
+        last = k == shards - 1
+        ends = ", byte_spans array<struct<start:bigint,end:bigint>>" if last and offsets else ""
+        schema = fields + ("" if last and not keep_text else f", `{blocks.TEXT}` string") + ", n_words bigint, spans array<bigint>, item_ids array<string>" + ends
+        out = out.mapInArrow(_pass(shared, window, k == 0, last and not keep_text, last and offsets), schema.lstrip(", "))
         if k < shards - 1:
             out = blocks.materialize(out, "decontaminate")
-    return out
+    return out.withColumnRenamed(blocks.TEXT, text)
+
+
+def _lower(text: str):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _pieces(benchmark: DataFrame, window: int, size: int) -> DataFrame:
+    """Items of many words as pieces that overlap, so that every window lies in one piece."""
+    words = F.regexp_extract_all(_lower("text"), F.lit(_PATTERN), F.lit(0))
+    cut = benchmark.withColumn("__w", words).withColumn("__n", F.size("__w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.col("__n") - window) / size).cast("int"), F.lit(0)))
+    piece = F.transform(starts, lambda i: F.array_join(F.slice("__w", i * size + 1, F.lit(size + window - 1)), " "))
+    return cut.where("__n > 0").select("item_id", F.explode(piece).alias("text"))
 
 
 def byte_spans(text: str | None, spans: list[int]) -> list[tuple[int, int]]:

@@ -48,7 +48,7 @@ WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
 FLUSH = 1 << 19  # signatures held in a task
-NODES = 1 << 14  # documents of a family in a block
+NODES = 1 << 12  # documents of a family in a block
 FAN = 1 << 12  # pairs of a document in a task
 BIG = 1 << 12  # a family of so many documents, or with so many lists, is not shuffled by its number
 CHUNK = 1 << 20  # text bytes shingled at a time
@@ -252,10 +252,8 @@ def _classes(least: int):
     return run
 
 
-def classes_of(given: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
+def classes_of(given: DataFrame, words: int, parts: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, class_id, n_shingles) of every row, and sorted hashes of the shingles that about one in COMMON documents holds."""
-    spark = given.sparkSession
-    parts = blocks.partitions(spark)
     counted = given.select("doc_id", "text").mapInArrow(_count_shingles(parts, words), "bucket int, kind int, hashes binary, times binary")
     met = counted.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
     made = blocks.materialize(met.mapInArrow(_classes(max(20, given.count() // COMMON)), _CLASSES), "jaccard-classes")
@@ -530,9 +528,9 @@ class _Join:
 
     def __init__(self, docs: DataFrame, percent: int, words: int):
         self.spark, self.percent = docs.sparkSession, percent
-        parts = blocks.partitions(self.spark)
         given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-        self.classes, frequent = classes_of(given, words)
+        parts = blocks.buckets(self.spark, blocks.block_count(given), 4)
+        self.classes, frequent = classes_of(given, words, parts)
         shared = self.spark.sparkContext.broadcast(frequent)
         standing = self.classes.where("class_id = doc_id AND n_shingles > 0").select("doc_id").distinct()
         # the ids grow with the documents: they are never broadcast

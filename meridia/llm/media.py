@@ -14,7 +14,8 @@ decoded pixels; a cut is where the histogram difference exceeds the mean plus `k
 the differences before it in the current shot, and a floor.  Shots become timed clip rows.
 
 Defined results: null and empty texts are 64 zero bytes; equal texts give equal files and features; a
-media value that is null gives nulls and no clips; an empty table gives no rows.
+media value that is null gives nulls and no clips; an empty table gives no rows; a result takes the place of a given
+column of its name.  A file is held whole, with about ten bytes a byte of text; frames are decoded `RUN` at a time.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from . import blocks
 UNIT = 64
 BLOCKS = 8  # of a frame, side by side
 RATE = 25
+RUN = 2048  # frames written or decoded at a time
 FLOOR = 0.15
 WIDTH, HEIGHT = 8 * BLOCKS, 8
 
@@ -83,36 +85,46 @@ def _list(kind: bytes, body: bytes) -> bytes:
     return _chunk(b"LIST", kind + body)
 
 
-def write_avi(payload: bytes) -> bytes:
-    """The payload, whose length is a multiple of 64, as an AVI file."""
+def _frames(payload: bytes) -> tuple[bytes, np.ndarray]:
+    """(chunks of the frames that hold a part of the payload, size of each frame)."""
     per = BLOCKS * UNIT
     count = max(1, -(-len(payload) // per))
     filled = np.zeros(count * per, np.uint8)
     filled[: len(payload)] = np.frombuffer(payload, np.uint8)
-    frames = np.repeat(_template()[None, :], count, 0)
-    frames[:, _coefficient_places()] = filled.reshape(count, per)
-    stuffed = np.flatnonzero((filled.reshape(count, per) == 0xFF).any(1))
-    size = frames.shape[1]
-    if not len(stuffed):
-        even = size + size % 2
-        rows = np.zeros((count, 8 + even), np.uint8)
-        rows[:, :8] = np.frombuffer(b"00dc" + struct.pack("<I", size), np.uint8)
-        rows[:, 8 : 8 + size] = frames
-        movi = rows.tobytes()
-        sizes = np.full(count, size, np.uint32)
-        offsets = 4 + np.arange(count, dtype=np.uint32) * (8 + even)
-    else:  # a coefficient byte FF is followed by a stuffed 0
-        head, parts, at, sizes, offsets = len(_header()), [], 4, [], []
-        for i in range(count):
-            frame = frames[i].tobytes()
-            if (filled[i * per : (i + 1) * per] == 0xFF).any():
-                scan = b"".join(frame[a : a + 128].replace(b"\xff", b"\xff\0") + frame[a + 128 : a + 130] for a in range(head, head + _FRAME_DATA, 130))
-                frame = frame[:head] + scan
-            parts.append(_chunk(b"00dc", frame))
-            sizes.append(len(frame))
-            offsets.append(at)
-            at += len(parts[-1])
-        movi = b"".join(parts)
+    size = len(_template())
+    even = size + size % 2
+    rows = np.zeros((count, 8 + even), np.uint8)
+    rows[:, :8] = np.frombuffer(b"00dc" + struct.pack("<I", size), np.uint8)
+    rows[:, 8 : 8 + size] = _template()
+    rows[:, 8 + _coefficient_places()] = filled.reshape(count, per)
+    sizes = np.full(count, size, np.int64)
+    stuffed = (filled.reshape(count, per) == 0xFF).any(1)
+    if not stuffed.any():
+        return rows.tobytes(), sizes
+    head, parts = len(_header()), []
+    for i in range(count):  # a coefficient byte FF is followed by a stuffed 0
+        if not stuffed[i]:
+            parts.append(rows[i].tobytes())
+            continue
+        frame = rows[i, 8 : 8 + size].tobytes()
+        frame = frame[:head] + b"".join(frame[a : a + 128].replace(b"\xff", b"\xff\0") + frame[a + 128 : a + 130] for a in range(head, head + _FRAME_DATA, 130))
+        sizes[i] = len(frame)
+        parts.append(_chunk(b"00dc", frame))
+    return b"".join(parts), sizes
+
+
+def write_avi(payload: bytes) -> bytes:
+    """The payload, whose length is a multiple of 64, as an AVI file."""
+    per = BLOCKS * UNIT
+    count = max(1, -(-len(payload) // per))
+    parts, sizes = [], []
+    for i in range(0, count, RUN):
+        made, size = _frames(payload[i * per : (i + RUN) * per])
+        parts.append(made)
+        sizes.append(size)
+    movi, sizes = b"".join(parts), np.concatenate(sizes)
+    del parts
+    offsets = 4 + np.concatenate([[0], np.cumsum(8 + sizes + sizes % 2)[:-1]])
     index = np.zeros((count, 4), "<u4")
     index[:, 0] = int.from_bytes(b"00dc", "little")
     index[:, 1] = 0x10
@@ -269,24 +281,24 @@ def decode(media: bytes) -> tuple[dict, np.ndarray, bytes]:
     raw = np.frombuffer(media, np.uint8)
     template, places = _template(), _coefficient_places()
     hist = np.zeros((len(frames), 16), np.int64)
-    payload = b""
-    if len(frames) and (frames[:, 1] == len(template)).all():
-        view = raw[frames[:, :1] + np.arange(len(template))]
-        bare = view.copy()
-        bare[:, places] = 0
-        if (bare == template).all():
+    parts = []
+    for lo in range(0, len(frames), RUN):
+        some = frames[lo : lo + RUN]
+        if (some[:, 1] == len(template)).all():
+            view = raw[some[:, :1] + np.arange(len(template))]
             stored = view[:, places]
-            value = stored.astype(np.int16) - np.where(stored < 128, 255, 0).astype(np.int16)
-            pixels = pixels_of(value.reshape(-1, 64)).reshape(len(frames), -1)
-            hist = np.bincount((np.arange(len(frames))[:, None] * 16 + (pixels >> 4)).ravel(), minlength=16 * len(frames)).reshape(-1, 16)
-            payload = stored.tobytes()
-    if len(frames) and not payload:
-        parts = []
-        for i, (a, n) in enumerate(frames):
+            view[:, places] = 0
+            if (view == template).all():
+                value = stored.astype(np.int16) - np.where(stored < 128, 255, 0).astype(np.int16)
+                pixels = pixels_of(value.reshape(-1, 64)).reshape(len(some), -1)
+                hist[lo : lo + RUN] = np.bincount((np.arange(len(some))[:, None] * 16 + (pixels >> 4)).ravel(), minlength=16 * len(some)).reshape(-1, 16)
+                parts.append(stored.tobytes())
+                continue
+        for i, (a, n) in enumerate(some.tolist()):
             coefficients, quant, _, _ = decode_frame(media[a : a + n])
-            hist[i] = np.bincount((pixels_of(coefficients * quant) >> 4).ravel(), minlength=16)
+            hist[lo + i] = np.bincount((pixels_of(coefficients * quant) >> 4).ravel(), minlength=16)
             parts.append(np.where(coefficients < 0, coefficients + 255, coefficients).astype(np.uint8).tobytes())
-        payload = b"".join(parts)
+    payload = b"".join(parts)
     if index["comment"].startswith(b"payload="):
         payload = payload[: int(index["comment"][8:])]
     return index, hist, payload
@@ -320,17 +332,16 @@ def padded(text: bytes | None) -> bytes:
 
 
 def encode_media(docs: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
-    """`docs` with its text replaced by n_bytes and the media file."""
+    """`docs` with its text replaced by n_bytes and the media file, which take the place of given columns of these names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches, "__text"):
-            rest = [c for c in batch.schema.names if c != "__text"]
-            texts = batch.column("__text").cast(pa.binary()).to_pylist()
+        for batch in blocks.chunks(batches, blocks.TEXT):
+            rest = [c for c in batch.schema.names if c != blocks.TEXT]
+            texts = batch.column(blocks.TEXT).cast(pa.binary()).to_pylist()
             made = [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([write_avi(padded(t)) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, "n_bytes", name])
 
-    given = docs.withColumnRenamed(text, "__text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "__text")
+    given, fields = blocks.result_fields(docs.withColumnRenamed(text, blocks.TEXT), "n_bytes", name)
     return given.mapInArrow(run, f"{fields}, n_bytes bigint, `{name}` binary".lstrip(", "))
 
 
@@ -341,7 +352,7 @@ _READ = pa.schema([
 
 
 def read_media(df: DataFrame, name: str = "media") -> DataFrame:
-    """`df` with its media replaced by what is read back from it: payload digests, a feature text and timed clips."""
+    """`df` with its media replaced by what is read back from it: payload digests, a feature text and timed clips (of any given columns of their names too)."""
 
     def one(media: bytes | None) -> tuple:
         if media is None:
@@ -352,21 +363,23 @@ def read_media(df: DataFrame, name: str = "media") -> DataFrame:
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(index, hist, found), clips
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches, name):
-            rest = [c for c in batch.schema.names if c != name]
-            columns = zip(*map(one, batch.column(name).to_pylist()))
+        for batch in blocks.chunks(batches, blocks.TEXT):
+            rest = [c for c in batch.schema.names if c != blocks.TEXT]
+            columns = zip(*map(one, batch.column(blocks.TEXT).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(c, f.type) for c, f in zip(columns, _READ))], names=[*rest, *_READ.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name)
+    given, fields = blocks.result_fields(df.withColumnRenamed(name, blocks.TEXT), *_READ.names)
     made = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<shot:int,start_s:double,end_s:double,frames:int>>"
-    return df.mapInArrow(run, f"{fields}, {made}".lstrip(", "))
+    return given.mapInArrow(run, f"{fields}, {made}".lstrip(", "))
 
 
 def clips(read: DataFrame) -> DataFrame:
-    """One timed row a shot."""
-    return read.select("*", F.explode("clips").alias("clip")).select(*[c for c in read.columns if c != "clips"], "clip.*")
+    """One timed row a shot; its columns take the place of given ones of their names."""
+    rows = read.withColumn("clip", F.explode("clips"))
+    own = ("clips", "clip", "shot", "start_s", "end_s", "frames")
+    return rows.select(*[c for c in read.columns if c.lower() not in own], "clip.*")
 
 
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_media(encode_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"))
+    return read_media(encode_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"), "clips")

@@ -13,7 +13,7 @@ Training takes a bounded sample (`TRAIN_DOCS` labelled rows by a hash of their i
 
 Defined results: a null or empty text has no features; repeated rows get equal scores; rows without label
 or id do not train; without training rows of both kinds the expected severity is 0; an empty table gives
-no rows.
+no rows; a result takes the place of a given column of its name.
 """
 
 from __future__ import annotations
@@ -152,9 +152,9 @@ def linear_part(model: dict, column) -> np.ndarray:
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in blocks.chunks(batches, "__text"):
-            names = [c for c in batch.schema.names if c != "__text"]
-            p = grade_probabilities(linear_part(model, batch.column("__text")), model["thresholds"])
+        for batch in blocks.chunks(batches, blocks.TEXT, limit=1 << 20):
+            names = [c for c in batch.schema.names if c != blocks.TEXT]
+            p = grade_probabilities(linear_part(model, batch.column(blocks.TEXT)), model["thresholds"])
             made = [pa.array(1 - p[:, 0]), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1), pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "score", "expected_severity", "grade"])
 
@@ -164,8 +164,7 @@ def _scorer(shared):
 def severity(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """`docs` without its text, plus score (probability of any grade above 0), expected_severity and grade."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST words
-    given = docs.withColumnRenamed(text, "__text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "__text")
+    given, fields = blocks.result_fields(docs.withColumnRenamed(text, blocks.TEXT), "score", "expected_severity", "grade")
     return given.mapInArrow(_scorer(shared), f"{fields}, score double, expected_severity double, grade int".lstrip(", "))
 
 

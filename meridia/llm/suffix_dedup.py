@@ -19,7 +19,8 @@ could be equal are brought together first:
 Ranges, units and texts are dealt by document block or by hash and never collected.  Documents are identified by a
 hash of id and text.  Defined results: a null text is an empty one; shorter texts than LENGTH keep all; the rows that
 share an id are one document for the order, so equal rows keep or lose the same bytes; a null id is before all others;
-an empty table gives no rows.
+an empty table gives no rows; ids are integers, or cast to them; only `doc_id` and `text` are read, so other columns
+may have any names.  A text is held whole, with about 40 bytes a byte, in a task.
 """
 
 from __future__ import annotations
@@ -394,14 +395,60 @@ def _expand(length: int):
                 hi = min(max(int(np.searchsorted(held, held[lo] + BATCH, "right")) - 1, lo + 1), len(first) - 1)
                 pick = order[first[lo] : first[hi]]
                 pick = pick[np.lexsort((rec["start"][pick], rec["doc"][pick]))]
-                made = _covered(rec[pick], home[pick], data[_gather(at[pick], size[pick])], length)
-                if made is not None:
-                    yield made
+                if held[hi] - held[lo] <= 2 * BATCH:
+                    batches_of = [(rec[pick], home[pick], data[_gather(at[pick], size[pick])])]
+                else:  # one passage in very many contexts
+                    batches_of = _repeated_windows(rec[pick], home[pick], data, at[pick], length)
+                for some in batches_of:
+                    made = _covered(*some, length)
+                    if made is not None:
+                        yield made
                 lo = hi
 
     return run
 
 
+def _repeated_windows(rec: np.ndarray, home: np.ndarray, data: np.ndarray, at: np.ndarray, length: int, batch: int = BATCH) -> Iterator[tuple]:
+    """The windows of a group's units whose hash occurs again, as units of their own, `batch` bytes at a time.
+
+    Equal windows have equal hashes, so the others cannot be covered.  Windows of one hash stay together; where they fill
+    several batches, each batch has the earliest of them too.
+    """
+    count = rec["count"].astype(np.int64)
+    ends, hashes, i = np.cumsum(count + length - 1), [], 0
+    while i < len(rec):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + batch, "right")))
+        size = count[i:j] + length - 1
+        begin = _gather(np.cumsum(size) - size, count[i:j])
+        hashes.append(blocks.RollingHash(data[_gather(at[i:j], size)]).of(begin, begin + length))
+        i = j
+    value = np.concatenate(hashes)
+    _, kind, times = np.unique(value, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[kind] > 1)
+    kind = kind[again]
+    order = np.argsort(kind, kind="stable")  # units come by document and start, so the first of a kind is the earliest
+    again, kind = again[order], kind[order]
+    unit = np.repeat(np.arange(len(rec)), count)[again]
+    offset = (again - (np.cumsum(count) - count)[unit]).astype(np.int64)
+    first = np.flatnonzero(blocks.run_starts(kind))
+    head = first[np.cumsum(blocks.run_starts(kind)) - 1] if len(kind) else kind
+    most = max(2, batch // (length + 1))
+    lo = 0
+    while lo < len(kind):
+        hi = min(lo + most, len(kind))
+        if hi < len(kind) and head[hi] > lo:
+            hi = int(head[hi])
+        some = np.arange(lo, hi)
+        if head[lo] < lo:
+            some = np.append(head[lo], some)
+        u = unit[some]
+        cut = rec[u].copy()
+        cut["start"], cut["count"] = rec["start"][u] + offset[some].astype(rec["start"].dtype), 1
+        by = np.lexsort((cut["start"], cut["doc"]))
+        yield cut[by], home[u][by], data[_gather((at[u] + offset[some])[by], np.full(len(by), length))]
+        lo = hi
+
+
 def _covered(rec: np.ndarray, home: np.ndarray, data: np.ndarray, length: int) -> pa.RecordBatch | None:
     """The units come by document and start, so windows do too: the first window of a group is the earliest."""
     count = rec["count"].astype(np.int64)
@@ -466,8 +513,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     if not gram < length or length - gram >= 255:
         raise ValueError("gram must be shorter than length by less than 255")
     spark = docs.sparkSession
-    parts = blocks.partitions(spark)
     count = blocks.block_count(docs, target=2 << 20)
+    parts = blocks.buckets(spark, count, 32)
     given = docs.select(
         blocks.block_of(count).alias("block"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").alias("id"), "text"
     )
@@ -479,7 +526,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         nothing = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in columns]
         records = records.select("block", "payload", *nothing)
         both = records.unionByName(given.select("block", F.lit(None).cast("binary").alias("payload"), *columns))
-        return both.repartition(min(count, 4 * parts), "block").sortWithinPartitions("block", F.col("payload").isNull())
+        return both.repartition(blocks.spread(spark, count), "block").sortWithinPartitions("block", F.col("payload").isNull())
 
     texts = with_docs(met.where("kind = 1"), ["key", "text"]).mapInArrow(_cut_texts(parts, length), "bucket int, block int, payload binary, texts binary")
     found = blocks.materialize(texts.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_expand(length), _ROWS), "repeat-ranges")

@@ -94,6 +94,30 @@ def test_repeats(docs, monkeypatch, hot):
     assert sorted(got, key=key) == sorted(brute_repeats(rows), key=key)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=9), min_size=1, max_size=12), st.sampled_from([1, 20, 1000]))
+def test_windows_of_a_hot_passage(texts, batch):
+    """Units around one passage, taken a few windows at a time: what is covered is what the definition says."""
+    length = 4
+    texts = [t + "mmm"[: max(0, length - len(t))] for t in texts]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    rec = np.zeros(len(raw), suffix_dedup._UNITS)
+    rec["count"], rec["doc"], rec["key"] = [len(r) - length + 1 for r in raw], np.arange(len(raw)), np.arange(len(raw))
+    at = np.cumsum([len(r) for r in raw]) - [len(r) for r in raw]
+    covered = set()
+    for some in suffix_dedup._repeated_windows(rec, np.arange(len(raw)), np.concatenate(raw), at, length, batch):
+        made = suffix_dedup._covered(*some, length)
+        for payload in made.column("payload").to_pylist() if made is not None else []:
+            for r in np.frombuffer(payload, suffix_dedup._RANGES):
+                covered |= {(int(r["key"]), int(r["start"]) + i) for i in range(int(r["size"]) - length + 1)}
+    first, want = {}, set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            if first.setdefault(t[i : i + length], (d, i)) != (d, i):
+                want.add((d, i))
+    assert covered == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=12), st.integers(2, 9))
 def test_interval_expansion(texts, length):
@@ -255,6 +279,48 @@ def test_forward_backward_is_exact():
         assert log_z[d] == pytest.approx(math.log(total)) and good[first[d] : first[d + 1], 1] == pytest.approx(per / total)
 
 
+def test_scores_of_documents_against_brute_force(monkeypatch):
+    """Every labelling of the lines, weighted; lines also a few at a time."""
+    rng = np.random.default_rng(8)
+    texts = ["Good words here, all fine.\n\nGood words here, all fine.\nxx", "", None, "\n", "a b C!\n|||\n", "ONE LINE 123"]
+    model = {"w": rng.normal(size=(crf.FEATURES, 2)), "start": rng.normal(size=2), "move": rng.normal(size=(2, 2)), "map": (1.3, -0.2)}
+    got = crf.score_texts(model, pa.array(texts))
+    for text, score in zip(texts, got):
+        x, weight, _ = crf.line_features(*blocks.text_buffer(pa.array([text], pa.string())))
+        assert len(x) == len((text or "").split("\n")) and weight.tolist() == [max(1, len(line) + (i + 1 < len(x))) for i, line in enumerate((text or "").split("\n"))]
+        emit, total, good = x @ model["w"], 0.0, np.zeros(len(x))
+        for path in np.ndindex(*[2] * len(x)):
+            w = math.exp(model["start"][path[0]] + sum(emit[i, y] for i, y in enumerate(path)) + sum(model["move"][a, b] for a, b in zip(path, path[1:])))
+            total, good = total + w, good + w * np.array(path)
+        p = float((good / total * weight).sum() / weight.sum())
+        assert score == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(p / (1 - p)) - 0.2))))
+    for size in (1, 7):
+        monkeypatch.setattr(crf, "SLICE", size)
+        assert crf.score_texts(model, pa.array(texts)) == pytest.approx(got)
+
+
+def test_many_short_lines():
+    """Half a million lines of two bytes: the features are never held together."""
+    import tracemalloc
+
+    column = pa.array(["a\n" * 500_000])
+    tracemalloc.start()
+    emit, weight, first = crf.line_scores(*blocks.text_buffer(column), np.ones((crf.FEATURES, 2)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(emit) == 500_001 and first.tolist() == [0, 500_001] and peak < 400e6
+
+
+def test_training_stops_at_its_bound_of_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x\n" * 9 if i % 2 else "Nice line.\n" * 9) for i in range(40)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda texts, labels: seen.append(texts))
+    monkeypatch.setattr(crf, "TRAIN_LINES", 55)
+    crf.fit_quality(docs, labels)
+    assert len(seen[0]) == 5
+
+
 def test_quality_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 1), (50, None, None)], "doc_id bigint, quality int, toxic int")
     model = crf.fit_quality(docs, labels)
@@ -290,6 +356,32 @@ def test_toxicity(spark):
     assert ordinal.severity(docs, off).where("expected_severity > 1e-9").count() == 0
 
 
+def test_severity_against_brute_force(spark, docs):
+    """Features by regular expressions on the text, weights by hash, grades by the definition of the link."""
+    rng = np.random.default_rng(1)
+    texts = [r.text for r in docs.select("text").distinct().collect()]
+    fold = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))
+    spell = lambda t: Counter(f for w in fold(t) for f in [("word", w), *(("stem", w[:k]) for k in ordinal.PREFIXES if len(w) >= k)])
+    known = {}
+    for t in texts:  # hash of each feature, from texts of one word
+        for w in set(fold(t)):
+            if all(b < 128 for b in w) and ("word", w) not in known:
+                row, _, h = ordinal.features(pa.array([w.decode()]))
+                known.update(zip([("word", w), *(("stem", w[:k]) for k in ordinal.PREFIXES if len(w) >= k)], h.tolist()))
+    chosen = sorted(known)[::3]
+    assert len({known[f] for f in chosen}) == len(chosen)
+    weight = {f: float(rng.normal()) for f in chosen}
+    order = sorted(chosen, key=known.get)
+    model = {"words": np.array([known[f] for f in order], np.uint64), "w": np.array([weight[f] for f in order]), "thresholds": np.array([0.5, 1.0, 2.5])}
+    got = ordinal.severity(docs.select("doc_id", "text", F.col("text").alias("given")), model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        z = sum(weight[f] * math.log1p(n) for f, n in spell(r.given).items() if f in weight)
+        below = [0.0, *(1 / (1 + math.exp(-(t - z))) for t in model["thresholds"]), 1.0]
+        grades = [b - a for a, b in zip(below, below[1:])]
+        assert r.score == pytest.approx(1 - grades[0]) and r.expected_severity == pytest.approx(sum(i * p for i, p in enumerate(grades)))
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -453,11 +545,22 @@ def test_media_round_trip(raw):
     file = media.write_avi(payload)
     index, hist, back = media.decode(file)
     assert back == payload and len(hist) == len(index["frames"]) and (hist.sum(1) == media.WIDTH * media.HEIGHT).all()
+    at = 0
     for a, n in index["frames"][:2].tolist():  # the general decoder reads the same coefficients
         co, quant, width, height = media.decode_frame(file[a : a + n])
         assert (width, height) == (media.WIDTH, media.HEIGHT) and (quant == 1).all()
         part = np.where(co < 0, co + 255, co).astype(np.uint8).tobytes()
-        assert payload.startswith(part[: len(payload)]) or part in payload or payload[: len(part)] == part or len(payload) > len(part)
+        assert (payload + bytes(len(part)))[at : at + len(part)] == part
+        at += len(part)
+
+
+def test_media_in_runs_of_frames(monkeypatch):
+    """Frames of both kinds, many runs: the same file and payload as in one run."""
+    raw = media.padded(bytes(range(250)) * 30 + b"\xff" * 700 + b"abc" * 3000)
+    whole = media.write_avi(raw), *media.decode(media.write_avi(raw))[1:]
+    monkeypatch.setattr(media, "RUN", 3)
+    file = media.write_avi(raw)
+    assert file == whole[0] and media.decode(file)[2] == raw and (media.decode(file)[1] == whole[1]).all()
 
 
 def test_shots_and_rows(spark, docs):
@@ -507,6 +610,18 @@ def test_contamination(spark, docs, shard):
     assert decontaminate.judge(decontaminate.find_passages(docs.select("doc_id", "text"), bench.limit(0))).where("n_hit > 0").count() == 0
 
 
+def test_offsets_and_kept_text(spark):
+    docs = spark.createDataFrame([(1, "¿Ab, cd! éé-x zz"), (2, None)], "doc_id bigint, body string")
+    bench = spark.createDataFrame([(7, "CD éé x")], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.find_passages(docs, bench, "body", keep_text=True, offsets=True).collect()}
+    assert [got[1].body.encode()[s.start : s.end].decode() for s in got[1].byte_spans] == ["cd! éé-x"] and got[2].byte_spans == []
+
+
+def test_codes():
+    codes = [decontaminate._code(i) for i in (0, 0xD7FE, 0xD7FF, 1_112_062)]
+    assert [ord(c) for c in codes] == [1, 0xD7FF, 0xE000, 0x10FFFF]
+
+
 def test_byte_spans():
     text = "¿Ab, cd! éé-x"
     assert [text.encode()[a:b].decode() for a, b in decontaminate.byte_spans(text, [1, 3, 3, 4])] == ["cd! éé", "x"]
@@ -589,6 +704,30 @@ def test_mixing(spark, docs, leaf):
     assert mixing.mix_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("words,miss", [(9_000, 0.002), (20_000, 0.04)])
+def test_a_large_document_is_decided_first(spark, words, miss):
+    """One document holds a fifth or a third of its source's words; the small ones make up for it as far as they reach."""
+    rows = [(i, "s%d" % (i % 2), "w " * (words if i in (0, 1) else 7 + i % 5)) for i in range(8000)]
+    got = mixing.mix_copies(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
+    assert len(got) == len(rows)
+    for s in ("s0", "s1"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) < miss * own[0].target
+        share = own[0].target / own[0].source_size
+        assert {r.copies for r in own} <= {math.floor(share), math.ceil(share)}
+
+
+def test_copies_are_unbiased(spark):
+    """Many equal rows, ids apart or not: each is taken with its share's probability."""
+    rows = [(i % 3000 if i < 6000 else None, "s%d" % (i % 3), "w " * 5) for i in range(9000)]
+    got = mixing.mix_copies(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in got if r.source == s]
+        share = own[0].target / own[0].source_size
+        for part in ([r for r in own if r.doc_id is None], [r for r in own if r.doc_id is not None]):
+            assert sum(r.copies for r in part) / len(part) == pytest.approx(share, abs=0.05)
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -629,6 +768,19 @@ def test_clashing_extra_columns(spark, docs):
     extra = docs.withColumn("score", F.lit("mine")).withColumn("n_words", F.lit(7)).withColumn("spans", F.lit("s")).withColumn("node", F.lit(1)).withColumn("size", F.lit(2)).withColumn("copies", F.lit(3))
     bench = spark.createDataFrame([(1, "q w e r t y u i o p a s d f")], "item_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, quality int")
+    wild = extra.withColumns({c: F.lit("x") for c in ("n_bytes", "media", "clips", "shot", "payload_bytes", "feature", "grade", "expected_severity", "n_hit", "item_ids", "contaminated", "held_out", "block", "key", "perplexity", "n_shingles", "component_id", "root", "start", "n_tokens", "kept", "share", "p", "done", "taken", "level", "target")})
+    model = crf.fit_quality(docs, labels)
+    assert crf.score_documents(wild, model).where("score BETWEEN 0 AND 1").count() == docs.count()
+    toxic = ordinal.severity(wild, {"words": np.zeros(0, np.uint64), "w": np.zeros(0), "thresholds": np.array([1.0, 2.0, 3.0])})
+    assert toxic.schema["grade"].dataType.simpleString() == "int" and toxic.count() == docs.count()
+    seen = media.read_media(media.encode_media(wild))
+    assert seen.where("n_bytes >= 0 AND payload_bytes >= 64").count() == docs.count() and media.clips(seen).where("end_s > start_s").count() >= docs.count()
+    judged = decontaminate.judge(decontaminate.find_passages(wild, bench, offsets=True))
+    assert judged.where("n_hit = 0 AND NOT contaminated AND size(byte_spans) = 0").count() == docs.count()
+    for made in (suffix_dedup.remove_repeats(wild), brown_lm.score_corpus(wild), jaccard.near_duplicates(wild), mixing.mix_copies(wild), token_files.token_output(wild)):
+        assert made.count() == docs.count()
+    talk = spark.createDataFrame([(1, 0, "user", "a", "x", "y"), (1, 1, "assistant", "b", "x", "y")], "pair_id bigint, turn bigint, role string, text string, prompt string, turns string")
+    assert [tuple(r) for r in preferences.format_preferences(talk, talk).collect()] == [tuple(r) for r in preferences.format_preferences(talk.drop("prompt", "turns"), talk.drop("prompt", "turns")).collect()]
     for out in (crf.keep_good(extra, labels), jaccard.drop_near_duplicates(extra), decontaminate.decontaminate(extra, bench), mixing.mix(extra)):
         assert out.columns == extra.columns and out.where("n_words <> 7 OR size <> 2 OR copies <> 3 OR score <> 'mine'").count() == 0
 
