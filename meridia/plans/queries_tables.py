@@ -414,9 +414,9 @@ def con01(d) -> DataFrame:
     return R.duplicates(d["orders"], ["o_custkey", "o_orderpriority"])
 
 
-@query("con02_orphans", "", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("con02_orphans", "", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def con02(d) -> DataFrame:
-    return R.orphans(d["customer"].select("c_custkey"), d["orders"].withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return R.orphans(d["customer"].select("c_custkey"), d["orders"].where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query("con03_rules", "features designs scenarios", """
