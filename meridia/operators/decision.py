@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -207,13 +208,75 @@ def _dominates(a: str, b: str, objectives: Sequence[tuple[str, str]], tolerance:
     return never & once
 
 
+def _undominated(x: np.ndarray) -> np.ndarray:
+    """Places of rows (larger is better) that no other row is at least as good as in all columns and better than in one."""
+    order = np.argsort(-x.sum(1), kind="stable")  # what dominates comes first
+    kept = np.zeros(0, np.int64)
+    for lo in range(0, len(order), 512):
+        some = order[lo : lo + 512]
+        for at in range(0, len(kept), 4096):
+            y = x[kept[at : at + 4096]]
+            some = some[~((y[None] >= x[some][:, None]).all(2) & (y[None] > x[some][:, None]).any(2)).any(1)]
+        y = x[some]
+        some = some[~((y[None] >= y[:, None]).all(2) & (y[None] > y[:, None]).any(2)).any(1)]
+        kept = np.concatenate([kept, some])
+    return kept
+
+
+def _thinned(by: Sequence[str], objectives: Sequence[tuple[str, str]], hold: int = 50_000):
+    sign = np.array([1.0 if sense == "max" else -1.0 for _, sense in objectives])
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = pdf.groupby(list(by), dropna=False, sort=False).indices.values() if by else [np.arange(len(pdf))]
+        x = pdf[[n for n, _ in objectives]].to_numpy(float) * sign
+        return pdf.iloc[np.concatenate([g[_undominated(x[g])] for g in groups])] if len(pdf) else pdf
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            held.append(pdf)
+            if sum(map(len, held)) > hold:
+                held = [thin(pd.concat(held))]
+                if len(held[0]) > hold // 2:  # thinning does not help here
+                    yield held.pop()
+        if held:
+            yield thin(pd.concat(held))
+
+    return run
+
+
+def witnesses(vectors: DataFrame, objectives: Sequence[tuple[str, str]], by: Sequence[str], enough: int = 20_000) -> DataFrame:
+    """A part of the vectors that holds every group's undominated ones.
+
+    What dominates a vector without tolerance also dominates, with any tolerance (a relative one below 1), all that the
+    vector does.  So partitions drop what they see dominated, in rounds over fewer and fewer partitions, until few are
+    left or a round drops less than half.
+    """
+    from .relations import written
+
+    left = written(vectors, "vectors")
+    n, parts = left.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while n:
+        thin = written(left.mapInPandas(_thinned(by, objectives), left.schema), "witnesses")
+        now = thin.count()
+        left = thin
+        if now <= enough and parts == 1 or now > n / 2 and parts < max(1, n // enough):
+            break
+        if parts == 1:
+            break
+        parts = max(1, min(parts // 4, -(-now // enough)))
+        left, n = thin.repartition(parts), now
+    return left
+
+
 def pareto(df: DataFrame, objectives: Sequence[tuple[str, str]], by: Sequence[str], tolerance: float | Sequence[float] = 1e-9, relative: float = 0.0, blocks: int = 64, comparable: Column | None = None) -> DataFrame:
     """`is_pareto_optimal`: false if another comparable row of the group is at least as good within the tolerance
     in all objectives and better beyond it in one; null for rows that cannot be compared.
 
-    Dominance with a tolerance is not transitive, so dominated rows stay witnesses.  Work is cut down
-    exactly: equal objective vectors are compared once; vectors are dealt to blocks by quantiles of the first
-    objective; a block can only hold a witness for a row if its best values would dominate the row.
+    Dominance with a tolerance is not transitive, so a dominated row can be the witness against another; but then the rows
+    that dominate it without tolerance are witnesses too.  Every distinct vector is compared with :func:`witnesses` only.
+    These lie in blocks by quantiles of the first objective; a block can only hold a witness for a row if its best
+    values would dominate the row.
     """
     from .relations import small
 
@@ -223,13 +286,14 @@ def pareto(df: DataFrame, objectives: Sequence[tuple[str, str]], by: Sequence[st
         usable = usable & F.col(n).isNotNull()
     marked = df.withColumn("__ok", usable)
     vectors = marked.where("__ok").select(*by, *names).distinct()
-    edges = vectors.agg(F.percentile_approx(names[0], [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
+    against = witnesses(vectors, objectives, by)
+    edges = against.agg(F.percentile_approx(names[0], [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
     block = F.lit(0)
     for e in sorted(set(edges)):
         block = block + (F.col(names[0]) > e).cast("int")
-    placed = vectors.withColumn("__block", block)
+    placed = against.withColumn("__block", block)
     best = placed.groupBy(*by, "__block").agg(*[(F.max if sense == "max" else F.min)(n).alias(n) for n, sense in objectives])
-    rows, tops = placed.alias("r"), best.alias("t")
+    rows, tops = vectors.alias("r"), best.alias("t")
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in by]
     condition = _dominates("t", "r", objectives, tolerance, relative)
     for c in same:

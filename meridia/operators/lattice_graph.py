@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
+from .decision import positions
 from .relations import written
 
 ROOK = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -120,31 +121,38 @@ def _separated(pdf: pd.DataFrame, key: str, km: float, limit: int) -> pd.DataFra
 def greedy_separated(points: DataFrame, key: str, order: Sequence, km: float, limit: int, chunk: int = 20_000) -> DataFrame:
     """The best points in order, each at least `km` from those taken before it, until `limit` are taken.
 
-    Inherently sequential, but the answer is short: ordered prefixes of `chunk` rows come to the driver until the limit is
-    reached.  The prefix is taken by a range on the order, so no task or driver sees all points.
+    Inherently sequential, but the answer is short.  Places in the order are worked out once, over range partitions, and
+    written; stretches of places, each twice as long as the one before, come to the driver as far as needed, at most
+    `64 * chunk` at a time.
     """
-    spark = points.sparkSession
-    taken: list[tuple] = []
+    spark, kind = points.sparkSession, points.schema[key].dataType.simpleString()
+    placed = written(positions(points, *order, name="__at").select("__at", key, "lat", "lon"), "placed")
+    total, done, size = placed.count(), 0, chunk
+    ids: list = []
     xyz = np.zeros((0, 3))
-    skip = 0
-    kind = points.schema[key].dataType.simpleString()
-    while len(taken) < limit:
-        rows = points.orderBy(*order).offset(skip).limit(chunk).select(key, "lat", "lon").collect()
-        for r in rows:
-            a, b = np.radians(r["lat"]), np.radians(r["lon"])
-            v = np.array([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
-            if len(xyz):
-                chord = float(np.sqrt(((xyz - v) ** 2).sum(1)).min())
-                if 2 * geo.EARTH_KM * np.arcsin(min(1.0, chord / 2)) < km:
-                    continue
-            taken.append((r[key], len(taken) + 1))
-            xyz = np.vstack([xyz, v])
-            if len(taken) == limit:
-                break
-        if len(rows) < chunk:
-            break
-        skip += chunk
-    return spark.createDataFrame(taken, f"`{key}` {kind}, place int")
+    while len(ids) < limit and done < total:
+        stretch = placed.where(F.col("__at").between(done + 1, done + size))
+        rows = stretch.toPandas().sort_values("__at")
+        a, b = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float))
+        v = np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+        names, free = rows[key].to_numpy(), _apart(v, xyz, km)
+        while len(ids) < limit and free.any():
+            i = int(free.argmax())
+            ids.append(names[i].item() if hasattr(names[i], "item") else names[i])
+            xyz = np.vstack([xyz, v[i]])
+            free &= _apart(v, v[i : i + 1], km)
+            free[: i + 1] = False
+        done, size = done + size, min(2 * size, 64 * chunk)
+    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], f"`{key}` {kind}, place int")
+
+
+def _apart(v: np.ndarray, taken: np.ndarray, km: float) -> np.ndarray:
+    """Unit vectors that are at least `km` from every taken one."""
+    out = np.ones(len(v), bool)
+    for t in taken:
+        chord = np.sqrt(((v - t) ** 2).sum(1))
+        out &= 2 * geo.EARTH_KM * np.arcsin(np.minimum(1.0, chord / 2)) >= km
+    return out
 
 
 def tie_shuffled(points: DataFrame, key: str, score: str, km: float, limit: int, permutations: int, seed: int) -> DataFrame:

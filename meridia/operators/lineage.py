@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,13 +129,23 @@ def resolution_overlap(fine: DataFrame, coarse: DataFrame, factor: int) -> DataF
 
 
 def holdout_distance(train: DataFrame, held: DataFrame) -> DataFrame:
-    """Common cells, and the least lattice distance between the two sets (by row-wise nearest columns).
+    """Common cells, and the least lattice distance between the two sets; null if one is empty.
 
-    The minimum over rows r of |dr| and the nearest column is found per row pair of occupied rows, so the join is on rows.
+    Cells meet by tiles whose size is the distance that is tried, and that distance doubles until a pair is within it, so
+    the join only ever sees neighbours.
     """
-    common = train.select("grid_row", "grid_col").intersect(held.select("grid_row", "grid_col")).agg(F.count("*").alias("n_common"))
-    rows = lambda df, p: df.groupBy(F.col("grid_row").alias(f"{p}r")).agg(F.array_sort(F.collect_set("grid_col")).alias(f"{p}c"))
-    a, b = rows(train, "a"), rows(held, "b")
-    pairs = a.crossJoin(F.broadcast(b) if b.count() <= 100_000 else b)
-    nearest = F.array_min(F.transform("ac", lambda x: F.array_min(F.transform("bc", lambda y: F.abs(x - y)))))
-    return pairs.agg(F.min(F.hypot((F.col("ar") - F.col("br")).cast("double"), nearest.cast("double"))).alias("least_cells")).crossJoin(common)
+    cells = lambda df: df.select(F.col("grid_row").alias("r"), F.col("grid_col").alias("c")).distinct()
+    a, b = cells(train), cells(held)
+    n_common = a.intersect(b).count()
+    ends = a.unionByName(b).agg(F.max("r") - F.min("r"), F.max("c") - F.min("c")).first()
+    least, reach = 0.0 if n_common else None, 1
+    span = math.hypot(*ends) if ends[0] is not None else -1.0
+    while least is None and reach < 2 * span + 2:
+        at = lambda df, p: df.select(F.col("r").alias(f"{p}r"), F.col("c").alias(f"{p}c"), F.floor(F.col("r") / reach).alias("tr"), F.floor(F.col("c") / reach).alias("tc"))
+        near = at(a, "a")
+        for t in ("tr", "tc"):
+            near = near.withColumn(t, F.explode(F.array(F.col(t) - 1, F.col(t), F.col(t) + 1)))
+        far = F.hypot((F.col("ar") - F.col("br")).cast("double"), (F.col("ac") - F.col("bc")).cast("double"))
+        least = near.join(at(b, "b"), ["tr", "tc"]).where(far <= reach).agg(F.min(far)).first()[0]
+        reach *= 2
+    return train.sparkSession.createDataFrame([(n_common, least)], "n_common bigint, least_cells double")

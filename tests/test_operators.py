@@ -397,3 +397,41 @@ def test_guards(tmp_path):
 def test_html_report(spark):
     page = sinks.html_report("T & U", [("S", spark.createDataFrame([("<b>", None)], "a string, b int")), ("N", "plain")])
     assert "<td>&lt;b&gt;</td><td></td>" in page and "T &amp; U" in page
+
+
+@pytest.mark.parametrize("relative", [0.0, 0.05])
+def test_frontier_against_all_pairs(spark, relative):
+    """Values of both signs, near ties and nulls; witnesses thinned over several partitions."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2] if i % 11 else None, *(float(x) if i % 19 else None for x in rng.integers(-6, 7, 3) + rng.choice([0, 0, 0.05], 3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, g string, x double, y double, z double").repartition(6)
+    senses, tolerance = [("x", "max"), ("y", "min"), ("z", "max")], 0.1
+    got = {r.i: r.is_pareto_optimal for r in D.pareto(df, senses, ["g"], tolerance, relative, blocks=4).collect()}
+
+    def beats(a, b):
+        gains = [(p - q) * (1 if s == "max" else -1) for p, q, (_, s) in zip(a[2:], b[2:], senses)]
+        slack = [tolerance + relative * max(abs(p), abs(q)) for p, q in zip(a[2:], b[2:])]
+        return all(g >= -s for g, s in zip(gains, slack)) and any(g > s for g, s in zip(gains, slack))
+
+    full = [r for r in rows if r[2] is not None]
+    for r in rows:
+        assert got[r[0]] == (None if r[2] is None else not any(o[1] == r[1] and beats(o, r) for o in full))
+    few = D.witnesses(df.where("x IS NOT NULL").select("g", "x", "y", "z").distinct(), senses, ["g"]).count()
+    assert 3 <= few < 150
+
+
+def test_holdout_distance(spark):
+    cells = lambda *xs: spark.createDataFrame(list(xs), "grid_row int, grid_col int")
+    a = cells((0, 0), (0, 1), (5, 5))
+    assert tuple(LN.holdout_distance(a, cells((40, 9), (-3, 100))).first()) == (0, math.hypot(35, 4))
+    assert tuple(LN.holdout_distance(a, cells((5, 5), (9, 9))).first()) == (1, 0.0)
+    assert tuple(LN.holdout_distance(a, cells((6, 6))).first()) == (0, math.sqrt(2))
+    assert LN.holdout_distance(a, a.limit(0)).first().least_cells is None
+
+
+def test_separated_over_stretches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(rng.integers(0, 40)), float(rng.uniform(-85, 85)), float(rng.uniform(-180, 180))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, s double, lat double, lon double")
+    got = G.greedy_separated(df, "i", [F.desc("s"), "i"], 1500.0, 40, chunk=9).orderBy("place")
+    assert [tuple(r) for r in got.collect()] == walk(sorted(rows, key=lambda r: (-r[1], r[0])), 1500.0, 40)
