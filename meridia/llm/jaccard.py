@@ -48,7 +48,7 @@ WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
 FLUSH = 1 << 19  # signatures held in a task
-NODES = 1 << 12  # documents of a family in a block
+NODES = 1 << 14  # documents of a family in a block
 FAN = 1 << 12  # pairs of a document in a task
 BIG = 1 << 12  # a family of so many documents, or with so many lists, is not shuffled by its number
 CHUNK = 1 << 20  # text bytes shingled at a time
@@ -300,7 +300,7 @@ def _sign(buckets: int, percent: int, words: int, shared=None):
     return run
 
 
-_LISTS = "gid bigint, leader bigint, members array<bigint>"
+_LISTS = "gid bigint, leader bigint, list_size bigint, members array<bigint>"
 
 
 def _outermost(starts: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -342,24 +342,25 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = blocks.mix(total[starts + size] - total[starts] + size.astype(np.uint64))
         _, one = np.unique(digest, return_index=True)
         one = one[_outermost(starts[one], size[one], doc)]
-        gids, leaders, members = [], [], []
+        gids, leaders, sizes, members = [], [], [], []
         for i in one:
             whole = doc[starts[i] : starts[i] + size[i]]
             for lo in range(0, len(whole), LIST):
                 gids.append(int(digest[i].view(np.int64)))
                 leaders.append(int(whole[0]))
+                sizes.append(len(whole))
                 members.append(whole[lo : lo + LIST])
             if len(gids) > 5000:
-                yield _list_batch(gids, leaders, members)
-                gids, leaders, members = [], [], []
+                yield _list_batch(gids, leaders, sizes, members)
+                gids, leaders, sizes, members = [], [], [], []
         if gids:
-            yield _list_batch(gids, leaders, members)
+            yield _list_batch(gids, leaders, sizes, members)
 
 
-def _list_batch(gids: list, leaders: list, members: list) -> pa.RecordBatch:
+def _list_batch(gids: list, leaders: list, sizes: list, members: list) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, members)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(members)))
-    return pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(leaders, pa.int64()), lists], names=["gid", "leader", "members"])
+    return pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(leaders, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["gid", "leader", "list_size", "members"])
 
 
 SKETCH_BITS = 4096
@@ -544,7 +545,7 @@ class _Join:
         # families: what the lists connect, whether similar or not
         self.family = blocks.materialize(graph.components(self.tried, "a", "b").withColumnRenamed("root", "family"), "jaccard-families")
         blocks.forget_shuffles(self.spark)
-        self.of_list = self.lists.join(self.family, self.lists["leader"] == self.family["node"]).select("family", "gid", "members")
+        self.of_list = self.lists.join(self.family, self.lists["leader"] == self.family["node"]).select("family", "gid", "list_size", "members")
 
     def candidates(self, roots: DataFrame | None, forest: bool) -> DataFrame:
         """Pairs of lists' members from different components (`roots`; none: every document for itself) that may link."""
@@ -565,7 +566,14 @@ class _Join:
         nodes = spread(own).withColumn("mine", block("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         nodes = nodes.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_tasks") - 1)))
         nodes = nodes.join(self.sets.select(F.col("doc_id").alias("node"), "n", "sketch"), "node")
-        lists = spread(self.of_list).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("hi", F.explode(F.sequence(F.col("lo"), F.col("n_blocks") - 1)))
+        # a list goes to the pairs of blocks that its members lie in; one block only if two of them do
+        lists = spread(self.of_list).withColumn("at", F.transform("members", block))
+        whole = (F.col("list_size") == F.size("members"))  # else other rows of the list may hold the other block's members
+        held = F.when(whole, F.array_distinct("at")).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+        pair = lambda x: F.transform(F.filter("held", lambda y: y >= x), lambda y: F.struct(x.alias("lo"), y.alias("hi")))
+        telling = lambda p: (p["lo"] < p["hi"]) | ~F.col("whole") | (F.size(F.filter("at", lambda z: z == p["lo"])) > 1)
+        lists = lists.withColumns({"held": held, "whole": whole}).select("family", "gid", "n_blocks", "n_tasks", "members", F.explode(F.filter(F.flatten(F.transform("held", pair)), telling)).alias("p"))
+        lists = lists.withColumn("lo", F.col("p.lo")).withColumn("hi", F.col("p.hi"))
         inside = F.filter("members", lambda x: block(x).isin(F.col("lo"), F.col("hi")))
         lists = lists.withColumn("members", F.when(F.col("n_blocks") == 1, F.col("members")).otherwise(inside)).where("size(members) > 0").withColumn("part", F.pmod("gid", F.col("n_tasks")).cast("int"))
         task = F.xxhash64("family", "lo", "hi", "part").alias("task")
