@@ -48,6 +48,7 @@ WORDS = 5
 PERCENT = 80
 LIST = 2048  # members of a list in one row
 FLUSH = 1 << 19  # signatures held in a task
+CODES = 1 << 20  # pairs of a task that are held, and remembered, at a time
 NODES = 1 << 14  # documents of a family in a block
 FAN = 1 << 12  # pairs of a document in a task
 BIG = 1 << 12  # a family of so many documents, or with so many lists, is not shuffled by its number
@@ -425,7 +426,7 @@ def _pairs_of(lists: Iterator[np.ndarray], root: np.ndarray, side: np.ndarray) -
                 code = (i * n + j)[i < j]
                 held.append(code)
                 total += len(code)
-                if total > 1 << 21:
+                if total > CODES:
                     yield np.unique(np.concatenate(held))
                     held, total = [], 0
     if held:
@@ -462,9 +463,9 @@ def _candidates(percent: int, forest: bool):
             seen = np.zeros(0, np.int64)
             for codes in _pairs_of((values[ends[a] : ends[b]] for a, b in zip(starts, starts[1:])), root, side):
                 codes = np.setdiff1d(codes, seen, assume_unique=True)
-                seen = np.union1d(seen, codes) if len(seen) < 1 << 22 else codes
+                seen = np.union1d(seen, codes) if len(seen) < CODES else codes
                 keep_a, keep_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for lo in range(0, len(codes), 1 << 14):
+                for lo in range(0, len(codes), 1 << 13):
                     i, j = np.divmod(codes[lo : lo + (1 << 14)], len(ids))
                     apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
                     near = (apart * (100 + percent) <= (size[i] + size[j]) * (100 - percent)) | shared[i] | shared[j]
