@@ -20,10 +20,20 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 4096
+ARROW_ROWS = 2000
 
 # ---------------------------------------------------------------- shared folder
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of `ARROW_ROWS` rows, unless the session has a size of its own: Spark's 10,000 whole texts are tens of
+    megabytes, several times over, outside the executor's heap and again in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; where unset, a session without other machines (tests) gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +51,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
-    path = table_path(df.sparkSession, name)
+    path = table_path(small_batches(df.sparkSession), name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -90,6 +100,7 @@ def block_of(count: int, key: str = "doc_id", text: str = "text"):
 
 def result_fields(df: DataFrame, *made: str) -> tuple[DataFrame, str]:
     """`df` without the columns that an operator makes (its result takes the place of a given column of that name), and the others' types."""
+    small_batches(df.sparkSession)
     kept = df.drop(*[c for c in df.columns if c.lower() in {m.lower() for m in made}])
     return kept, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != TEXT)
 
@@ -133,6 +144,7 @@ def _allocator():
 
 def release() -> None:
     """Give freed pages back: idle Python workers would keep what their last task used."""
+    pa.default_memory_pool().release_unused()
     if trim := _allocator():
         trim(0)
 

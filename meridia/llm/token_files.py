@@ -150,7 +150,7 @@ _STATS = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", p
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> list[dict]:
     """Write the files under `out`; returns the manifest, one entry a partition, also put in ``manifest.json``."""
-    spark = docs.sparkSession
+    spark = blocks.small_batches(docs.sparkSession)
     fs, root = _place(out)
     fs.create_dir(root, recursive=True)
     size = F.octet_length("text")
