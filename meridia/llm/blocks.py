@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,8 +69,9 @@ def drop_table(df: DataFrame) -> None:
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that are written down and over: it does so when the driver collects garbage.
 
-    The last step may still be known to listeners, so this is best called one short step later.
+    Listeners let go of the last step a moment after it, so this waits that long.
     """
+    time.sleep(0.3)
     spark._jvm.System.gc()
 
 
