@@ -46,7 +46,7 @@ ROUNDS = 8
 TOLERANCE = 0.02  # nats a token that a round must gain for another one
 LEAST = 2
 BACK_OFF = 5.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20  # of words and counts in a bucket
 RANGE = 1 << 15  # units whose classes are counted at a time
 PIECE = 1 << 20  # text bytes hashed at a time
