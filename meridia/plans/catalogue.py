@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_more, queries_scalar, queries_space, queries_tables  # noqa: F401  registration
+from . import queries_formats, queries_more, queries_scalar, queries_space, queries_tables  # noqa: F401  registration
 from .registry import ORACLES, QUERIES
 
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import html.parser
 import json
 import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions import wkb
 from ..operators.lineage import read_text
-from ..operators.relations import ConstraintError, tagged_union
+from ..operators.relations import ConstraintError, small, tagged_union
 
 
 def table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -62,9 +65,11 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", skip_
     """CSV or other separated text.  Extra header rows (units, metadata) are known by their line number in the file."""
     if header_rows == 1 and not skip_after_header:
         return spark.read.csv(path, schema=schema, sep=sep, header=True, mode="FAILFAST")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"))
-    first = header_rows + skip_after_header
-    body = lines.where(~((F.col("__at") == 0) & (F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)) < first)))
+    source = "_metadata.file_path", "_metadata.file_block_start"
+    lines = spark.read.text(path).select("value", *[F.col(c).alias(n) for c, n in zip(source, ("__file", "__at"))], F.monotonically_increasing_id().alias("__n"))
+    # a partition may hold many small files, so lines are counted from the first one of their file
+    opening = lines.where("__at = 0").groupBy("__file").agg(F.min("__n").alias("__first"))
+    body = lines.join(small(opening), "__file").where((F.col("__at") > 0) | (F.col("__n") - F.col("__first") >= header_rows + skip_after_header))
     return body.select(F.from_csv("value", schema, {"sep": sep, "mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -93,28 +98,52 @@ def json_polylines(spark: SparkSession, path: str, key: str) -> DataFrame:
     return parts.where(F.size("p") >= 2).select(key, "part", F.inline(steps))
 
 
-def wkb_points(df: DataFrame, wkb: str) -> dict[str, Column]:
-    """x and y of little-endian WKB points, without a geometry library."""
+def wkb_points(df: DataFrame, geometry: str) -> dict[str, Column]:
+    """x and y of WKB points of either byte order, by column functions alone; an empty point gives NaN."""
+    little = F.hex(F.substring(F.col(geometry), 1, 1)) == "01"
 
     def number(offset: int) -> Column:
-        bits = F.hex(F.substring(F.col(wkb), offset, 8))
+        bits = F.hex(F.substring(F.col(geometry), offset, 8))
         swapped = F.concat(*[F.substring(bits, 15 - 2 * i, 2) for i in range(8)])
-        word = F.conv(swapped, 16, 10).cast("decimal(20,0)")
+        word = F.conv(F.when(little, swapped).otherwise(bits), 16, 10).cast("decimal(20,0)")
         sign = F.when(word >= F.lit(str(1 << 63)).cast("decimal(20,0)"), -1.0).otherwise(1.0)
         rest = (word % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
         exponent = F.shiftright(rest, 52).cast("int")
-        part = rest.bitwiseAND(F.lit((1 << 52) - 1))
-        return F.when(rest == 0, F.lit(0.0)).otherwise(sign * (1 + part / float(1 << 52)) * F.pow(F.lit(2.0), exponent - 1023))
+        part = rest.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+        power = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 1023)
+        return F.when(exponent == 2047, F.lit(float("nan"))).otherwise(sign * (F.when(exponent == 0, 0.0).otherwise(1.0) + part) * power)
 
     return {"x": number(6), "y": number(14)}
 
 
+def vector_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, where: Column | None = None, columns: Sequence[str] | None = None, crs: str | None = None) -> DataFrame:
+    """A layer that :func:`sinks.write_layer` wrote, its geometry as rings.
+
+    The box (xmin, ymin, xmax, ymax in the layer's own CRS) and the attribute filter reach the file reader, which skips row
+    groups by the bounds; a geometry is kept when its bounds touch the box.  Only kept rows are decoded.
+    """
+    note = manifest(spark, path)["geo"]
+    if crs is not None and note["crs"] != crs:
+        raise ConstraintError(f"{path} is in {note['crs']}, not {crs}")
+    df = spark.read.parquet(path)
+    if box is not None:
+        df = df.where((F.col("xmin") <= box[2]) & (F.col("xmax") >= box[0]) & (F.col("ymin") <= box[3]) & (F.col("ymax") >= box[1]))
+    if where is not None:
+        df = df.where(where)
+    geometry = note["primary_column"]
+    kept = list(columns) if columns is not None else [c for c in df.columns if c not in (geometry, "xmin", "ymin", "xmax", "ymax")]
+    return df.select(*kept, wkb.rings(F.col(geometry)).alias(geometry))
+
+
 def pixels(df: DataFrame, tile: int) -> DataFrame:
     """A raster as rows (i, j, value) with its tile, so that windows prune by tile."""
     return df.withColumn("tile_i", F.floor(F.col("i") / tile).cast("int")).withColumn("tile_j", F.floor(F.col("j") / tile).cast("int"))
 
 
-def window(df: DataFrame, i0: int, i1: int, j0: int, j1: int, tile: int) -> DataFrame:
+def window(df: DataFrame, i0: int, i1: int, j0: int, j1: int, tile: int, nodata: float | None = None) -> DataFrame:
+    """The pixels i0 <= i < i1, j0 <= j < j1; those that hold `nodata` are masked (null)."""
+    if nodata is not None:
+        df = df.withColumn("value", F.when(F.col("value") != nodata, F.col("value")))
     near = F.col("tile_i").between(i0 // tile, (i1 - 1) // tile) & F.col("tile_j").between(j0 // tile, (j1 - 1) // tile)
     return df.where(near & F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1))
 
@@ -128,17 +157,48 @@ def climate_cube(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     return df
 
 
+def sheet_rows(path: str, sheet: str) -> pd.DataFrame:
+    """All cells of a worksheet of an .xlsx workbook by row and column; empty cells are None.
+
+    The format is a zip of XML parts; numbers, texts (shared and inline) and booleans are read, formulas by their stored value.
+    """
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(path) as z:
+        parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        found = [parts[s.get(link)] for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet") if s.get("name") == sheet]
+        if not found:
+            raise ConstraintError(f"no sheet {sheet}")
+        text = lambda e: "".join(t.text or "" for t in e.iter(f"{main}t"))
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        target = found[0].lstrip("/")
+        cells = {}
+        for cell in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{main}c"):
+            letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
+            column = functools.reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1
+            kind, stored = cell.get("t", "n"), cell.findtext(f"{main}v")
+            if kind == "inlineStr":
+                value = text(cell)
+            elif stored is None:
+                continue
+            else:
+                value = shared[int(stored)] if kind == "s" else stored == "1" if kind == "b" else float(stored) if kind == "n" else stored
+            cells[int(row) - 1, column] = int(value) if isinstance(value, float) and value.is_integer() else value
+    height, width = (1 + max((at[k] for at in cells), default=-1) for k in (0, 1))
+    return pd.DataFrame([[cells.get((i, j)) for j in range(width)] for i in range(height)], dtype=object)
+
+
 def workbook(spark: SparkSession, path: str, sheet: str, header: Sequence[Sequence[str]], columns: Sequence[str], schema: str) -> DataFrame:
     """A spreadsheet whose header rows are verified and whose columns are then taken by position.
 
-    Workbooks are small by their format; needs an Excel engine for pandas.
+    Workbooks are small by their format (at most 1,048,576 rows a sheet), so the driver reads them.
     """
-    raw = pd.read_excel(path, sheet_name=sheet, header=None, dtype=object)
+    raw = sheet_rows(path, sheet)
     for i, row in enumerate(header):
-        got = [str(x).strip() for x in raw.iloc[i, : len(row)]]
+        got = ["" if x is None else str(x).strip() for x in raw.iloc[i, : len(row)]]
         if got != list(row):
             raise ConstraintError(f"header row {i} is {got}")
-    return spark.createDataFrame(raw.iloc[len(header) :, : len(columns)].set_axis(list(columns), axis=1), schema)
+    return spark.createDataFrame([tuple(r) for r in raw.iloc[len(header) :, : len(columns)].itertuples(index=False)], schema).toDF(*columns)
 
 
 def header_row(rows: pd.DataFrame, names: Sequence[str], within: int = 12) -> int:

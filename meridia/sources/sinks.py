@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, wkb
 from ..operators.lineage import canonical_json, table_fingerprint, write_text
 from ..operators.relations import ConstraintError
 
@@ -33,6 +33,18 @@ def write_table(df: DataFrame, path: str, kind: str, version: str = "1.0", data_
     return body
 
 
+def write_layer(df: DataFrame, path: str, kind: str, geometry: str, crs: str, **notes) -> dict:
+    """A table with a geometry (rings) as WKB, its bounds as columns that readers prune by, and its CRS in the manifest.
+
+    Rows are sorted by their bounds within a file, without a shuffle, so that row groups cover small areas.
+    """
+    corners = F.flatten(geometry)
+    x, y = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    bounds = {"xmin": F.array_min(x), "ymin": F.array_min(y), "xmax": F.array_max(x), "ymax": F.array_max(y)}
+    out = df.withColumns({**bounds, geometry: wkb.polygon(F.col(geometry))}).sortWithinPartitions("xmin", "ymin")
+    return write_table(out, path, kind, geo={"primary_column": geometry, "encoding": "WKB", "crs": crs}, **notes)
+
+
 def data_dictionary(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
 

@@ -394,6 +394,50 @@ def test_guards(tmp_path):
             readers.archive_member(str(tmp_path / "z.zip"), "m.txt", str(tmp_path / "o"), **({"sha256": digest} | change))
 
 
+def test_workbook(spark, tmp_path):
+    """Cells are numbers, shared and inline texts, booleans; holes stay empty; the header is verified."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = ["<c r='A1' t='s'><v>0</v></c><c r='C1' t='inlineStr'><is><t>Power</t></is></c>", "<c r='A2' t='s'><v>1</v></c><c r='C2'><v>12.5</v></c>", "<c r='A3' t='b'><v>1</v></c><c r='C3'><v>3</v></c>"]
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {main} xmlns:r='{office}'><sheets><sheet name='Data' r:id='rId7'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='rId7' Target='worksheets/sheet1.xml'/></Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Name</t></si><si><r><t>A</t></r><r><t>da</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>" + "".join(f"<row>{c}</row>" for c in cells) + "</sheetData></worksheet>")
+    path = str(tmp_path / "w.xlsx")
+    rows = readers.sheet_rows(path, "Data")
+    assert rows.values.tolist() == [["Name", None, "Power"], ["Ada", None, 12.5], [True, None, 3]]
+    assert readers.header_row(rows, ["Name", "Power"]) == 0
+    for sheet, names in (("Data", ["Name", "x", "Power"]), ("None", ["Name"])):
+        with pytest.raises(R.ConstraintError):
+            readers.workbook(spark, path, sheet, [names], ["a", "b", "c"], "a string, b string, c double")
+    z = readers.workbook(spark, path, "Data", [["Name", "", "Power"], ["Ada", "", "12.5"]], ["a", "b", "c"], "a boolean, b string, c int")
+    assert [tuple(r) for r in z.collect()] == [(True, None, 3)]
+
+
+def test_geometries(spark):
+    """Both byte orders, heights, an SRID, parts; empty and missing geometries."""
+    import struct
+
+    from meridia.functions import wkb
+
+    point = struct.pack(">BIdd", 0, 1, -96.5, 38.25)
+    tall = struct.pack("<BIIddd", 1, 0xA0000001, 4326, 1.0, 2.0, 9.0)
+    line = struct.pack("<BII", 1, 1002, 2) + struct.pack("<6d", 0, 1, 9, 2, 3, 9)
+    many = struct.pack("<BII", 1, 4, 2) + struct.pack("<BIdd", 1, 1, 5, 6) + point
+    empty = struct.pack("<BII", 1, 3, 0)
+    df = spark.createDataFrame([(i, None if g is None else bytearray(g)) for i, g in enumerate([point, tall, line, many, empty, None])], "i int, g binary")
+    got = [None if r.g is None else [[tuple(p) for p in ring] for ring in r.g] for r in df.select("i", wkb.rings("g").alias("g")).orderBy("i").collect()]
+    assert got == [[[(-96.5, 38.25)]], [[(1, 2)]], [[(0, 1), (2, 3)]], [[(5, 6)], [(-96.5, 38.25)]], [], None]
+    points = df.where("i = 0").unionAll(spark.createDataFrame([(9, bytearray(struct.pack("<BIdd", 1, 1, float("nan"), -5e-324)))], "i int, g binary"))
+    xy = [tuple(r) for r in points.orderBy("i").select(*[c.alias(k) for k, c in readers.wkb_points(points, "g").items()]).collect()]
+    assert xy[0] == (-96.5, 38.25) and math.isnan(xy[1][0]) and xy[1][1] in (-5e-324, 0.0)
+    back = df.select("i", wkb.rings("g").alias("g")).select("i", wkb.rings(wkb.polygon("g")).alias("g")).orderBy("i").collect()
+    assert [None if r.g is None else [[tuple(p) for p in ring] for ring in r.g] for r in back] == got
+
+
 def test_html_report(spark):
     page = sinks.html_report("T & U", [("S", spark.createDataFrame([("<b>", None)], "a string, b int")), ("N", "plain")])
     assert "<td>&lt;b&gt;</td><td></td>" in page and "T &amp; U" in page
