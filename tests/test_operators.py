@@ -479,3 +479,35 @@ def test_separated_over_stretches(spark):
     df = spark.createDataFrame(rows, "i int, s double, lat double, lon double")
     got = G.greedy_separated(df, "i", [F.desc("s"), "i"], 1500.0, 40, chunk=9).orderBy("place")
     assert [tuple(r) for r in got.collect()] == walk(sorted(rows, key=lambda r: (-r[1], r[0])), 1500.0, 40)
+
+
+def test_regions_of_shared_ids(spark):
+    """An id is one node: its cells join components of one block and of several, and sizes count ids."""
+    rows = [("s", "b", 0, 0), ("s", "c", 0, 1), ("s", "c", 3, 1), ("s", "a", 3, 2), ("s", "c", 40, 0), ("s", "d", 40, 1), ("s", "e", 60, 0), ("t", "c", 0, 0)]
+    cells = spark.createDataFrame(rows, "s string, grid_id string, grid_row int, grid_col int")
+    got = [tuple(r) for r in G.cluster_cells(cells, ["s"], block=20).select("s", "grid_id", "component", "n_cells").collect()]
+    assert sorted(got) == sorted([("s", i, "a", 4) for i in "abcccd"] + [("s", "e", "e", 1), ("t", "c", "c", 1)])
+    out = G.region_summary(G.cluster_cells(cells, ["s"], block=20), ["s"], 1.0).where("component = 'a'").first()
+    assert out["n_cells"] == 6 and out["member_grid_ids"] == ["a", "b", "c", "c", "c", "d"]
+
+
+def _against_sql(spark, path, name, **tables):
+    """A query's rows on tables of our own, and those of its SQL."""
+    import duckdb
+
+    from meridia.plans import catalogue
+
+    con = duckdb.connect()
+    for table, sql in tables.items():
+        con.sql(f"COPY ({sql}) TO '{path}/{table}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet'")
+    df = catalogue.queries()[name](spark, str(path))
+    names = [f'"{c}"' for c in sorted(df.columns)]
+    return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect()), sorted(con.sql(catalogue.oracle_sql()[name]).select(*names).fetchall())
+
+
+@pytest.mark.parametrize("name", ["grf01_components_blocked"])
+def test_regions_beyond_row_9999(spark, tmp_path, sf_dir, name):
+    part = f"SELECT * REPLACE (p_partkey + k * 50000 AS p_partkey) FROM '{sf_dir}/part.parquet', (VALUES (1), (10), (11)) t(k)"
+    got, want = _against_sql(spark, tmp_path, name, part=part)
+    assert got == want and got
