@@ -506,7 +506,7 @@ def _against_sql(spark, path, name, **tables):
     return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect()), sorted(con.sql(catalogue.oracle_sql()[name]).select(*names).fetchall())
 
 
-@pytest.mark.parametrize("name", ["grf01_components_blocked"])
+@pytest.mark.parametrize("name", ["grf01_components_blocked", "grf07_region_geometry"])
 def test_regions_beyond_row_9999(spark, tmp_path, sf_dir, name):
     part = f"SELECT * REPLACE (p_partkey + k * 50000 AS p_partkey) FROM '{sf_dir}/part.parquet', (VALUES (1), (10), (11)) t(k)"
     got, want = _against_sql(spark, tmp_path, name, part=part)
