@@ -556,7 +556,7 @@ class _Join:
         work = self.of_list.groupBy("family").agg(F.sum(F.size("members").cast("bigint") * F.size("members")).alias("work"), F.count("*").alias("n_lists"))
         size = own.groupBy("family").agg(F.count("*").alias("n_nodes"), F.bool_or(F.col("root") != F.col("family")).alias("open")).where("open")
         cut = size.join(work, "family").withColumn("n_blocks", F.ceil(F.col("n_nodes") / NODES).cast("int"))
-        cut = cut.withColumn("n_tasks", F.ceil(F.col("work") / (F.col("n_blocks") * (F.col("n_blocks") + 1) * PAIRS)).cast("int"))
+        cut = cut.withColumn("n_tasks", F.ceil(F.col("work") / (F.col("n_blocks").cast("bigint") * (F.col("n_blocks") + 1) * PAIRS)).cast("int"))
         cut = blocks.materialize(cut.select("family", "n_blocks", "n_tasks", (F.greatest("n_nodes", "n_lists") >= BIG).alias("big")), "jaccard-cut")
         big, small = F.broadcast(cut.where("big").drop("big")), cut.where("NOT big").drop("big")  # at most one in BIG nodes and lists
 

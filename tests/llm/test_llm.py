@@ -200,6 +200,21 @@ def test_families_of_near_misses(spark, monkeypatch, cut):
     assert set(map(tuple, jaccard.similar_pairs(docs)[0].collect())) == pairs
 
 
+def _many_blocks(monkeypatch) -> list[tuple[int, str]]:
+    """One family that is cut into ten blocks and more, at the bound of pairs that a task has in earnest."""
+    for name, value in (("NODES", 2), ("BIG", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, base = random.Random(5), ["w%d" % i for i in range(90)]
+    return [(i, " ".join("x%d" % rng.randrange(40) if j in (k := rng.randrange(90), k + 1) else w for j, w in enumerate(base))) for i in range(60)]
+
+
+def test_family_of_many_blocks(spark, monkeypatch):
+    rows = _many_blocks(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_similar_pairs(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     counts, pairs = brute_links(rows)
