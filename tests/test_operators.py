@@ -513,6 +513,14 @@ def test_regions_beyond_row_9999(spark, tmp_path, sf_dir, name):
     assert got == want and got
 
 
+def test_centre_of_far_rows(spark, tmp_path, sf_dir):
+    """A mean whose product with 10**9 is rounded to a half."""
+    keys = [(1125900 + r) * 50 for r in range(8)] + [1125900 * 50 + c for c in (1, 2, 3)]
+    part = f"SELECT p.* REPLACE (t.k AS p_partkey, 2 AS p_size) FROM (VALUES {', '.join(f'({k})' for k in keys)}) t(k), (SELECT * FROM '{sf_dir}/part.parquet' LIMIT 1) p"
+    got, want = _against_sql(spark, tmp_path, "grf07_region_geometry", part=part)
+    assert got == want and got
+
+
 def test_ids_beyond_row_9999(spark, tmp_path, sf_dir):
     part = f"SELECT * REPLACE (p_partkey + 600000 AS p_partkey) FROM '{sf_dir}/part.parquet'"
     got, want = _against_sql(spark, tmp_path, "prj12_to_prj16_names_and_ids", part=part)
