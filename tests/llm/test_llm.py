@@ -215,6 +215,15 @@ def test_family_of_many_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_pipeline_stage_of_many_blocks(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = _many_blocks(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert sorted(r[0] for r in got) == sorted({c for _, _, c in brute_components(rows)})
+
+
 def test_similar_pairs(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     counts, pairs = brute_links(rows)
