@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,27 @@ def forget_shuffles(spark: SparkSession) -> None:
     """
     time.sleep(0.3)
     spark._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Give freed pages of the driver back, Python's and the JVM's: its compiler's native memory stays with the C library otherwise.
+
+    The JVM's command for that is called by reflection, as the bean's class is not open; a JVM without it keeps the pages.
+    """
+    release()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        find = jvm.java.lang.Class.forName
+        kinds = array(jvm.java.lang.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = find(name)
+        given = array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JError:
+        pass
 
 
 def partitions(spark: SparkSession) -> int:

@@ -261,7 +261,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) ->
     rows = training_rows(docs, labels, "quality", limit, TRAIN_BYTES)
     lines = np.cumsum([(r[0] or "").count("\n") + 1 for r in rows])
     rows = [r for r, n in zip(rows, lines) if n <= TRAIN_LINES]
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    model = train([r[0] for r in rows], [r[1] for r in rows])
+    del rows
+    blocks.trim_driver(docs.sparkSession)
+    return model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
