@@ -513,6 +513,14 @@ def test_regions_beyond_row_9999(spark, tmp_path, sf_dir, name):
     assert got == want and got
 
 
+@pytest.mark.parametrize("name", ["grf01_components_blocked", "grf07_region_geometry"])
+def test_regions_below_zero(spark, tmp_path, sf_dir, name):
+    """Rows and columns of both signs: blocks are counted towards zero, as in the SQL, and links over zero are kept."""
+    part = f"SELECT p.* REPLACE (range - 1500 AS p_partkey, 1 + range % 7 // 6 AS p_size) FROM range(3000), (SELECT * FROM '{sf_dir}/part.parquet' LIMIT 1) p WHERE range % 5 > 0"
+    got, want = _against_sql(spark, tmp_path, name, part=part)
+    assert got == want and got
+
+
 def test_centre_of_far_rows(spark, tmp_path, sf_dir):
     """A mean whose product with 10**9 is rounded to a half."""
     keys = [(1125900 + r) * 50 for r in range(8)] + [1125900 * 50 + c for c in (1, 2, 3)]
